@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +30,43 @@ class Ids:
     """Ids of whole texts as packed unsigned 32-bit integers.
 
     The tokenizer drops white space and nothing it does reaches across it, so each run of other characters is encoded
-    once and remembered; texts are parted at ASCII white space.
+    once and remembered; texts are parted at ASCII white space. It lower-cases all but its special tokens, so texts
+    without a ``<|`` are looked up in lower case. A run of Latin letters is one word to the tokenizer, whose merges
+    then apply to its byte symbols directly, and a full stop or comma after an ASCII letter is a word of its own.
     """
 
-    def __init__(self, raw: str, cached_words: int = 200_000):
+    def __init__(self, raw: str, cached_words: int = 300_000):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(raw)
-        self.words = WordCache(lambda w: np.array(tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes(), cached_words)
+        self.tokenizer = Tokenizer.from_str(raw)
+        self.merges = self.tokenizer.model.tokenize
+        self.words = WordCache(self.encode_word, cached_words)
+        self.stops = {mark: self.encode_whole(mark) for mark in (b".", b",")}
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for characters from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self.alphabet = {b: b if b in plain else next(others) for b in range(256)}
+
+    def encode_whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def encode_word(self, word: bytes) -> bytes:
+        if word[-1:] in self.stops and word[-2:-1].isalpha() and word[:-1].isalnum():
+            return self.words[word[:-1]] + self.stops[word[-1:]]
+        text = word.decode()
+        if not text.isalpha() or max(text) >= "\u0250":
+            return self.encode_whole(word)
+        lower = text.lower()
+        if not lower.isalpha():  # a capital whose small form has a combining mark
+            return self.encode_whole(word)
+        symbols = lower if lower.isascii() else lower.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.merges(symbols)]).tobytes()
 
     def packed(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        raw = text.encode()
+        if b"<|" not in raw:
+            raw = raw.lower()
+        return b"".join(map(self.words.__getitem__, raw.split()))
 
 
 _IDS: dict[int, Ids] = {}
@@ -61,12 +88,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         words = ids_of(shared.value)
         out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids")}
         end = np.array([END], "<u4").tobytes()
-        for i, t in zip(batch.column(0), batch.column(1), strict=True):
+        size = 4 * capacity
+        ids, piece, start, length, parts = out.values()
+        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             packed = words.packed(t.as_py() or "") + end
-            for k, at in enumerate(range(0, len(packed), 4 * capacity)):
-                part = packed[at : at + 4 * capacity]
-                for name, value in zip(out, (i.as_py(), k, at // 4, len(part) // 4, part), strict=True):
-                    out[name].append(value)
+            for at in range(0, len(packed), size):
+                part = packed[at : at + size]
+                ids.append(i), piece.append(at // size), start.append(at // 4), length.append(len(part) // 4), parts.append(part)
         return out
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, piece int, start long, length long, ids binary")
