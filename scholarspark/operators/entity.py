@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import normalize_text, present, suspicious_title
 from .lineage import connected_components
@@ -18,7 +19,7 @@ from .lineage import connected_components
 OVERWRITE = ("citation_count", "citation_velocity", "file_path", "file_hash")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def title_ratio(s: pd.Series, t: pd.Series) -> pd.Series:
     """Similarity of two texts by their longest matching blocks; not symmetric, so the order of the sides matters."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(s, t, strict=True)], dtype="float64")
