@@ -97,13 +97,17 @@ class PieceCodec:
         self.longest = max(map(len, self.score), default=1)
         self.automaton = ahocorasick.Automaton()
         for piece in self.score:
-            self.automaton.add_word(piece, piece)
+            if len(piece) > 1:
+                self.automaton.add_word(piece, (len(piece) - 1, piece))
         self.automaton.make_automaton()
         #: Where no piece has a space after another character, text falls apart before each run of spaces.
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+", re.S)
         self.joins: dict[tuple[str, str], bool] = {}
-        self.packed = WordCache(lambda w: self._pack(w if w[:1] == SPACE else SPACE + w), cached_words)
+        #: Characters that stand side by side in some piece: no merge ever reaches across other neighbours.
+        self.neighbours = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.packed = WordCache(self._pack_word, cached_words)
+        self.inner = WordCache(self._pack, cached_words // 10)
 
     def merge(self, text: str) -> list[str]:
         """The library's procedure, step by step, on a short text: best score first, leftmost on ties."""
@@ -130,10 +134,10 @@ class PieceCodec:
         """For each place of a block, the pieces there, shortest first; a lone character is always one."""
         low = block * self.BLOCK
         high = min(len(text), low + self.BLOCK)
-        found: list[list[str]] = [[text[i]] for i in range(low, high)]
-        for end, piece in self.automaton.iter(text, low, min(len(text), high + self.longest)):
-            start = end - len(piece) + 1
-            if start < high and len(piece) > 1:
+        found: list[list[str]] = [[c] for c in text[low:high]]
+        for end, (size, piece) in self.automaton.iter(text, low, min(len(text), high + self.longest)):
+            start = end - size
+            if start < high:
                 found[start - low].append(piece)
         return found
 
@@ -151,18 +155,23 @@ class PieceCodec:
                 blocks[k] = self._matches(text, k)
             return blocks[k][i % size]
 
+        if n <= size:
+            at = self._matches(text, 0).__getitem__
         failed = bytearray(n + 1)
         out: list[str] = []
         tries: list[int] = []  # how many of the pieces at its place each chosen piece left untried
         pos, options = 0, at(0) if n else []
         left = len(options)
-        compatible = self.compatible
+        compatible, joins = self.compatible, self.joins
         while pos < n:
             last = out[-1] if out else ""
             while left:
                 left -= 1
                 piece = options[left]
-                if not failed[pos + len(piece)] and compatible(last, piece):
+                join = joins.get((last, piece))
+                if join is None:
+                    join = compatible(last, piece)
+                if join and not failed[pos + len(piece)]:
                     out.append(piece)
                     tries.append(left)
                     pos += len(piece)
@@ -176,6 +185,17 @@ class PieceCodec:
                 options, left = at(pos), tries.pop()
         return out
 
+    def _pack_word(self, word: str) -> bytes:
+        """Packed ids of a chunk, given without its space where it has just one; in parts that no merge connects."""
+        chunk = word if word[:1] == SPACE else SPACE + word
+        known = self.neighbours
+        cuts = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in known]
+        if not cuts:
+            return self._pack(chunk)
+        head = chunk[: cuts[0]]
+        first = self.packed[head[1:]] if head[1:2] != SPACE else self.inner[head]
+        return first + b"".join(self.inner[chunk[i:j]] for i, j in zip(cuts, [*cuts[1:], len(chunk)], strict=True))
+
     def _pack(self, chunk: str) -> bytes:
         out = []
         for piece in self.pieces(chunk):
