@@ -69,7 +69,7 @@ def guess_year(c: Column | str, low: int = 1980, high: int = 2035) -> Column:
 
 def guess_abstract(c: Column | str, mark: str = "abstract") -> Column:
     """What stands after the mark up to the introduction or keywords, of 50 characters at least and 2000 at most."""
-    body = F.trim(F.regexp_extract(F.coalesce(col(c), F.lit("")), rf"(?is)\b{mark}\b[:\n ](.*?)(?:\bintroduction\b|\bkeywords\b|$)", 1))
+    body = F.trim(F.regexp_extract(F.coalesce(col(c), F.lit("")), rf"(?is)(?:^|[^\p{{L}}\p{{N}}_]){mark}[:\n ](.*?)(?:[^\p{{L}}]introduction|[^\p{{L}}]keywords|$)", 1))
     return F.when(F.length(body) >= 50, F.substring(body, 1, 2000))
 
 
