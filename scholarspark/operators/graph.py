@@ -159,7 +159,7 @@ def convex_hulls(points: DataFrame, least: int = 3) -> DataFrame:
     def hull(frame: pd.DataFrame) -> pd.DataFrame:
         pts = sorted(set(zip(frame["x"], frame["y"], strict=True)))
         if len(pts) < least:
-            return pd.DataFrame({"community": [], "hull": []})
+            return pd.DataFrame({"community": pd.Series([], dtype="int64"), "hull": pd.Series([], dtype=object)})
 
         def half(seq):
             out = []
