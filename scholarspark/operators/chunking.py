@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import ship_package
+
 
 def chunk_text(text: str | None, size: int = 900, overlap: int = 160) -> list[str]:
     """Chunks of at most ``size`` characters of the text with its white space collapsed.
@@ -41,5 +43,6 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = [(i, k, c) for i, t in zip(frame["id"], frame["text"], strict=True) for k, c in enumerate(chunk_text(t, size, overlap))]
             yield pd.DataFrame(rows, columns=["id", "chunk_index", "chunk_text"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "id long, chunk_index int, chunk_text string").withColumnRenamed("id", id_col)
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, f"id {dict(docs.dtypes)[id_col]}, chunk_index int, chunk_text string").withColumnRenamed("id", id_col)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import difflib
 import math
-from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import normalize_text, present, suspicious_title
-from .lineage import connected_components
+from .lineage import connected_components, number_rows, ship_package
 
 #: Columns in which a new value that is there always replaces the stored one.
 OVERWRITE = ("citation_count", "citation_velocity", "file_path", "file_hash")
@@ -63,7 +61,7 @@ def upsert_papers(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     updated = stored.join(old, "id", "left").select(*[merged(c) for c in columns])
     fresh = first(matched.where("match IS NULL"), "title")
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    ranked = fresh.withColumn("__n", F.row_number().over(Window.orderBy("id"))).join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__n"))
+    ranked = number_rows(fresh, ["id"], "__n").join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__n"))
     return updated.unionByName(ranked.select(*columns))
 
 
@@ -98,6 +96,7 @@ def title_pairs(papers: DataFrame, threshold: float = 0.9, years: int = 2) -> Da
     most = (1 - threshold) * (F.col("x.n") + F.col("y.n"))
     met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x.t") != F.col("y.t")) & (common <= most + 1e-9) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.col("x.id") < F.col("y.id"), F.col("x.t")).otherwise(F.col("y.t")).alias("s"), F.when(F.col("x.id") < F.col("y.id"), F.col("y.t")).otherwise(F.col("x.t")).alias("t")).distinct()
 
+    ship_package(papers.sparkSession)
     different = met.select("a", "b", title_ratio("s", "t").alias("similarity")).where(F.col("similarity") >= threshold)
     # papers of one title link to its first paper instead of to each other
     same = rows.join(titles.select("t", F.col("id").alias("first")), "t").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
@@ -118,6 +117,7 @@ def resolve_links(links: DataFrame, papers: DataFrame, threshold: float = 0.72)
     first_word = F.regexp_extract(F.lower("link_text"), "[a-z0-9一-鿿]+", 0)
     held = rest.withColumn("w", first_word).join(words, "w").where(F.lower("title").contains(F.lower("link_text")))
 
+    ship_package(papers.sparkSession)
     fuzzy = held.withColumn("r", title_ratio(F.lower("link_text"), F.lower("title"))).where(F.col("r") >= threshold).groupBy("link_text").agg(F.min_by("id", F.struct(-F.col("r"), "id")).alias("target"))
     return exact.unionByName(fuzzy)
 
@@ -168,12 +168,3 @@ def merge_by_key(stored: DataFrame, patch: DataFrame, keys: list[str], columns:
     renamed = patch.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__in"))
     joined = stored.join(renamed, keys, "full_outer")
     return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in stored.columns])
-
-
-def conjunction(tests: list[Column]) -> Column:
-    return reduce(Column.__and__, tests, F.lit(True))
-
-
-def batches(items: list, size: int) -> Iterator[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import DATASETS, clean_line, lines
 from ..functions.scalar import to_metric
+from .lineage import ship_package
 
 PRF = r"(?i)\bP(?:recision)?\s*[:=]?\s*(\d+(?:\.\d+)?)\b.*?\bR(?:ecall)?\s*[:=]?\s*(\d+(?:\.\d+)?)\b.*?\bF1?\s*[:=]?\s*(\d+(?:\.\d+)?)\b"
 METRICS = ("precision", "recall", "f1", "trigger_f1", "argument_f1")
@@ -101,6 +101,7 @@ def table_metrics(tables: DataFrame, limit: int = 80) -> DataFrame:
                     out.append((t.paper_id, t.table_id, n, named, *[values.get(m) for m in METRICS], 0.86 if t.parser == "gmft" else 0.78))
             yield pd.DataFrame(out, columns=["paper_id", "table_id", "row_index", "dataset_name", *METRICS, "confidence"])
 
+    ship_package(tables.sparkSession)
     schema = "paper_id long, table_id string, row_index int, dataset_name string, " + ", ".join(f"{m} double" for m in METRICS) + ", confidence double"
     return tables.select("paper_id", "parser", "table_id", "rows").mapInPandas(run, schema)
 
@@ -127,7 +128,3 @@ def citation_contexts(refs: DataFrame) -> DataFrame:
     left = F.regexp_extract(before, r"(?s)([^.。!?]*)$", 1)
     right = F.when(after.rlike("[.。!?]"), F.regexp_extract(after, r"(?s)^([^.。!?]*[.。!?])", 1)).otherwise(F.substring(after, 1, 260))
     return refs.withColumn("context", F.when(at.isNotNull(), F.substring(clean_line(F.concat(left, right)), 1, 360)))
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(Column.__or__, tests, F.lit(False))

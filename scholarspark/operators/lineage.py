@@ -1,11 +1,13 @@
-"""Tables that survive lost executors, and what iterates over them: connected components."""
+"""Tables that survive lost executors, and what is built on them: row numbers over all rows, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,37 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once an application: executors need no copy of the repository."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="scholarspark-src-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
+
+
+def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """``df`` with the number of each row, from 1, in the order of the columns; no task sees more than its partition.
+
+    Rows are dealt by range and written down, so that every later pass agrees on the partitions; each partition's rows are
+    then numbered from the total of those before it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    totals = placed.groupBy("__part").agg(F.count("*").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("__part", before.alias("__start"))
+    nth = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.withColumn("__nth", nth).join(starts, "__part").withColumn(name, F.col("__start") + F.col("__nth")).drop("__part", "__nth", "__start")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected graph given as pairs of longs: ``(node, component)``, component the smallest node.
 

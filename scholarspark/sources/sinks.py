@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_present, present
+from ..operators.lineage import number_rows
 
 CSV_COLUMNS = ("order", "title", "authors", "year", "venue", "doi", "url")
 
@@ -16,8 +17,7 @@ def quoted(c: Column) -> Column:
 
 def csv_lines(papers: DataFrame) -> DataFrame:
     """``(order, line)``: each paper as a line of quoted fields, in order of id."""
-    order = F.row_number().over(Window.orderBy("id"))
-    rows = papers.select(order.alias("order"), "title", "authors", "year", first_present("venue").alias("venue"), "doi", F.when(present("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), F.trim("doi"))).alias("url"))
+    rows = number_rows(papers, ["id"], "order").select("order", "title", "authors", "year", first_present("venue").alias("venue"), "doi", F.when(present("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), F.trim("doi"))).alias("url"))
     return rows.select("order", F.array_join(F.array(*[quoted(F.col(c)) for c in CSV_COLUMNS]), ",").alias("line"))
 
 

@@ -65,3 +65,22 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def retry_states(results: DataFrame, base: int = 600, most: int = 86400) -> DataFrame:
+    """``(paper_id, attempts, next_run_at)`` after each micro-batch of results ``(paper_id, at, ok)``, kept per paper.
+
+    A success forgets the failures and asks again after a day; failures back off, doubling up to five times.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, frames, state: GroupState):
+        attempts, due = state.get if state.exists else (0, 0)
+        for row in pd.concat(list(frames)).sort_values("at").itertuples():
+            attempts = 0 if row.ok else attempts + 1
+            due = int(row.at) + (most if row.ok else min(base * 2 ** min(attempts, 5), most))
+        state.update((attempts, due))
+        yield pd.DataFrame({"paper_id": [key[0]], "attempts": [attempts], "next_run_at": [due]})
+
+    return results.groupBy("paper_id").applyInPandasWithState(step, "paper_id long, attempts int, next_run_at long", "attempts int, due long", "update", GroupStateTimeout.NoTimeout)

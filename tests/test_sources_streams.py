@@ -69,3 +69,26 @@ def test_merge_edges_stream(spark, tmp_path):
     got = {(r.source_paper_id, r.target_paper_id): r.confidence for r in spark.read.parquet(f"{out}/v=1").collect()}
     assert got == {(1, 2): 0.8, (1, 3): None, (4, 5): 0.1}
     assert spark.read.parquet(f"{out}/v=1").agg(F.count("*")).first()[0] == 3
+
+
+def test_retry_states_across_batches(spark, tmp_path):
+    schema = "paper_id long, at long, ok boolean"
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r.paper_id: (r.attempts, r.next_run_at) for r in batch.collect()})
+
+    for k, rows in enumerate(([(1, 10, False), (1, 20, False), (2, 5, True)], [(1, 100, False), (3, 7, False)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = jobs.retry_states(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert seen == {1: (3, 100 + 4800), 2: (0, 5 + 86400), 3: (1, 7 + 1200)}
+
+
+def test_numbered_rows(spark):
+    from scholarspark.operators.lineage import number_rows
+
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("id")).union(spark.createDataFrame([(None,)], "id long"))
+    got = [r.id for r in number_rows(df, ["id"]).orderBy("n").collect()]
+    assert got == [None, *range(1000)]
