@@ -1,63 +1,15 @@
-"""Shared plumbing: tables that survive lost executors, and distributed connected components."""
+"""Shared plumbing of the subpackage: the library's written tables and components, and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
+from ..operators.lineage import connected_components, materialize, release, scratch_dir, ship_package
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="scholarspark-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Cuts lineage like ``checkpoint()`` without computing the last stage twice; a lost executor costs only a reread.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # parquet columns come back nullable, whatever the plan knew
-    out = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def release(df: DataFrame) -> None:
-    """Delete the table behind a ``materialize`` result that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the Python workers, once an application: executors need no copy of the repository."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        package = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="scholarspark-src-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(target))
-        _SHIPPED.add(sc.applicationId)
+__all__ = ["connected_components", "free_name", "map_arrow", "materialize", "release", "scratch_dir", "ship_package"]
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -85,33 +37,3 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dic
                 yield out
 
     return df.mapInArrow(run, schema)
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Components of an undirected graph given as pairs of longs: ``(node, component)``, component the smallest node.
-
-    Only nodes of an edge appear; null ends and self-loops are ignored, repeated edges count once, no edges give
-    no rows. Each round every node takes the least label next to it, hands it to the node that its old label
-    names, and follows labels one jump (so chains shrink geometrically, and a label's group merges as one).
-    Nothing but a change count reaches the driver. Each round's labels are a written table of the shared folder.
-    """
-    pairs = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where(F.col("u") < F.col("v")).distinct()
-    e = materialize(pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.u", "p.v"), "cc-edges")
-    labels = materialize(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-labels")
-    while True:
-        near = e.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").select(F.col("u").alias("node"), "near")
-        seen = near.join(labels, "node")
-        offers = labels.select("node", F.col("label").alias("offer")).union(seen.select("node", F.col("near").alias("offer"))).union(seen.select(F.col("label").alias("node"), F.col("near").alias("offer")))
-        hooked = materialize(offers.groupBy("node").agg(F.min("offer").alias("to")), "cc-hooked")
-        jumped = hooked.join(hooked.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label")
-        watch = Observation()
-        before = labels.select("node", F.col("label").alias("old"))
-        after = jumped.join(before, "node").observe(watch, F.count_if(F.col("label") != F.col("old")).alias("changed"))
-        nxt = materialize(after.select("node", "label"), "cc-labels")
-        changed = watch.get["changed"]
-        release(labels)
-        release(hooked)
-        labels = nxt
-        if not changed:
-            release(e)
-            return labels.withColumnRenamed("label", "component")

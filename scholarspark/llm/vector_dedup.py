@@ -24,6 +24,8 @@ from .common import connected_components, map_arrow, materialize, ship_package
 DIRECTIONS, HALF_WIDTH, MISS = 24, 2.5, 1e-6
 #: Cell width in standard deviations, and most vectors in a block.
 CELL, BLOCK = 5.0, 2048
+#: Most cells whose table (60 bytes a row) is broadcast; beyond it vectors are shuffled to their cells.
+BROADCAST_CELLS = 100_000
 
 
 def least_collisions(directions: int = DIRECTIONS, half_width: float = HALF_WIDTH, miss: float = MISS) -> int:
@@ -111,12 +113,14 @@ def vector_components(vectors: DataFrame, min_cos: float = 0.98, id_col: str = "
         return {"node": batch.column("node"), "label": batch.column("label"), "n": batch.column("n"), "dim": sizes, "cell": cells, "unit": units, "shadow": shadows}
 
     shadows = materialize(map_arrow(classes.select("node", "label", "n", "vec"), project, "node long, label string, n long, dim int, cell int, unit binary, shadow binary"), "vector-shadows")
-    blocks = shadows.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = materialize(shadows.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "vector-blocks")
     # cells of one direction lie within a few widths of zero: the table of a label's cells is a handful of rows
     here = blocks.select("label", "dim", "cell", F.col("blocks").alias("own"))
     after = blocks.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("next"))
     prior = blocks.select("label", "dim", (F.col("cell") + 1).alias("cell"), F.col("blocks").alias("prev"))
     around = here.join(after, ["label", "dim", "cell"], "left").join(prior, ["label", "dim", "cell"], "left").na.fill(0, ["next", "prev"])
+    if blocks.count() <= BROADCAST_CELLS:
+        around = F.broadcast(around)
     placed = shadows.join(around, ["label", "dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
     upto = lambda col: F.when(F.col(col) > 0, F.sequence(F.lit(0), F.col(col) - 1)).otherwise(F.array().cast("array<int>"))
     c, b = F.col("cell"), F.col("b")

@@ -150,6 +150,33 @@ def test_line_dedup_odd_lines_of_one_print(spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()} == brute_lines(spark, d)
 
 
+def test_edit_test_equals_distance(spark):
+    rng = random.Random(1)
+    words = ["a", "bb", "ccc", "dog", "é", "word", "x"]
+    rows = []
+    for k in range(1500):
+        w = [rng.choice(words) for _ in range(rng.randint(1, 14))]
+        v = list(w)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(v) + 1)
+            v[at : at + rng.randint(0, 1)] = [rng.choice(words) for _ in range(rng.randint(0, 1))]
+        rows.append((k, k, " ".join(w), " ".join(v or ["z"])))
+    got = {r.a: r.ok for r in line_dedup.edit_tested(spark.createDataFrame(rows, "a long, b long, s string, t string"), 0.8).collect()}
+    assert got == {k: distance(s, t) <= int(0.2 * max(len(s), len(t)) + 1e-9) for k, _, s, t in rows} and len(set(got.values())) == 2
+
+
+def test_places_are_reversible(spark):
+    rows = [((1 << 63) - 1, 999_999_999, (1 << 31) - 1), (-(1 << 63), 0, 0), (-5, 123_456_789, 7), (0, 0, 0), (42, 5, 1)]
+    df = spark.createDataFrame(rows, "id long, th long, at int").select(line_dedup._place().alias("place"))
+    assert sorted(map(tuple, df.select(*line_dedup._parts("place")).collect())) == sorted(rows)
+
+
+def test_line_of_very_many_words(spark):
+    words = [f"w{k}" for k in range(40_000)]
+    d = frame(spark, [(1, " ".join(words)), (2, " ".join(words[:-3])), (3, " ".join(reversed(words)))])
+    assert {r.doc_id: len(r.text) > 0 for r in line_dedup.dedup_lines(d).collect()} == {1: True, 2: False, 3: True}
+
+
 def test_line_dedup_cases(spark):
     rows = [(3, "Same line here.\nOther text", 25), (1, "SAME   line, here\n***\n\n***", 25), (2, None, 7), (4, "", 0), (None, "Same line here.", 15), (5, "Same line here!", 15), (6, "long " * 9000 + "a\nlong " + "long " * 9000 + "a"), (7, "twin\nline"), (7, "twin\nline"), (7, "twin\nelse")]
     got = sorted(((r.doc_id, r.text, r.n_chars) for r in line_dedup.dedup_lines(frame(spark, rows)).collect()), key=str)
