@@ -7,11 +7,7 @@ from scholarspark.plans.catalog import ORACLES, QUERIES
 from .conftest import DATA
 from .oracle import assert_same, connect
 
-SF = f"{DATA}/sf0.001"
-#: Empty on the smallest tables, for lack of repetition there.
-MAY_BE_EMPTY = {"a9_doi_conflicts", "g12_edge_focus", "f11_schema_search", "w1_bursts", "a5_having", "x10_line_datasets", "g1_subgraph", "j4_backlinks", "g4_shortest_path"}
-
-
+SF = f"{DATA}/sf0.01"
 @pytest.fixture(scope="module")
 def con():
     return connect(SF)
@@ -20,7 +16,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, con, name):
     got = assert_same(QUERIES[name](spark, SF), con, ORACLES[name])
-    assert got or name in MAY_BE_EMPTY
+    assert got
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
