@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, ship_package
+from .common import map_arrow, ship_package, slices
 
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
@@ -202,7 +202,7 @@ def filter_language(docs: DataFrame, training_docs: DataFrame, min_score: float
     ship_package(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = net.classify([t.as_py() for t in batch.column(at)])
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 

@@ -35,7 +35,7 @@ class Ids:
     then apply to its byte symbols directly, and a full stop or comma after an ASCII letter is a word of its own.
     """
 
-    def __init__(self, raw: str, cached_words: int = 300_000):
+    def __init__(self, raw: str, cached_words: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw)

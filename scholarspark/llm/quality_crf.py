@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, ship_package
+from .common import map_arrow, ship_package, slices
 
 SYMBOLS = "#*$%&|<>"
 #: Words that mark notices and page furniture.
@@ -237,7 +237,7 @@ def filter_quality(docs: DataFrame, training_docs: DataFrame, labels: DataFrame,
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for t in batch.column(at):
                 text = t.as_py()
