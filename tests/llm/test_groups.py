@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -141,6 +142,23 @@ def test_line_dedup_against_brute_force(spark):
     assert got == want and any(got[r.doc_id] != r.text for r in d.collect())
 
 
+def test_line_dedup_finds_near_copies(spark):
+    """Recall against the edit distance of all line pairs: lines of 14 to 140 words, of which some are changed."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(2000)]
+    lines = []
+    for n, times in ((14, 24), (20, 16), (30, 8), (60, 4), (140, 2)):
+        for _ in range(times):
+            words = rng.choices(vocabulary, k=n)
+            copy = list(words)
+            for at in rng.sample(range(n), max(1, n // 14)):
+                copy[at] = rng.choice(vocabulary)
+            lines += [" ".join(words), " ".join(copy)]
+    alike = {j for i, j in combinations(range(len(lines)), 2) if abs(len(lines[i]) - len(lines[j])) <= 0.2 * max(len(lines[i]), len(lines[j])) and distance(lines[i], lines[j]) <= 0.2 * max(len(lines[i]), len(lines[j]))}
+    got = {r.doc_id for r in line_dedup.dedup_lines(frame(spark, list(enumerate(lines)))).collect() if r.text == ""}
+    assert len(alike) >= 50 and got <= alike and len(got) >= 0.95 * len(alike)
+
+
 def test_line_dedup_odd_lines_of_one_print(spark):
     """Lines of the same words in other orders share a SimHash without being similar; all their links still count."""
     words = [f"word{k}" for k in range(12)]
