@@ -82,7 +82,7 @@ def table_metrics(t):
 
 @query("x12_citation_contexts")
 def citation_contexts(t):
-    refs = t.citations.where("source_paper_id <> target_paper_id").join(t.papers.select(F.col("id").alias("source_paper_id"), F.col("abstract").alias("text")), "source_paper_id").join(t.papers.select(F.col("id").alias("target_paper_id"), "title", "doi"), "target_paper_id")
+    refs = t.citations.where("source_paper_id <> target_paper_id").join(t.documents.select(F.col("doc_id").alias("source_paper_id"), "text"), "source_paper_id").join(t.papers.select(F.col("id").alias("target_paper_id"), "title", "doi"), "target_paper_id")
     return extraction.citation_contexts(refs).select("source_paper_id", "target_paper_id", "context")
 
 
