@@ -86,6 +86,19 @@ query(
     "WITH RECURSIVE sg AS (SELECT source_paper_id AS a, target_paper_id AS b FROM citations WHERE coalesce(confidence, 1) >= 0.8 AND source_paper_id % 3 = 0 AND source_paper_id <> target_paper_id), bg AS (SELECT a, b FROM sg UNION SELECT b, a FROM sg), r AS (SELECT a AS node, a AS x FROM bg UNION SELECT r.node, bg.b FROM r JOIN bg ON r.x = bg.a) SELECT node, min(x) AS component FROM r GROUP BY 1",
 )(lambda t: graph.components(t.citations.where("coalesce(confidence, 1) >= 0.8 AND source_paper_id % 3 = 0")))
 
+
+@query("g_components_all")
+def components_all(t):
+    """Components of the whole citations table; checked against union-find in the tests."""
+    return graph.components(t.citations)
+
+
+@query("g2_pagerank_all")
+def pagerank_all(t):
+    """PageRank over the whole citations table; checked against a plain rewrite in the tests."""
+    return graph.pagerank(t.papers, graph.simple_edges(t.citations), 12).select("id", F.round("rank", 9).alias("rank"))
+
+
 # entity resolution ------------------------------------------------------------------------------------------------
 
 INCOMING = "inc AS (SELECT CASE WHEN id % 2 = 0 THEN 100000 + id ELSE 200000 + id END AS id, CASE WHEN id % 3 = 0 THEN concat('New ', title) ELSE title END AS title, year, CASE WHEN id % 3 = 1 THEN doi END AS doi, file_hash, abstract, citation_count + 1 AS citation_count FROM papers WHERE id % 5 = 0)"

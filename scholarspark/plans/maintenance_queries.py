@@ -21,6 +21,14 @@ from .relational_queries import NZ_FILE, TODAY
 query("p2_rank_size", "papers citations", f"SELECT id, round(20 + least(50.0, 800 * rank), 5) AS size FROM ({_pagerank_sql(3)})")(
     lambda t: graph.pagerank(t.papers, graph.simple_edges(t.citations.where("source_paper_id % 10 <> 3")), 3).select("id", F.round(20 + F.least(F.lit(50.0), 800 * F.round("rank", 9)), 5).alias("size"))
 )
+
+
+@query("p2_rank_size_all")
+def rank_size_all(t):
+    """Sizes by the ranks of the whole citations table."""
+    return graph.pagerank(t.papers, graph.simple_edges(t.citations), 3).select("id", F.round(20 + F.least(F.lit(50.0), 800 * F.round("rank", 9)), 5).alias("size"))
+
+
 query(
     "p3_node_view",
     "papers reading_tasks experiments",

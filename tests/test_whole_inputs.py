@@ -1,7 +1,10 @@
 """Queries over whole texts and tables where the others read a part."""
 
+from scholarspark.plans.adapter import Tables
 from scholarspark.plans.catalog import QUERIES
 
+from .conftest import DATA
+
 
 def documents(spark, folder, texts):
     rows = [(i, text, "en", "web", len(text)) for i, text in enumerate(texts)]
@@ -13,3 +16,40 @@ def test_citation_contexts_behind_the_first_characters(spark, tmp_path):
     sf = documents(spark, tmp_path, ["Zeroth kind", "Another study\n" + "filler words " * 300 + "end. Here zeroth ideas follow."])
     got = {(r.source_paper_id, r.target_paper_id): r.context for r in QUERIES["x12_citation_contexts"](spark, sf).collect()}
     assert got[1, 0] == "Here zeroth ideas follow."
+
+
+def test_components_and_ranks_of_all_citations(spark):
+    sf = f"{DATA}/sf0.001"
+    t = Tables(spark, sf)
+    ids = sorted(r.id for r in t.papers.select("id").collect())
+    edges = {(r.source_paper_id, r.target_paper_id) for r in t.citations.collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    assert {tuple(r) for r in QUERIES["g_components_all"](spark, sf).collect()} == {(x, find(x)) for x in list(parent)}
+    known, out = set(ids), {}
+    for a, b in edges:
+        if b in known:
+            out.setdefault(a, []).append(b)
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for step in range(12):
+        lost = sum(r for i, r in rank.items() if i not in out)
+        new = dict.fromkeys(ids, 0.15 / len(ids) + 0.85 * lost / len(ids))
+        for a, targets in out.items():
+            for b in targets:
+                new[b] += 0.85 * rank[a] / len(targets)
+        rank = new
+        if step == 2:
+            sizes = {i: 20 + min(50.0, 800 * r) for i, r in rank.items()}
+    got = {r.id: r["rank"] for r in QUERIES["g2_pagerank_all"](spark, sf).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-8 for i in ids)
+    got = {r.id: r["size"] for r in QUERIES["p2_rank_size_all"](spark, sf).collect()}
+    assert got.keys() == sizes.keys() and all(abs(got[i] - sizes[i]) < 2e-5 for i in ids)
