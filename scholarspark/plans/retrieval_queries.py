@@ -84,6 +84,24 @@ query(
 )(lambda t: retrieval.hybrid_search(_titles(t), ASKED, 20))
 
 
+@query("r6_tfidf_chars_all")
+def tfidf_chars_all(t):
+    """Character scores over whole texts."""
+    return retrieval.tfidf_scores(t.documents, ASKED, retrieval.char_grams, 5000).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query("r7_hybrid_search_all")
+def hybrid_search_all(t):
+    """The hybrid search over whole texts."""
+    return retrieval.hybrid_search(t.documents, ASKED, 20)
+
+
+@query("r9_hash_vectors_all")
+def hash_vectors_all(t):
+    """Hash embeddings of whole texts."""
+    return retrieval.hash_vectors(t.documents).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
 @query("r8_chunks")
 def chunks(t):
     """Chunks of all documents, as counts; the cutting rule is sequential, so it is tested against a plain rewrite."""

@@ -1,5 +1,10 @@
 """Queries over whole texts and tables where the others read a part."""
 
+import hashlib
+import re
+from collections import Counter
+from itertools import pairwise
+
 from scholarspark.plans.adapter import Tables
 from scholarspark.plans.catalog import QUERIES
 
@@ -53,3 +58,18 @@ def test_components_and_ranks_of_all_citations(spark):
     assert got.keys() == rank.keys() and all(abs(got[i] - rank[i]) < 1e-8 for i in ids)
     got = {r.id: r["size"] for r in QUERIES["p2_rank_size_all"](spark, sf).collect()}
     assert got.keys() == sizes.keys() and all(abs(got[i] - sizes[i]) < 2e-5 for i in ids)
+
+
+def test_search_reads_whole_texts(spark, tmp_path):
+    sf = documents(spark, tmp_path, ["First line\n" + "filler words " * 200 + "tion the", "Nothing here\nbut filler", "Again\n" + "filler " * 300 + "onthere"])
+    assert {r.doc_id for r in QUERIES["r7_hybrid_search_all"](spark, sf).collect()} >= {0, 2}
+    assert {r.doc_id for r in QUERIES["r6_tfidf_chars_all"](spark, sf).collect()} >= {0, 2}
+    got, want = {}, {}
+    for r in QUERIES["r9_hash_vectors_all"](spark, sf).collect():
+        got[r.doc_id, r.bucket] = r.weight
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = re.findall(r"\w\w+", r.text.lower())
+        counts = Counter(int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % 512 for x in words + [" ".join(p) for p in pairwise(words)])
+        norm = sum(c * c for c in counts.values()) ** 0.5
+        want |= {(r.doc_id, b): c / norm for b, c in counts.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
