@@ -9,6 +9,7 @@ their length. The driver sees ``capacity`` counts and a few thousand kinds of bi
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ from .wordcache import WordCache
 CAPACITY = 2048
 #: Id that ends every document.
 END = 0
+#: Words in a generation of a worker's memo.
+CACHED_WORDS = 400_000
 
 
 class Ids:
@@ -32,16 +35,28 @@ class Ids:
     The tokenizer drops white space and nothing it does reaches across it, so each run of other characters is encoded
     once and remembered; texts are parted at ASCII white space. It lower-cases all but its special tokens, so texts
     without a ``<|`` are looked up in lower case. A run of Latin letters is one word to the tokenizer, whose merges
-    then apply to its byte symbols directly, and a full stop or comma after an ASCII letter is a word of its own.
+    then apply to its byte symbols directly, and ASCII marks after its last letter are a word of their own. A tokenizer
+    that does not work so is refused; ``cached_words`` bounds a generation of the memo (about 200 bytes a word).
     """
 
-    def __init__(self, raw: str, cached_words: int = 150_000):
+    #: ASCII marks that are neither letter, digit nor apostrophe.
+    MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+    #: The steps before the merges on which the shortcuts above rest.
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, raw: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
+        steps = json.loads(raw)
+        cuts = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        normal = [n.get("type") for n in (steps.get("normalizer") or {}).get("normalizers") or []]
+        if normal != self.NORMALIZERS or cuts[0].get("pattern") != {"Regex": self.SPLIT} or cuts[-1].get("type") != "ByteLevel" or cuts[-1].get("add_prefix_space"):
+            raise ValueError("the tokenizer must lower-case, drop white space and part words from marks")
         self.tokenizer = Tokenizer.from_str(raw)
         self.merges = self.tokenizer.model.tokenize
         self.words = WordCache(self.encode_word, cached_words)
-        self.stops = {mark: self.encode_whole(mark) for mark in (b".", b",")}
+        self.tails = WordCache(self.encode_whole, 10_000)
         # the byte-level alphabet: printable Latin-1 stands for itself, the other bytes for characters from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = iter(range(256, 512))
@@ -51,8 +66,12 @@ class Ids:
         return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode_word(self, word: bytes) -> bytes:
-        if word[-1:] in self.stops and word[-2:-1].isalpha() and word[:-1].isalnum():
-            return self.words[word[:-1]] + self.stops[word[-1:]]
+        stem = word.rstrip(self.MARKS)
+        if len(stem) < len(word):
+            letters = stem.decode()
+            if letters.isalpha() and max(letters) < "\u0250" and letters.lower().isalpha():
+                return self.words[stem] + self.tails[word[len(stem) :]]
+            return self.encode_whole(word)
         text = word.decode()
         if not text.isalpha() or max(text) >= "\u0250":
             return self.encode_whole(word)
@@ -69,23 +88,23 @@ class Ids:
         return b"".join(map(self.words.__getitem__, raw.split()))
 
 
-_IDS: dict[int, Ids] = {}
+_IDS: dict[tuple[int, int], Ids] = {}
 
 
-def ids_of(raw: str) -> Ids:
-    key = hash(raw)
+def ids_of(raw: str, cached_words: int = CACHED_WORDS) -> Ids:
+    key = hash(raw), cached_words
     if key not in _IDS:
-        _IDS[key] = Ids(raw)
+        _IDS[key] = Ids(raw, cached_words)
     return _IDS[key]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """``(id, piece, start, length, ids)``: each document's ids and the end id, cut only where longer than a sequence."""
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batch: pa.RecordBatch) -> dict:
-        words = ids_of(shared.value)
+        words = ids_of(shared.value, cached_words)
         out: dict[str, list] = {k: [] for k in ("id", "piece", "start", "length", "ids")}
         end = np.array([END], "<u4").tobytes()
         size = 4 * capacity
@@ -172,16 +191,17 @@ def places(bins: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
     return {x: np.array(r, np.int64) for x, r in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: ``(id, piece, start, length, ids_crc32, sequence_id, offset)``, and ``ids`` on request.
 
     A null or blank text is the end id alone. Texts longer than a sequence are cut into full pieces and a rest, others
     are never cut. Repeated rows and ids are packed as often as they come; a null id is kept. No rows give no rows. Other
     columns are neither read nor returned. Within a length, ranks follow a hash of the piece's contents: they are
     computed over many slices of each length, so that one frequent length, or group of copies, is spread too.
+    ``cached_words`` bounds the memory of a worker's memo and changes no result.
     """
     spark = docs.sparkSession
-    cut = pieces(docs, tokenizer_path or default_tokenizer(), capacity, id_col, text_col)
+    cut = pieces(docs, tokenizer_path or default_tokenizer(), capacity, id_col, text_col, cached_words)
     crc = F.crc32("ids").alias("ids_crc32")
     thin = materialize(cut.select("id", "piece", "start", "length", crc, *(["ids"] if with_ids else [])), "pack-pieces")
     counts = {r["length"]: r["n"] for r in thin.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
@@ -215,6 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
 
 
 def packing_digest(packed: DataFrame) -> DataFrame:
+    """The rows of ``pack`` without their ids, whatever they are: nulls, repeated rows and no rows stay as they come."""
     return packed.drop("ids")
 
 
