@@ -263,6 +263,52 @@ def test_collision_counts_and_calibration():
     assert (hits >= bound).mean() > 0.9999 and bound > vector_dedup.DIRECTIONS // 2
 
 
+def test_meetings_grow_nearly_linearly_and_true_pairs_meet():
+    """Unrelated meetings in a label that grows eightfold, and pairs at the very threshold that share a cell."""
+    rng = np.random.default_rng(6)
+    sigma = np.sqrt(0.04)
+    met, moved = {}, {}
+    for n in (3000, 24_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        k, tables = vector_dedup.tables_for(n, sigma)
+        cells = vector_dedup.cells_of(x, k, tables, vector_dedup.CELL * sigma)
+        sizes = [np.unique(cells[:, t], return_counts=True)[1] for t in range(tables)]
+        met[n], moved[n] = sum(int((c * (c - 1) // 2).sum()) for c in sizes), sum(int(c[c > 1].sum()) for c in sizes)
+        assert met[n] < 0.01 * n * (n - 1) / 2
+        off = rng.normal(size=(2000, 64))
+        y = x[:2000]
+        off -= np.einsum("nd,nd->n", off, y)[:, None] * y
+        off /= np.linalg.norm(off, axis=1, keepdims=True)
+        other = vector_dedup.cells_of(0.98 * y + np.sqrt(1 - 0.98**2) * off, k, tables, vector_dedup.CELL * sigma)
+        assert (other == cells[:2000]).any(axis=1).mean() > 0.999
+    assert met[24_000] < 8**1.35 * met[3000] and moved[24_000] < 8**1.35 * moved[3000]
+
+
+def test_units_give_each_pair_once():
+    """Meetings in several tables, of small and large cells and pairs of blocks, against all pairs."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(12, 16))
+    v = np.repeat(base, 25, axis=0) + rng.normal(size=(300, 16)) * 0.05
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    shadow = (v @ np.random.default_rng(1).normal(size=(16, vector_dedup.DIRECTIONS))).astype("f4")
+    cells = vector_dedup.cells_of(v, 2, 30, 1.2)
+    rows = []  # (vector, bucket, i, j, side, table)
+    for t in range(30):
+        for c in np.unique(cells[:, t]):
+            who = np.flatnonzero(cells[:, t] == c)
+            blocks = -(-len(who) // 90)
+            for w in who:
+                for k in range(blocks):
+                    b = int(w) % blocks
+                    rows.append((w, hash((t, int(c))), min(b, k), max(b, k), int(b > k), t))
+    who, bucket, i, j, side, table = (np.array(c) for c in zip(*rows, strict=True))
+    a, b = vector_dedup.meet_in_units(bucket, i, j, side, table, v[who], shadow[who], cells[who], 0.98, 0.5, vector_dedup.least_collisions())
+    got = sorted(tuple(sorted(p)) for p in zip(who[a].tolist(), who[b].tolist(), strict=True))
+    want = sorted((x, y) for x, y in combinations(range(300), 2) if v[x] @ v[y] >= 0.98)
+    assert len(want) > 500 and got == want
+
+
 # shards -----------------------------------------------------------------------------------------------------------
 
 
