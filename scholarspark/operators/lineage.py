@@ -13,22 +13,24 @@ from pyspark.sql import types as T
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where the session names none, a temporary one in local mode only."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scholarspark-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()`` without computing the last stage twice; a lost executor costs only a reread.
     """
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     # parquet columns come back nullable, whatever the plan knew
     out = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
     out._scratch_path = path
@@ -101,4 +103,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         labels = nxt
         if not changed:
             release(e)
-            return labels.withColumnRenamed("label", "component")
+            out = labels.withColumnRenamed("label", "component")
+            out._scratch_path = labels._scratch_path  # so that a caller can release it
+            return out
