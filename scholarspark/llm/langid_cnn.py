@@ -26,6 +26,8 @@ WINDOW = 256
 #: Bound of the training sample: most texts of one language, and most bytes of one of them (a stretch from its middle).
 MAX_TEXTS_PER_LANG = 400
 MAX_BYTES_PER_TEXT = 4096
+#: Most languages that are learned, the commonest.
+MAX_LANGS = 500
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -64,34 +66,39 @@ class ByteNetwork:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def gradients(self, x: np.ndarray, target: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross entropy of windows with one-hot targets, and its gradient by each parameter."""
+        wide, rows = max(WIDTHS), np.arange(len(x))
+        h, p = self.pooled(x)
+        peak = h.argmax(axis=1)
+        top = np.take_along_axis(h, peak[:, None, :], 1)[:, 0] + self.filter_bias
+        a = np.maximum(top, 0)
+        z = a @ self.out + self.out_bias
+        z = z - z.max(axis=1, keepdims=True)
+        loss = float((np.log(np.exp(z).sum(axis=1)) - (z * target).sum(axis=1)).mean())
+        z = np.exp(z)
+        dz = (z / z.sum(axis=1, keepdims=True) - target) / len(x)
+        da = (dz @ self.out.T) * (top > 0)
+        under = p[rows[:, None], peak]  # (rows, filters, bytes under the filter)
+        d_filters = np.einsum("rfk,rf->kf", under, da) * self.mask
+        d_under = (da[:, :, None] * self.filters.T).reshape(len(x), -1, wide, EMBEDDING)
+        at_bytes = x[rows[:, None, None], peak[:, :, None] + np.arange(wide)]
+        d_embedding = np.zeros_like(self.embedding)
+        np.add.at(d_embedding, at_bytes.ravel(), d_under.reshape(-1, EMBEDDING))
+        return loss, [d_embedding, d_filters, da.sum(0), a.T @ dz, dz.sum(0)]
+
     def fit(self, windows: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> ByteNetwork:
         rng = np.random.default_rng(seed)
         params = [self.embedding, self.filters, self.filter_bias, self.out, self.out_bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        step, wide = 0, max(WIDTHS)
-        steps = epochs * math.ceil(len(y) / batch)
+        step, steps = 0, epochs * math.ceil(len(y) / batch)
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(y), batch):
                 rows = order[at : at + batch]
-                x, target = windows[rows], np.eye(len(self.langs), dtype="f4")[y[rows]]
-                h, p = self.pooled(x)
-                peak = h.argmax(axis=1)
-                top = np.take_along_axis(h, peak[:, None, :], 1)[:, 0] + self.filter_bias
-                a = np.maximum(top, 0)
-                z = a @ self.out + self.out_bias
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                dz = (z / z.sum(axis=1, keepdims=True) - target) / len(rows)
-                da = (dz @ self.out.T) * (top > 0)
-                under = p[np.arange(len(rows))[:, None], peak]  # (rows, filters, bytes under the filter)
-                d_filters = np.einsum("rfk,rf->kf", under, da) * self.mask
-                d_under = (da[:, :, None] * self.filters.T).reshape(len(rows), -1, wide, EMBEDDING)
-                at_bytes = x[np.arange(len(rows))[:, None, None], peak[:, :, None] + np.arange(wide)]
-                d_embedding = np.zeros_like(self.embedding)
-                np.add.at(d_embedding, at_bytes.ravel(), d_under.reshape(-1, EMBEDDING))
                 step += 1
                 now = rate * (1 - step / (steps + 1))
-                for k, g in enumerate((d_embedding, d_filters, da.sum(0), a.T @ dz, dz.sum(0))):
+                for k, g in enumerate(self.gradients(windows[rows], np.eye(len(self.langs), dtype="f4")[y[rows]])[1]):
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     params[k] -= (now / (1 - 0.9**step) * m[k] / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype("f4")
@@ -143,22 +150,25 @@ def is_held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = MAX_TEXTS_PER_LANG, most_bytes: int = MAX_BYTES_PER_TEXT) -> ByteNetwork:
-    """A network fitted on about ``per_lang`` texts (twice as many at most) of each language outside the held-out rows.
+def train_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = MAX_TEXTS_PER_LANG, most_bytes: int = MAX_BYTES_PER_TEXT, most_langs: int = MAX_LANGS) -> ByteNetwork:
+    """A network fitted on about ``per_lang`` texts of each language outside the held-out rows.
 
     The texts are those whose ids hash lowest, so they spread over all sources; of a long one a stretch of
-    ``most_bytes`` characters from the middle is learned. Rows without a language or a letter teach nothing.
+    ``most_bytes`` characters from the middle is learned. Rows without a language or a letter teach nothing. Of more than
+    ``most_langs`` languages the commonest are learned: it bounds the counts and texts that the driver gathers.
+    Rows that repeat an id have one rank; at most twice the expected texts are taken, in order of rank and text.
     """
     labelled = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     size = F.length(text_col)
     stretch = F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((size - most_bytes) / 2).cast("int") + 1), F.lit(most_bytes))
     rank = F.xxhash64(F.col(id_col), F.lit("language"))
-    cut = _rank_bounds(labelled, lang_col, per_lang)
+    cut = _rank_bounds(labelled, lang_col, per_lang, most_langs)
     rows = labelled.select(F.col(lang_col).alias("lang"), rank.alias("rank"), stretch.alias("text"))
     limit = F.lit(None).cast("long")
     for lang, top in cut.items():
         limit = F.when(F.col("lang") == lang, F.lit(top)).otherwise(limit)
-    sample = sorted(((r["lang"], r["rank"], r["text"]) for r in rows.where(F.col("rank") <= limit).limit(2 * per_lang * max(1, len(cut))).collect()), key=lambda r: r[:2])
+    taken = rows.where(F.col("rank") <= limit).orderBy("rank", "lang", "text").limit(2 * per_lang * max(1, len(cut)))
+    sample = sorted((r["lang"], r["rank"], r["text"]) for r in taken.collect())
     langs = sorted(cut)
     net = ByteNetwork(langs)
     x, y = [], []
@@ -174,7 +184,7 @@ def train_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return net.fit(np.stack(x), np.array(y)) if len(langs) > 1 else net
 
 
-def _rank_bounds(labelled: DataFrame, lang_col: str, n: int, most_langs: int = 500) -> dict[str, int]:
+def _rank_bounds(labelled: DataFrame, lang_col: str, n: int, most_langs: int) -> dict[str, int]:
     """For each of the commonest languages the rank below which about ``n`` of its rows lie; ranks are uniform hashes."""
     counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     return {r["lang"]: (1 << 63) - 1 if r["n"] <= n else -(1 << 63) + (n << 64) // r["n"] for r in counts}
@@ -196,7 +206,11 @@ def predict_languages(docs: DataFrame, net: ByteNetwork, id_col: str = "doc_id",
 
 
 def filter_language(docs: DataFrame, training_docs: DataFrame, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is recognised with ``min_score`` or more."""
+    """The rows of ``docs``, with all their columns, whose language is recognised with ``min_score`` or more.
+
+    Null, empty and letterless texts go; texts are judged whole; repeated rows share their text's verdict; null ids and
+    nulls in other columns stay as they are; no rows give no rows. Training is ``train_network``'s.
+    """
     net = train_network(training_docs, text_col=text_col)
     at = docs.columns.index(text_col)
     ship_package(docs.sparkSession)
