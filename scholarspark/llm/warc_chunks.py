@@ -16,7 +16,7 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, scratch_dir, ship_package
@@ -73,10 +73,17 @@ def _head(page: int | None, url: str | None, size: int, digest: str, refers_to:
     return "\r\n".join([*lines, f"Content-Length: {body}", "", ""]).encode() + http
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark gives it, so that workers write where Spark itself would."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a folder with a scheme; one without is refused."""
     if "://" not in folder and folder.startswith("file:"):
         folder = "file://" + folder[5:]
-    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+    return pafs.FileSystem.from_uri(folder)
 
 
 def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
@@ -86,6 +93,7 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
     second archive: only files named in the table count.
     """
     ship_package(chunks.sparkSession)
+    folder = qualified(chunks.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
@@ -168,6 +176,8 @@ def _headers(raw: bytes) -> dict[str, str]:
 def read_chunks(source, chunk: int = CHUNK, block: int = 1 << 16) -> Iterator[dict]:
     """Chunk rows of an archive stream; memory stays within a chunk and a block whatever a record's size.
 
+    A stored payload that does not have the digest in its header, or a record of another length, raises an error.
+
     Keys: ``page``, ``record_type``, ``refers_to``, ``payload_bytes`` and ``stated_digest`` as the headers have them,
     ``chunk_no``, ``last``, ``data``, and ``digest``, the SHA-256 of the record's stored payload so far.
     """
@@ -183,7 +193,10 @@ def read_chunks(source, chunk: int = CHUNK, block: int = 1 << 16) -> Iterator[di
             data = stream.exactly(min(chunk, left))
             left -= len(data)
             running.update(data)
-            yield row | {"chunk_no": k, "last": left == 0, "data": data, "digest": running.copy().hexdigest()}
+            digest = running.copy().hexdigest()
+            if not left and row["record_type"] == "response" and digest != row["stated_digest"]:
+                raise ValueError(f"the payload of record {row['page']} is not the one that its digest names")
+            yield row | {"chunk_no": k, "last": left == 0, "data": data, "digest": digest}
             k += 1
             if not left:
                 break
@@ -197,6 +210,7 @@ CHUNK_SCHEMA = "page long, record_type string, refers_to long, payload_bytes lon
 def read_archives(files: DataFrame, folder: str, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
     """The chunked record table of the archives in ``files``; without data where only digests are wanted."""
     ship_package(files.sparkSession)
+    folder = qualified(files.sparkSession, folder)
     names = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]
     most_rows, most_bytes = 1000, 8 << 20
 
@@ -233,6 +247,9 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
 
 def record_summary(chunks: DataFrame) -> DataFrame:
-    """One row per record from its last chunk: its digest is the payload's; a revisit's is the one that it states."""
+    """One row per record from its last chunk: its digest is the payload's; a revisit's is the one that it states.
+
+    Repeated records and null ids stay as they are; no chunks give no rows.
+    """
     digest = F.when(F.col("record_type") == "revisit", F.col("stated_digest")).otherwise(F.col("digest"))
     return chunks.where("last").select(F.col("page").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
