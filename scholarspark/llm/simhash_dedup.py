@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, materialize
+from .common import connected_components, free_name, map_arrow, materialize
 
 #: Seed of XXH64 over a shingle's UTF-8 bytes.
 SEED = 42
 LOW = 0x5555555555555555
+#: Most bytes of a table of removed rows (16 a row) that is broadcast to where the texts are.
+BROADCAST_BYTES = 16 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -48,14 +50,18 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``(id, fp)`` of every row, the fingerprint as a signed long; a null or wordless text has 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """``(id, fp)`` of every row, the fingerprint as a signed long; a null or wordless text has 0.
+
+    With ``hashed`` a column ``th``, a hash of the text, tells texts of one fingerprint apart.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-        return {"id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
+        return {"id": batch.column(0), "fp": pa.array(fps.view(np.int64))} | ({"th": batch.column(2)} if hashed else {})
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, fp long")
+    more = [F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th")] if hashed else []
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more), run, "id long, fp long" + ", th long" * hashed)
 
 
 def unary_popcounts(fp: Column) -> Column:
@@ -87,6 +93,14 @@ def hamming_links(fps: DataFrame, max_bits: int = 2, bands: int = 6) -> DataFram
     return x.join(y, on).select(a.alias("a"), b.alias("b")).distinct()
 
 
+def fingerprint_groups(fps: DataFrame, max_bits: int = 2, bands: int = 6) -> DataFrame:
+    """``(fp, root, least)`` of each distinct ``fp`` of ``fps (id, fp)``: its component, and the smallest id in that."""
+    classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-classes")
+    of = connected_components(hamming_links(classes.select("fp"), max_bits, bands)).withColumnRenamed("node", "fp")
+    joined = classes.join(of, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
+    return joined.join(joined.groupBy("root").agg(F.min("least_id").alias("least")), "root").select("fp", "root", "least")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, bands: int = 6) -> DataFrame:
     """One row per input row: ``(<id_col>, fp, component)``, component the smallest id reachable by links.
 
@@ -97,19 +111,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows. Other columns are neither read nor returned, so their names cannot clash.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-classes")
-    of = connected_components(hamming_links(classes.select("fp"), max_bits, bands)).withColumnRenamed("node", "fp")
-    joined = classes.join(of, "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
-    groups = joined.groupBy("root").agg(F.min("least_id").alias("least"))
-    named = joined.join(groups, "root").select("fp", F.col("least").alias("component"))
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    named = fingerprint_groups(rows, max_bits, bands)
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", F.col("least").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, one of each; all columns of ``docs`` stay.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, bands: int = 6) -> DataFrame:
+    """One row of each component of ``docs``: the smallest id, of its texts the one with the smallest hash; all columns stay.
 
-    Of rows that repeat an id one stays. Rows without an id cannot be named as a component and stay as they are.
+    Of repeated rows one stays (which one, where other columns differ, is open). Rows that share an id but are unlike
+    belong to components of their own and stay. Rows without an id cannot be named and stay as they are. No rows give
+    no rows. The texts move only where the table of removed rows is too large to be broadcast.
     """
-    comp = simhash_components(docs.select(id_col, text_col), id_col, text_col, **options)
-    keep = comp.where(F.col(id_col) == F.col("component")).select(F.col(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, hashed=True), "simhash-rows")
+    named = fingerprint_groups(rows, max_bits, bands)
+    copies = materialize(rows.where("id IS NOT NULL").groupBy("id", "fp", "th").agg(F.count("*").alias("n")).join(named, "fp"), "simhash-copies")
+    chosen = copies.where("id = least").groupBy("root").agg(F.min(F.struct("id", "th", "n")).alias("c")).select("root", "c.*")
+    gone = materialize(copies.join(chosen.select("root", "id", "th"), ["root", "id", "th"], "left_anti").select("id", "th").distinct(), "simhash-gone")
+    again = materialize(chosen.where("n > 1").select("id", "th"), "simhash-repeated")
+    key, text = (free_name(docs, name) for name in ("gone_id", "gone_text"))
+    marked = docs.withColumn(text, th)
+    small = lambda table: F.broadcast(table) if 16 * table.count() <= BROADCAST_BYTES else table
+    at = lambda table: (marked[id_col].cast("long") == table[key]) & (marked[text] == table["th"])
+    named_gone, named_again = small(gone).withColumnRenamed("id", key), small(again).withColumnRenamed("id", key)
+    kept = marked.join(named_gone, at(named_gone), "left_anti")
+    if not again.limit(1).count():
+        return kept.drop(text)
+    single = kept.join(named_again, at(named_again), "left_anti")
+    repeated = kept.join(named_again, at(named_again), "left_semi").dropDuplicates([id_col, text])
+    return single.unionByName(repeated).drop(text)
