@@ -82,6 +82,13 @@ def test_simhash_cases(spark):
     assert simhash_dedup.simhash_components(frame(spark, [])).count() == 0 == simhash_dedup.drop_near_duplicates(frame(spark, [])).count()
 
 
+def test_dropping_keeps_unlike_rows_of_one_id(spark):
+    """Of a component one row stays; rows that share an id without being alike, and rows without an id, stay too."""
+    rows = [(1, "alpha beta gamma delta", 1), (1, "something else that is quite different", 2), (2, "alpha beta gamma delta", 3), (2, "a third text of some words here", 4), (2, "a third text of some words here", 4), (3, None, 5), (4, "", 6), (None, "alpha beta gamma delta", 7)]
+    got = sorted(((r.doc_id, r.text, r.n_chars) for r in simhash_dedup.drop_near_duplicates(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[5], rows[7]], key=str)
+
+
 def test_simhash_components_on_documents(spark):
     d = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     rows = simhash_dedup.simhash_components(d).collect()
@@ -418,6 +425,23 @@ def test_shards(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_shards_against_plain_prefix_sums(spark):
+    """Shard and slot of every row against one running sum over the sorted rows."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(80), "é" * rng.choice([0, 3, 40, 900]), 0) for _ in range(250)] + [(None, None, 0), (500, "z" * 20_000, 0)]
+    for shards in (1, 7, 40):
+        size = lambda t: len((t or "").encode()) + 16
+        order = sorted(((i if i is not None else -1, zlib.crc32((t or "").encode()), size(t)) for i, t, _ in rows))
+        total, up_to, slots, want = sum(s for *_, s in order), 0, Counter(), []
+        for i, crc, s in order:
+            shard = min(shards - 1, (2 * up_to + s) * shards // (2 * total))
+            want.append((i, crc, s, shard, slots[shard]))
+            up_to += s
+            slots[shard] += 1
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.text_crc32, r.size, r.shard, r.slot) for r in sharding.shard_by_bytes(frame(spark, rows), shards).collect())
+        assert got == sorted(want)
+
+
 # archives ---------------------------------------------------------------------------------------------------------
 
 PAGE = "page_id long, url string, html string, digest string, bytes string"
@@ -451,7 +475,7 @@ def test_archives_round_trip(spark):
 def test_archive_reader_is_bounded_and_strict():
     import io
 
-    head = warc_chunks._head(7, "u", 3_000_000, "d", None)
+    head = warc_chunks._head(7, "u", 3_000_000, hashlib.sha256(b"a" * 3_000_000).hexdigest(), None)
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     raw = packer.compress(head + b"a" * 3_000_000 + b"\r\n\r\n") + packer.flush()
     rows = list(warc_chunks.read_chunks(io.BytesIO(raw + raw), 1 << 20))
@@ -461,3 +485,21 @@ def test_archive_reader_is_bounded_and_strict():
         raise AssertionError("a cut archive was accepted")
     except (EOFError, zlib.error):
         pass
+    other = packer_of(head + b"a" * 2_999_999 + b"b" + b"\r\n\r\n")
+    try:
+        list(warc_chunks.read_chunks(io.BytesIO(other)))
+        raise AssertionError("a payload unlike its digest was accepted")
+    except ValueError:
+        pass
+
+
+def packer_of(raw):
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
+
+
+def test_archive_folder_without_scheme(spark, tmp_path):
+    """A folder without a scheme is the one that Spark itself would take it for."""
+    df = frame(spark, [(1, "u", "x" * 200), (2, "u", "x" * 200)], PAGE)
+    rows = warc_chunks.record_summary(warc_chunks.archive_pages(df, folder=str(tmp_path / "a"))).collect()
+    assert {(r.page_id, r.refers_to) for r in rows} == {(1, None), (2, 1)} and glob.glob(f"{tmp_path}/a/*.warc.gz")
