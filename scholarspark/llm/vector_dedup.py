@@ -16,13 +16,14 @@ meeting a task of bounded size; a task returns a sum and one tree edge for each
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, materialize, ship_package
+from .common import connected_components, map_arrow, materialize, release, ship_package
 
 #: Directions, half-width of a window in standard deviations, and the chance a true pair may be missed by its count.
 DIRECTIONS, HALF_WIDTH, MISS = 24, 2.5, 1e-6
@@ -35,6 +36,7 @@ FEW = 64
 BROADCAST_LABELS, BATCH = 100_000, 4096
 
 
+@lru_cache(maxsize=4096)
 def tables_for(n: int, sigma: float, block: int = BLOCK, miss: float = MISS) -> tuple[int, int]:
     """``(k, tables)`` for a label of ``n`` vectors whose farthest true pairs differ by ``sigma`` on a direction.
 
@@ -189,8 +191,7 @@ def vector_components(vectors: DataFrame, min_cos: float = 0.98, id_col: str = "
     classes = rows.where("usable").groupBy("label", "vec").agg(F.count("*").alias("n"), F.min("id").alias("least_id"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "vector-classes")
     sizes = materialize(classes.groupBy("label", "dim").agg(F.count("*").alias("members")), "vector-labels")
-    if sizes.count() <= BROADCAST_LABELS:
-        sizes = F.broadcast(sizes)
+    members = F.broadcast(sizes) if sizes.count() <= BROADCAST_LABELS else sizes
 
     def project(batch: pa.RecordBatch) -> dict:
         x = batch.column("vec")
@@ -209,7 +210,7 @@ def vector_components(vectors: DataFrame, min_cos: float = 0.98, id_col: str = "
                 units[row], shadows[row], cells[row] = a.tobytes(), b.tobytes(), c.tobytes()
         return {"node": batch.column("node"), "label": batch.column("label"), "n": batch.column("n"), "dim": batch.column("dim"), "unit": units, "shadow": shadows, "cells": cells, "cell": [np.frombuffer(c, np.int64) for c in cells]}
 
-    shadows = materialize(map_arrow(classes.join(sizes, ["label", "dim"]).select("node", "label", "n", "dim", "members", "vec"), project, "node long, label string, n long, dim int, unit binary, shadow binary, cells binary, cell array<long>"), "vector-shadows")
+    shadows = materialize(map_arrow(classes.join(members, ["label", "dim"]).select("node", "label", "n", "dim", "members", "vec"), project, "node long, label string, n long, dim int, unit binary, shadow binary, cells binary, cell array<long>"), "vector-shadows")
     keyed = shadows.select("label", "dim", "node", F.posexplode("cell").alias("tab", "cell"))
     buckets = keyed.groupBy("label", "dim", "tab", "cell").agg(F.count("*").alias("met")).where("met > 1")
     buckets = materialize(buckets.select("label", "dim", "tab", "cell", "met", F.ceil(F.col("met") / block).cast("int").alias("blocks"), F.monotonically_increasing_id().alias("bucket")), "vector-cells")
@@ -240,6 +241,8 @@ def vector_components(vectors: DataFrame, min_cos: float = 0.98, id_col: str = "
     roots = connected_components(found.where("node <> rep"), "node", "rep")
     named = classes.select("node", "label", "vec", "n", "least_id").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
     named = materialize(named.select("node", "label", "vec", "n", "least_id", "links", "root"), "vector-named")
+    for table in (classes, sizes, shadows, buckets, found, roots):
+        release(table)
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = named.join(least, "root").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     good = rows.where("usable").join(of, ["label", "vec"]).select("id", "n_links", "component_id")
