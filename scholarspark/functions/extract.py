@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .scalar import AFFILIATIONS, col
 
 AFFILIATION = r"\b(" + "|".join(AFFILIATIONS) + r")\b"
+# Fixed value: the pattern of a DOI.
 DOI = r"(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b"
 
 # Dataset names in the order in which they are looked for.
@@ -55,8 +56,8 @@ def lines(c: Column | str) -> Column:
 
 
 def guess_title(c: Column | str) -> Column:
-    """The longest plausible line of the first 30: 10 to 200 characters, no abstract, address or affiliation; the first on ties."""
-    ok = F.filter(F.transform(F.slice(lines(c), 1, 30), lambda x: clean_line(x)), lambda x: F.length(x).between(10, 200) & ~F.lower(x).rlike(f"abstract|@|http|{AFFILIATION}"))
+    """The longest plausible line of the first 30: 10 to 200 characters, no abstract, address, link or affiliation; the first on ties."""
+    ok = F.filter(F.transform(F.slice(lines(c), 1, 30), lambda x: clean_line(x)), lambda x: F.length(x).between(10, 200) & ~F.lower(x).rlike(f"abstract|@|http|www|{AFFILIATION}"))
     most = F.array_max(F.transform(ok, lambda x: F.length(x)))
     return F.get(F.filter(ok, lambda x: F.length(x) == most), F.lit(0))
 
@@ -169,3 +170,28 @@ def canonical_concept(c: Column | str) -> Column:
     mapping = F.create_map(*[F.lit(x) for pair in CONCEPT_SPELLINGS.items() for x in pair])
     short = F.substring(F.array_join(F.slice(F.split(F.coalesce(F.element_at(mapping, words), words), " "), 1, 3), " "), 1, 80)
     return F.when(short != "", short)
+
+
+def title_by_font(spans: Column | str, within: float = 0.5) -> Column:
+    """The title of a first page given as lines ``array<struct<y, size, text>>``: those set largest, from top to bottom.
+
+    ``size`` is the largest of a line's letters; lines within half a point of the largest count. A title has 10 to 200
+    characters, else there is none.
+    """
+    known = F.filter(F.transform(col(spans), lambda x: F.struct(x["y"].alias("y"), x["size"].alias("size"), clean_line(x["text"]).alias("text"))), lambda x: x["text"] != "")
+    most = F.array_max(F.transform(known, lambda x: x["size"]))
+    # stable by height: lines of one height stay in their order
+    top = F.filter(F.transform(known, lambda x, i: F.struct(x["y"].alias("y"), i.alias("i"), x["size"].alias("size"), x["text"].alias("text"))), lambda x: x["size"] >= most - within)
+    text = clean_line(F.array_join(F.transform(F.array_sort(top), lambda x: x["text"]), " "))
+    return F.when((most > 0) & F.length(text).between(10, 200), text)
+
+
+def name_of_creators(creators: Column | str) -> Column:
+    """``array<struct<firstName, lastName>>`` as names joined by commas; null without any."""
+    full = F.transform(col(creators), lambda c: F.trim(F.concat_ws(" ", F.nullif(F.trim(F.coalesce(c["firstName"], F.lit(""))), F.lit("")), F.nullif(F.trim(F.coalesce(c["lastName"], F.lit(""))), F.lit("")))))
+    return F.nullif(F.array_join(F.filter(full, lambda n: n != ""), ", "), F.lit(""))
+
+
+def first_year(c: Column | str) -> Column:
+    """The first year from 1900 to 2099 that a text names as a word of its own."""
+    return F.nullif(F.regexp_extract(F.coalesce(col(c).cast("string"), F.lit("")), r"\b((?:19|20)\d{2})\b", 1), F.lit("")).cast("int")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import normalize_text, present, suspicious_title
-from .lineage import connected_components, number_rows, ship_package
+from .lineage import connected_components, materialize, number_rows, ship_package
 
 #: Columns in which a new value that is there always replaces the stored one.
-OVERWRITE = ("citation_count", "citation_velocity", "file_path", "file_hash")
+OVERWRITE = ("citation_count", "reference_count", "influential_citation_count", "citation_velocity", "file_path", "file_hash")
+#: Keys by which a paper is known, in the order in which they are tried.
+KEYS = ("file_hash", "doi", "s2_paper_id")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -24,45 +26,78 @@ def title_ratio(s: pd.Series, t: pd.Series) -> pd.Series:
 
 
 def match_papers(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``incoming`` with ``match``, the stored paper of the same file hash, else DOI, else (unsuspicious) title and year.
+    """``incoming`` with ``match``, the stored paper of the same key, the first of ``KEYS`` that finds one, else of its title.
 
-    Each key is an equi-join of its own; a null or blank key matches nothing; of several matches the smallest id counts.
+    An unsuspicious title matches a stored paper of the same title and year; without a year, any of the same title.
+    Each key is an equi-join of its own; a null or blank key matches nothing; of several matches the smallest id counts;
+    a key that either side lacks is not tried.
     """
-    out = incoming
-    for k, key in enumerate(("file_hash", "doi")):
-        side = stored.where(present(key).isNotNull()).groupBy(key).agg(F.min("id").alias(f"__m{k}"))
+    out, found = incoming, []
+    for key in (k for k in KEYS if k in stored.columns and k in incoming.columns):
+        side = stored.where(present(key).isNotNull()).groupBy(key).agg(F.min("id").alias(f"__{key}"))
         out = out.join(side, key, "left")
-    titled = stored.where(present("title").isNotNull() & ~suspicious_title("title"))
-    by_year = titled.where("year IS NOT NULL").groupBy("title", "year").agg(F.min("id").alias("__m2"))
-    no_year = titled.where("year IS NULL").groupBy("title").agg(F.min("id").alias("__m3"))
-    out = out.join(by_year, ["title", "year"], "left").join(no_year, "title", "left")
+        found.append(F.col(f"__{key}"))
     safe = ~suspicious_title("title")
-    match = F.coalesce("__m0", "__m1", F.when(safe, F.col("__m2")), F.when(safe, F.col("__m3")))
-    return out.withColumn("match", match).drop("__m0", "__m1", "__m2", "__m3")
+    titled = stored.where(present("title").isNotNull())
+    any_year = titled.groupBy("title").agg(F.min("id").alias("__titled"))
+    by_year = titled.where("year IS NOT NULL").groupBy("title", "year").agg(F.min("id").alias("__dated"))
+    out = out.join(any_year, "title", "left").join(by_year, ["title", "year"], "left")
+    by_title = F.when(safe, F.when(F.col("year").isNull(), F.col("__titled")).otherwise(F.col("__dated")))
+    return out.withColumn("match", F.coalesce(*found, by_title)).select(*incoming.columns, "match")
+
+
+def batch_groups(fresh: DataFrame) -> DataFrame:
+    """``(id, first)`` of the rows of a batch that are the same paper as an earlier one, by the keys and titles of ``match_papers``."""
+    links = []
+    for key in (k for k in KEYS if k in fresh.columns):
+        same = Window.partitionBy(key)
+        links.append(fresh.where(present(key).isNotNull()).select("id", F.min("id").over(same).alias("first")))
+    safe = fresh.where(~suspicious_title("title"))
+    links.append(safe.where("year IS NOT NULL").select("id", F.min("id").over(Window.partitionBy("title", "year")).alias("first")))
+    earliest = F.min("id").over(Window.partitionBy("title"))
+    links.append(safe.select("id", "year", earliest.alias("first")).where("year IS NULL").select("id", "first"))
+    pairs = reduce(DataFrame.unionByName, links).where("id <> first")
+    return connected_components(pairs, "id", "first").toDF("id", "first")
 
 
 def upsert_papers(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """The stored table after an upsert: matched papers keep what they have and are filled, unmatched ones are added.
 
-    A batch is reduced to its first row for each matched paper, or for each title among the new ones. New ids follow
-    the largest stored one in the order of the batch's ids.
+    Rows of a batch that are the same paper, by what they match or among themselves, come together in order of their
+    ids: a column takes the first value that is there, or the last for those that are always replaced. Rows without a
+    key and with a blank or suspicious title are papers of their own. New ids follow the largest stored one in the order
+    of the batch's ids, which must be unique. A key that only an earlier row of the batch brings to a stored paper is
+    not looked up for later rows.
     """
     columns = stored.columns
     matched = match_papers(stored, incoming)
-    first = lambda df, *by: df.withColumn("__rn", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where("__rn = 1").drop("__rn")
-    old = first(matched.where("match IS NOT NULL"), "match").select(F.col("match").alias("id"), *[F.col(c).alias(f"__{c}") for c in columns if c != "id"])
-
-    def merged(c: str) -> Column:
-        if c == "id":
-            return F.col("id")
-        new, text = F.col(f"__{c}"), dict(stored.dtypes)[c] == "string"
-        return (F.coalesce(new, F.col(c)) if c in OVERWRITE else F.coalesce(present(c) if text else F.col(c), new)).alias(c)
-
-    updated = stored.join(old, "id", "left").select(*[merged(c) for c in columns])
-    fresh = first(matched.where("match IS NULL"), "title")
+    lone = matched.where("match IS NULL")
+    grouped = lone.join(batch_groups(lone), "id", "left").withColumn("__key", F.coalesce("first", "id")).drop("first")
+    kinds = dict(incoming.dtypes)
+
+    def merged(df: DataFrame, by: str) -> DataFrame:
+        def value(c: str) -> Column:
+            there = F.col(c).isNotNull()
+            if c in OVERWRITE:
+                return F.max_by(c, F.when(there, F.col("id"))).alias(f"__{c}")
+            filled = present(c).isNotNull() if kinds[c] == "string" else there
+            return F.coalesce(F.min_by(c, F.when(filled, F.col("id"))), F.min_by(c, F.when(there, F.col("id")))).alias(f"__{c}")
+
+        return df.groupBy(F.col(by).alias("__of")).agg(*[value(c) for c in columns if c != "id" and c in kinds])
+
+    def updated(c: str) -> Column:
+        if c == "id" or c not in kinds:
+            return F.col(c)
+        new = F.col(f"__{c}")
+        kept = present(c) if dict(stored.dtypes)[c] == "string" else F.col(c)
+        return (F.coalesce(new, F.col(c)) if c in OVERWRITE else F.coalesce(kept, new, F.col(c))).alias(c)
+
+    old = merged(matched.where("match IS NOT NULL"), "match").withColumnRenamed("__of", "id")
+    kept = stored.join(old, "id", "left").select(*[updated(c) for c in columns])
+    fresh = merged(grouped, "__key")
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    ranked = number_rows(fresh, ["id"], "__n").join(F.broadcast(top)).withColumn("id", F.col("__top") + F.col("__n"))
-    return updated.unionByName(ranked.select(*columns))
+    ranked = number_rows(fresh, ["__of"], "__n").join(F.broadcast(top))
+    return kept.unionByName(ranked.select((F.col("__top") + F.col("__n")).alias("id"), *[F.col(f"__{c}").alias(c) for c in columns if c != "id" and c in kinds]), allowMissingColumns=True)
 
 
 def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -77,27 +112,59 @@ def upsert_edges(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.groupBy("source_paper_id", "target_paper_id").agg(conf, *newest)
 
 
+#: Length of the character runs by which titles are looked up.
+RUN = 3
+
+
+def _shared_runs(threshold: float, n: Column, m: Column) -> Column:
+    """Runs of ``RUN`` characters that texts of lengths n and m share at least if their ratio reaches the threshold.
+
+    The ratio is 2M/(n+m) for M matched characters, so (1-t)(n+m) at most are unmatched and part the matched ones into
+    one more block than that; each block of k characters holds k-RUN+1 runs.
+    """
+    return F.ceil((n + m) * (threshold / 2 - (RUN - 1) * (1 - threshold)) - (RUN - 1) - 1e-9)
+
+
 def title_pairs(papers: DataFrame, threshold: float = 0.9, years: int = 2) -> DataFrame:
     """``(a, b, similarity)`` of papers whose normalised titles are alike and whose years, where known, are near.
 
-    A ratio of ``t`` bounds the lengths: the shorter has at least t/(2-t) of the longer. So titles meet by buckets of
-    the logarithm of their length, each in its own and the next, and by the letters they start with in sorted
-    order: the sizes of two titles' common letters bound the ratio before it is computed.
+    Alike titles share a number of character runs that their lengths and the threshold imply. So each title is looked
+    up by the rarest of its runs only, as many as must hold a shared one; pairs that meet are tested by length, years,
+    all their runs and letters before the ratio itself. Titles too short to imply a shared run meet by length. Threshold
+    from 0.85; no pair is lost.
     """
-    step = math.log((2 - threshold) / threshold) or 1e-9
+    if threshold < 0.85:
+        raise ValueError("below 0.85 alike titles need not share a run")
     rows = papers.select("id", "year", normalize_text("title").alias("t")).where("t <> ''")
     titles = rows.groupBy("t").agg(F.min("id").alias("id"), F.collect_set("year").alias("ys"), F.count_if(F.col("year").isNull()).alias("no_year"))
+    n = F.length("t")
+    runs = F.when(n >= RUN, F.transform(F.sequence(F.lit(1), n - (RUN - 1)), lambda i: F.substring("t", i, F.lit(RUN)))).otherwise(F.array().cast("array<string>"))
+    nth = lambda g, i: F.concat(g, F.lit("\u0001"), F.size(F.filter(F.slice("runs", 1, i), lambda x: x == g)).cast("string"))
     letters = F.transform(F.sequence(F.lit(97), F.lit(122)), lambda c: F.length("t") - F.length(F.replace(F.col("t"), F.char(c), F.lit(""))))
-    keyed = titles.select("t", "id", "ys", "no_year", letters.alias("bag"), F.length("t").alias("n"), F.floor(F.log(F.length("t").cast("double")) / step).cast("int").alias("bucket"))
-    x = keyed.select(F.struct("t", "id", "ys", "no_year", "bag", "n").alias("x"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
-    y = keyed.select(F.struct("t", "id", "ys", "no_year", "bag", "n").alias("y"), "bucket")
-    common = F.aggregate(F.zip_with(F.col("x.bag"), F.col("y.bag"), lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
+    titles = materialize(titles.withColumn("runs", runs).withColumn("runs", F.transform("runs", nth)).select("t", "id", "ys", "no_year", letters.alias("bag"), n.alias("n"), "runs"), "titles")
+    least = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+    most = F.floor(F.col("n") * ((2 - threshold) / threshold) + 1e-9)
+    one = titles.select("id", "n", F.explode("runs").alias("g"), _shared_runs(threshold, F.col("n"), least).alias("need"), F.size("runs").alias("all"))
+    often = one.groupBy("g").agg(F.count("*").alias("f"))
+    ranked = one.where("need > 0").join(often, "g").groupBy("id", "n", "need", "all").agg(F.sort_array(F.collect_list(F.struct("f", "g"))).alias("by"))  # a title's runs
+    rare = ranked.select("id", "n", F.explode(F.slice("by", F.lit(1), (F.col("all") - F.col("need") + 1).cast("int"))).alias("r")).select("id", "n", F.col("r.g").alias("k"))
+    short = titles.where(_shared_runs(threshold, F.col("n"), least) <= 0)
+    # a short title meets those of every length that it may be alike to, whatever their runs
+    tiny = short.select("id", "n", F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("k")).select("id", "n", F.concat(F.lit("#"), F.col("k").cast("string")).alias("k"))
+    reach = short.agg(F.coalesce(F.max(most), F.lit(0)).alias("reach"))
+    sized = titles.join(F.broadcast(reach)).where("n <= reach").select("id", "n", F.concat(F.lit("#"), F.col("n").cast("string")).alias("k"))
+    x, y = rare.unionByName(tiny).toDF("xi", "xn", "k"), rare.unionByName(sized).toDF("yi", "yn", "k")
+    fits = F.least("xn", "yn") >= F.ceil(F.greatest("xn", "yn") * (threshold / (2 - threshold)) - 1e-9)
+    met = x.join(y, "k").where((F.col("xi") != F.col("yi")) & fits).select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct()
+    left, right = (titles.select(F.col("id").alias(e), F.struct("t", "ys", "no_year", "bag", "n", "runs").alias(v)) for e, v in (("a", "x"), ("b", "y")))
+    common = F.aggregate(F.zip_with(F.col("x.bag"), F.col("y.bag"), lambda u, v: F.abs(u - v)), F.lit(0), lambda s, v: s + v)
     near = F.exists(F.col("x.ys"), lambda u: F.exists(F.col("y.ys"), lambda v: F.abs(u - v) <= years)) | (F.col("x.no_year") > 0) | (F.col("y.no_year") > 0)
-    most = (1 - threshold) * (F.col("x.n") + F.col("y.n"))
-    met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x.t") != F.col("y.t")) & (common <= most + 1e-9) & near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.when(F.col("x.id") < F.col("y.id"), F.col("x.t")).otherwise(F.col("y.t")).alias("s"), F.when(F.col("x.id") < F.col("y.id"), F.col("y.t")).otherwise(F.col("x.t")).alias("t")).distinct()
+    apart = (1 - threshold) * (F.col("x.n") + F.col("y.n"))
+    shared = F.size(F.array_intersect("x.runs", "y.runs")) >= _shared_runs(threshold, F.col("x.n"), F.col("y.n"))
+    likely = met.join(left, "a").join(right, "b").where(near & (common <= apart + 1e-9) & shared).select("a", "b", F.col("x.t").alias("s"), F.col("y.t").alias("t"))
 
     ship_package(papers.sparkSession)
-    different = met.select("a", "b", title_ratio("s", "t").alias("similarity")).where(F.col("similarity") >= threshold)
+    different = likely.select("a", "b", title_ratio("s", "t").alias("similarity")).where(F.col("similarity") >= threshold)
     # papers of one title link to its first paper instead of to each other
     same = rows.join(titles.select("t", F.col("id").alias("first")), "t").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     return different.unionByName(same)
@@ -109,17 +176,29 @@ def duplicate_groups(pairs: DataFrame) -> DataFrame:
 
 
 def resolve_links(links: DataFrame, papers: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """``(link_text, target)``: the paper titled like a link, ignoring case; else the most similar of those that hold it."""
+    """``(link_text, target)``: the paper titled like a link, ignoring case; else the most similar of those that hold it.
+
+    A title holds a link at any place, inside words too. It can be similar enough only if the link is long against it,
+    so titles are looked up by their character runs, and a link by its rarest run; links shorter than a run are
+    compared with the few titles that are short enough for them.
+    """
     texts = links.select("link_text").where("link_text IS NOT NULL").distinct()
     exact = texts.join(papers.select(F.lower("title").alias("__t"), "id"), F.lower("link_text") == F.col("__t")).groupBy("link_text").agg(F.min("id").alias("target"))
-    rest = texts.join(exact, "link_text", "left_anti")
-    words = papers.select("id", "title", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9一-鿿]+"), F.lit(0)))).alias("w"))
-    first_word = F.regexp_extract(F.lower("link_text"), "[a-z0-9一-鿿]+", 0)
-    held = rest.withColumn("w", first_word).join(words, "w").where(F.lower("title").contains(F.lower("link_text")))
+    rest = texts.join(exact, "link_text", "left_anti").select("link_text", F.lower("link_text").alias("l")).where("l <> ''")
+    titles = papers.select("id", F.lower("title").alias("t")).where("t <> ''").groupBy("t").agg(F.min("id").alias("id"))
+    # the ratio of a link of n characters and a title of m that holds it is 2n/(n+m) at most
+    fits = F.length("t") <= F.floor(F.length("l") * ((2 - threshold) / threshold) + 1e-9)
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (RUN - 1)), lambda i: F.substring(c, i, F.lit(RUN))))
+    held = titles.where(F.length("t") >= RUN).select("id", "t", F.explode(runs("t")).alias("g"))
+    often = held.groupBy("g").agg(F.count("*").alias("f"))
+    asked = rest.where(F.length("l") >= RUN).select("link_text", "l", F.explode(runs("l")).alias("g")).join(often, "g", "left")
+    rarest = asked.groupBy("link_text", "l").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("r")).where("r.f > 0").select("link_text", "l", F.col("r.g").alias("g"))
+    found = rarest.join(held, "g").where(fits & F.col("t").contains(F.col("l"))).select("link_text", "l", "id", "t")
+    tiny = rest.where(F.length("l") < RUN).join(titles.where(F.length("t") <= int((RUN - 1) * (2 - threshold) / threshold + 1e-9)), F.col("t").contains(F.col("l")) & fits).select("link_text", "l", "id", "t")
 
     ship_package(papers.sparkSession)
-    fuzzy = held.withColumn("r", title_ratio(F.lower("link_text"), F.lower("title"))).where(F.col("r") >= threshold).groupBy("link_text").agg(F.min_by("id", F.struct(-F.col("r"), "id")).alias("target"))
-    return exact.unionByName(fuzzy)
+    scored = found.unionByName(tiny).withColumn("r", title_ratio("l", "t")).where(F.col("r") >= threshold)
+    return exact.unionByName(scored.groupBy("link_text").agg(F.min_by("id", F.struct(-F.col("r"), "id")).alias("target")))
 
 
 def merge_papers(papers: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:

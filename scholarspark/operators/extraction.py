@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import DATASETS, clean_line, lines
 from ..functions.scalar import to_metric
-from .lineage import ship_package
 
+# The patterns by which scores are read from a line.
 PRF = r"(?i)\bP(?:recision)?\s*[:=]?\s*(\d+(?:\.\d+)?)\b.*?\bR(?:ecall)?\s*[:=]?\s*(\d+(?:\.\d+)?)\b.*?\bF1?\s*[:=]?\s*(\d+(?:\.\d+)?)\b"
+TRIGGER_F1 = r"(?i)trigger\s*f1\s*[:=]?\s*(\d+(?:\.\d+)?)"
+ARGUMENT_F1 = r"(?i)argument\s*f1\s*[:=]?\s*(\d+(?:\.\d+)?)"
 METRICS = ("precision", "recall", "f1", "trigger_f1", "argument_f1")
 
 
 def dataset_of(line: Column) -> Column:
-    """The first known dataset that a line names, without its space."""
+    """The first known dataset that a line names, without its space; white space in the line need not be cleaned."""
     low = F.lower(line)
     out = F.lit(None).cast("string")
     for name in reversed(DATASETS):
-        out = F.when(low.contains(name.lower()), name.replace(" ", "")).otherwise(out)
+        words = name.lower().split(" ")
+        held = low.contains(words[0])
+        if len(words) > 1:  # only then does white space matter
+            held &= low.rlike("(?U)" + r"\s+".join(words))
+        out = F.when(held, name.replace(" ", "")).otherwise(out)
     return out
 
 
@@ -31,11 +35,11 @@ def line_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Equal scores of a document count once, at their first line; at most ``limit`` a document.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(lines(text_col)).alias("at", "raw")).select("id", "at", clean_line("raw").alias("line"))
-    rows = rows.where("line <> ''").withColumn("dataset_name", dataset_of(F.col("line"))).where("dataset_name IS NOT NULL")
+    rows = docs.select(F.col(id_col).alias("id"), F.posexplode(lines(text_col)).alias("at", "raw")).withColumn("dataset_name", dataset_of(F.col("raw"))).where("dataset_name IS NOT NULL")
+    rows = rows.select("id", "at", "dataset_name", clean_line("raw").alias("line"))
     group = lambda pattern, k: to_metric(F.nullif(F.regexp_extract("line", pattern, k), F.lit("")))
     none = F.lit(None).cast("double")
-    trig, arg = r"(?i)trigger\s*f1\s*[:=]?\s*(\d+(?:\.\d+)?)", r"(?i)argument\s*f1\s*[:=]?\s*(\d+(?:\.\d+)?)"
+    trig, arg = TRIGGER_F1, ARGUMENT_F1
     shape = lambda k, values, conf: F.struct(F.lit(k).alias("k"), *[v.cast("double").alias(m) for m, v in zip(METRICS, values, strict=True)], F.lit(conf).alias("confidence"))
     first = F.when(F.col("line").rlike(PRF), shape(0, [group(PRF, 1), group(PRF, 2), group(PRF, 3), none, none], 0.8))
     second = F.when(F.col("line").rlike(trig) | F.col("line").rlike(arg), shape(1, [none, none, none, group(trig, 1), group(arg, 1)], 0.72))
@@ -53,57 +57,76 @@ def table_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select(id_col, "row", cells.alias("cells"), F.array_join(F.filter(cells, lambda c: c != ""), " | ").alias("line"))
 
 
-def header_columns(header: list[str]) -> dict[str, int]:
-    """Which column holds which metric; the first that fits each."""
-    tests = {
-        "dataset_name": lambda h: "dataset" in h or "corpus" in h or h in ("data", "bench"),
-        "precision": lambda h: h in ("p", "prec") or "precision" in h,
-        "recall": lambda h: h == "r" or "recall" in h,
-        "f1": lambda h: h == "f" or "f1" in h,
-        "trigger_f1": lambda h: "trigger" in h and "f1" in h,
-        "argument_f1": lambda h: "argument" in h and "f1" in h,
-    }
-    names = [h.lower() for h in header]
-    return {m: next(k for k, h in enumerate(names) if fits(h)) for m, fits in tests.items() if any(map(fits, names))}
+# Which headers name a dataset or a score; a score takes the first column whose header fits.
+HEADERS = {
+    "dataset_name": (("dataset", "corpus"), ("data", "bench")),
+    "precision": (("precision",), ("p", "prec")),
+    "recall": (("recall",), ("r",)),
+    "f1": (("f1",), ("f",)),
+    "trigger_f1": (("trigger", "f1"), ()),
+    "argument_f1": (("argument", "f1"), ()),
+}
 
 
-def cell_value(cell: str) -> float | None:
-    found = re.search(r"(\d+(?:\.\d+)?)", cell or "")
-    value = float(found[1]) if found else None
-    return None if value is None or value > 100 else round(value * 100 if 0 < value <= 1 else value, 3)
+def header_column(header: Column, name: str) -> Column:
+    """The place, from 0, of the first header that names a score or the dataset; null without any."""
+    parts, whole = HEADERS[name]
+    join = Column.__and__ if name in ("trigger_f1", "argument_f1") else Column.__or__
+    fits = lambda h: reduce(join, [F.lower(h).contains(p) for p in parts]) | F.lower(h).isin(*whole)
+    at = F.array_position(F.transform(header, fits), True)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def names_dataset(cell: Column) -> Column:
+    return F.coalesce(reduce(Column.__or__, [F.lower(cell).contains(d.lower()) for d in DATASETS]), F.lit(False))
+
+
+def table_rows(tables: DataFrame) -> DataFrame:
+    """``(paper_id, parser, table_id, row_index, dataset_name, at, cells)`` of the body rows that name a known dataset.
+
+    ``tables (paper_id, parser, table_id, rows)`` hold cells as text, headers first; ``at`` says which column holds
+    which score. A row's dataset is its dataset cell (the first one where no header names it), else its first cell that
+    names a known one, without its spaces.
+    """
+    clean = F.transform("rows", lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), lambda c: clean_line(c)))
+    known = tables.select("paper_id", "parser", "table_id", clean.alias("rows")).where(F.size("rows") >= 2)
+    header = F.get("rows", F.lit(0))
+    at = F.struct(*[header_column(header, m).alias(m) for m in HEADERS])
+    body = known.withColumn("at", at).select("paper_id", "parser", "table_id", "at", F.posexplode("rows").alias("row_index", "cells")).where("row_index > 0 AND size(cells) > 0")
+    own = F.get("cells", F.coalesce("at.dataset_name", F.lit(0)))
+    named = F.when(names_dataset(own), own).otherwise(F.get(F.filter("cells", names_dataset), F.lit(0)))
+    return body.withColumn("dataset_name", F.replace(named, F.lit(" "), F.lit(""))).where("dataset_name <> ''")
+
+
+def _score(metric: str) -> Column:
+    cell = F.get("cells", F.col(f"at.{metric}"))
+    return to_metric(F.nullif(F.regexp_extract(F.coalesce(cell, F.lit("")), r"(\d+(?:\.\d+)?)", 1), F.lit("")))
+
+
+def _trust() -> Column:
+    return F.when(F.col("parser") == "gmft", 0.86).otherwise(0.78)
 
 
 def table_metrics(tables: DataFrame, limit: int = 80) -> DataFrame:
-    """Scores of tables ``(paper_id, parser, table_id, rows)``: header to metric columns, one row per table row.
+    """Scores of tables: one row per table row that names a known dataset and holds a score, with where it stands.
 
-    A row's dataset is its dataset cell, else the first cell that names a known one.
+    Rows of a paper with equal dataset and scores count once, the first in order of table and row; ``limit`` a paper.
     """
-    known = [d.lower() for d in DATASETS]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for t in frame.itertuples():
-                table = [[" ".join((c or "").split()) for c in r] for r in t.rows]
-                if len(table) < 2:
-                    continue
-                where = header_columns(table[0])
-                metrics = {m: k for m, k in where.items() if m != "dataset_name"}
-                seen = set()
-                for n, cells in enumerate(table[1:], 1):
-                    at = where.get("dataset_name")
-                    named = cells[at] if at is not None and at < len(cells) else next((c for c in cells if any(k in c.lower() for k in known)), None)
-                    values = {m: cell_value(cells[k]) if k < len(cells) else None for m, k in metrics.items()}
-                    key = (named, *sorted(values.items(), key=str))
-                    if not named or all(v is None for v in values.values()) or key in seen or len(seen) >= limit:
-                        continue
-                    seen.add(key)
-                    out.append((t.paper_id, t.table_id, n, named, *[values.get(m) for m in METRICS], 0.86 if t.parser == "gmft" else 0.78))
-            yield pd.DataFrame(out, columns=["paper_id", "table_id", "row_index", "dataset_name", *METRICS, "confidence"])
-
-    ship_package(tables.sparkSession)
-    schema = "paper_id long, table_id string, row_index int, dataset_name string, " + ", ".join(f"{m} double" for m in METRICS) + ", confidence double"
-    return tables.select("paper_id", "parser", "table_id", "rows").mapInPandas(run, schema)
+    rows = table_rows(tables).select("*", *[_score(m).alias(m) for m in METRICS]).where(F.coalesce(*METRICS).isNotNull())
+    first = Window.partitionBy("paper_id", "dataset_name", *METRICS).orderBy("table_id", "row_index")
+    once = rows.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
+    kept = once.withColumn("__nth", F.row_number().over(Window.partitionBy("paper_id").orderBy("table_id", "row_index"))).where(F.col("__nth") <= limit)
+    last = F.coalesce(*[F.when(F.col(m).isNotNull(), F.col(f"at.{m}")) for m in reversed(METRICS)])
+    source = F.concat("table_id", F.lit(" row "), F.col("row_index").cast("string"))
+    return kept.select("paper_id", "table_id", "row_index", "dataset_name", *METRICS, _trust().alias("confidence"), last.alias("col_index"), F.get("cells", last).alias("cell_text"), source.alias("source"))
+
+
+def table_cells(tables: DataFrame) -> DataFrame:
+    """Each score of ``table_metrics`` as a row of its own, before repeats and the limit: what the table says where."""
+    scored = table_rows(tables).select("paper_id", "parser", "table_id", "row_index", "dataset_name", *[_score(m).cast("double").alias(m) for m in METRICS], *[F.col(f"at.{m}").alias(f"{m}_at") for m in METRICS], "cells")
+    cell = lambda m: F.struct(F.lit(m).alias("metric_key"), F.col(m).alias("metric_value"), F.col(f"{m}_at").alias("col_index"), F.get("cells", F.col(f"{m}_at")).alias("cell_text"))
+    rows = scored.withColumn("all", F.filter(F.array(*map(cell, METRICS)), lambda c: c["metric_value"].isNotNull())).withColumn("c", F.explode("all"))
+    return rows.select("paper_id", "table_id", "row_index", "dataset_name", "c.metric_key", "c.metric_value", "c.col_index", "c.cell_text", "parser", _trust().alias("confidence"))
 
 
 # Words that do not identify a title.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import velocity
 from .aggregates import in_degree
-from .lineage import connected_components, materialize, release
+from .lineage import connected_components, materialize, number_rows, release
 from .relational import filter_papers, induced_edges, recent_edges
 
 
@@ -28,30 +28,38 @@ def subgraph(papers: DataFrame, edges: DataFrame, year_from: int | None = None,
     return nodes, induced_edges(kept, nodes)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, write_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float = 1e-6, check_every: int = 5) -> DataFrame:
     """``(id, rank)``: power iteration, parallel edges once, the rank of nodes without targets spread evenly.
 
-    Nodes are ``id``; edges ``(src, dst)`` among them. Ranks sum to one.
+    Nodes are ``id``; edges ``(src, dst)`` among them. Ranks sum to one. Rounds end once the ranks of a round differ from
+    those before by less than ``tolerance`` for each node in all, or after ``iterations``; every ``check_every``
+    rounds the ranks are written and that difference, one number, is looked at. A tolerance of 0 asks for all rounds.
     """
     ids = nodes.select("id").distinct()
-    e = edges.where("src <> dst OR src = dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
+    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
     degree = e.groupBy("src").agg(F.count("*").alias("deg"))
     links = materialize(e.join(degree, "src").select("src", "dst", "deg"), "pr-links")
     base = materialize(ids.join(degree.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("dangling")), "pr-nodes")
     n = base.count()
     if not n:
         return base.select("id", F.lit(0.0).alias("rank"))
+
+    def step(rank: DataFrame) -> DataFrame:
+        inflow = links.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("inflow"))
+        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        return base.join(inflow, "id", "left").join(F.broadcast(lost)).select("id", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+
     rank = base.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
     written = None
     for k in range(1, iterations + 1):
-        inflow = links.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("inflow"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        rank = base.join(inflow, "id", "left").join(F.broadcast(lost)).select("id", "dangling", (F.lit((1 - damping) / n) + damping * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % write_every == 0 and k < iterations:
-            rank, before = materialize(rank, "pr-ranks"), written
-            if before is not None:
-                release(before)
-            written = rank
+        before, rank = rank, step(rank)
+        if k % check_every == 0 and k < iterations:
+            pair = materialize(rank.join(before.select("id", F.col("rank").alias("was")), "id"), "pr-ranks")
+            if written is not None:
+                release(written)
+            rank, written = pair.select("id", "dangling", "rank"), pair
+            if tolerance and pair.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance:
+                break
     return rank.select("id", "rank")
 
 
@@ -127,11 +135,13 @@ def label_propagation(edges: DataFrame, rounds: int = 18) -> DataFrame:
         best = votes.groupBy("id", "label").agg(F.count("*").alias("n")).groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
         nxt = materialize(best, "lpa-labels")
         changed = nxt.join(labels.select("id", F.col("label").alias("old")), "id").where("label <> old").limit(1).count()
+        release(labels)
         labels = nxt
         if not changed:
             break
-    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
-    return labels.join(sizes.select("label", "community"), "label").select("id", "community")
+    release(both)
+    sizes = labels.groupBy("label").agg((-F.count("*")).alias("less"))
+    return labels.join(number_rows(sizes, ["less", "label"], "community").select("label", "community"), "label").select("id", "community")
 
 
 def edge_rank(edges: DataFrame, top: int = 200) -> DataFrame:
@@ -149,29 +159,49 @@ def edge_focus(edges: DataFrame, node: int, direction: str = "all", intent: str
     return kept if intent is None else kept.where(F.col("intent") == intent)
 
 
+def hull_of(points) -> list[tuple[float, float]]:
+    """The corners around points, counter-clockwise from the leftmost, none on an edge between others."""
+
+    def chain(run):
+        out: list = []
+        for x, y in run:
+            while len(out) > 1:
+                (ax, ay), (bx, by) = out[-2:]
+                if (bx - ax) * (y - ay) > (by - ay) * (x - ax):  # a turn to the left
+                    break
+                out.pop()
+            out.append((x, y))
+        return out
+
+    ordered = sorted(set(points))
+    if len(ordered) < 2:
+        return ordered
+    lower, upper = chain(ordered), chain(ordered[::-1])
+    return lower[:-1] + upper[:-1]
+
+
 def convex_hulls(points: DataFrame, least: int = 3) -> DataFrame:
-    """``(community, hull)``: the corners, counter-clockwise, around each community of three points or more.
+    """``(community, hull)``: the corners, counter-clockwise, around each community of ``least`` points or more.
 
-    Input ``(community, x, y)``; the points of a community are one drawing's, thousands at most.
+    Input ``(community, x, y)``; rows with a null are left out. Each batch of rows first gives the hulls of its own
+    points, and a community's hull is that of their corners: so no task gathers a community's points.
     """
     import pandas as pd
 
-    def hull(frame: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(zip(frame["x"], frame["y"], strict=True)))
-        if len(pts) < least:
-            return pd.DataFrame({"community": pd.Series([], dtype="int64"), "hull": pd.Series([], dtype=object)})
-
-        def half(seq):
-            out = []
-            for p in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
-                    out.pop()
-                out.append(p)
-            return out[:-1]
+    def corners(frames):
+        for frame in frames:
+            rows = [(c, x, y) for c, part in frame.groupby("community") for x, y in hull_of(zip(part["x"], part["y"], strict=True))]
+            yield pd.DataFrame(rows, columns=["community", "x", "y"])
 
-        return pd.DataFrame({"community": [frame["community"].iloc[0]], "hull": [[list(map(float, p)) for p in half(pts) + half(reversed(pts))]]})
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        hull = hull_of(zip(frame["x"], frame["y"], strict=True))
+        return pd.DataFrame({"community": [frame["community"].iloc[0]], "hull": [[[float(x), float(y)] for x, y in hull]]})
 
-    return points.groupBy("community").applyInPandas(hull, "community long, hull array<array<double>>")
+    known = points.select("community", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop()
+    enough = known.distinct().groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("community")
+    kind = dict(points.dtypes)["community"]
+    kept = known.join(enough, "community", "left_semi")
+    return kept.mapInPandas(corners, f"community {kind}, x double, y double").groupBy("community").applyInPandas(whole, f"community {kind}, hull array<array<double>>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Most bytes of a table of labels (16 a row) that is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where the session names none, a temporary one in local mode only."""
     sc = spark.sparkContext
@@ -87,15 +91,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
     e = materialize(pairs.select(F.explode(both).alias("p")).select("p.u", "p.v"), "cc-edges")
     labels = materialize(e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "cc-labels")
+    # no round changes how many nodes there are: labels of so many are broadcast in all rounds, or shuffled in all
+    few = 16 * labels.count() <= BROADCAST_BYTES
+    side = F.broadcast if few else lambda df: df
     while True:
-        near = e.join(labels.select(F.col("node").alias("v"), F.col("label").alias("near")), "v").select(F.col("u").alias("node"), "near")
-        seen = near.join(labels, "node")
-        offers = labels.select("node", F.col("label").alias("offer")).union(seen.select("node", F.col("near").alias("offer"))).union(seen.select(F.col("label").alias("node"), F.col("near").alias("offer")))
+        near = e.join(side(labels.select(F.col("node").alias("v"), F.col("label").alias("near"))), "v").select(F.col("u").alias("node"), "near")
+        seen = near.join(side(labels), "node")
+        offers = labels.select("node", F.col("label").alias("offer")).union(seen.select(F.explode(F.array(F.struct("node", F.col("near").alias("offer")), F.struct(F.col("label").alias("node"), F.col("near").alias("offer")))).alias("o")).select("o.node", "o.offer"))
         hooked = materialize(offers.groupBy("node").agg(F.min("offer").alias("to")), "cc-hooked")
-        jumped = hooked.join(hooked.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label")
+        jumped = hooked.join(side(hooked.select(F.col("node").alias("to"), F.col("to").alias("label"))), "to").select("node", "label")
         watch = Observation()
         before = labels.select("node", F.col("label").alias("old"))
-        after = jumped.join(before, "node").observe(watch, F.count_if(F.col("label") != F.col("old")).alias("changed"))
+        after = jumped.join(side(before), "node").observe(watch, F.count_if(F.col("label") != F.col("old")).alias("changed"))
         nxt = materialize(after.select("node", "label"), "cc-labels")
         changed = watch.get["changed"]
         release(labels)

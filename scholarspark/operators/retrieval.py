@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import TOKEN, cosine, expand_query, normalize_text, tokens
+from ..functions.scalar import TOKEN, cosine, expand_query, first_present, normalize_text, tokens
+from .lineage import materialize
 
 WORD = r"(?U)\b\w\w+\b"
 # English words that carry no topic.
@@ -21,7 +22,7 @@ def query_tokens(query: str) -> list[str]:
     return re.findall(TOKEN, " ".join(query.split()).lower())
 
 
-def _times(array: str, value: str) -> Column:
+def _times(array: str, value: str | int) -> Column:
     """How often an array holds a value."""
     return F.size(F.filter(array, lambda x: x == value))
 
@@ -62,30 +63,44 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.concat(*[grams(w, n) for n in range(low, high + 1)])))
 
 
-def tfidf_scores(docs: DataFrame, query: str, grams=word_grams, max_features: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def corpus_totals(docs: DataFrame, grams=word_grams, text_col: str = "text") -> DataFrame:
+    """``(term, total)``: how often each term occurs; equal terms combine before they are shuffled."""
+    return docs.select(F.explode(grams(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+
+
+def tfidf_scores(docs: DataFrame, query: str, grams=word_grams, max_features: int = 6000, id_col: str = "doc_id", text_col: str = "text", totals: DataFrame | None = None) -> DataFrame:
     """Cosine of each document's TF-IDF vector with the query's, over the ``max_features`` commonest terms.
 
-    The query counts as a document of the corpus; idf is ln((1+n)/(1+df))+1; scores of 0 are dropped.
+    The query counts as a document of the corpus; idf is ln((1+n)/(1+df))+1; scores of 0 are dropped. The commonest
+    terms come from ``totals`` (``corpus_totals`` of the documents, for several queries), so that only they, by
+    document, are shuffled.
     """
     spark = docs.sparkSession
     asked = spark.createDataFrame([(query,)], "t string").select(F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("d"), F.explode(grams(F.col("t"))).alias("term"))
+    counted = (corpus_totals(docs, grams, text_col) if totals is None else totals).unionByName(asked.groupBy("term").agg(F.count("*").alias("total")))
+    # the query's terms add to few totals: of equal terms both rows come together
+    vocabulary = counted.groupBy("term").agg(F.sum("total").alias("total")).orderBy(F.desc("total"), "term").limit(max_features).select("term")
     terms = docs.select(F.col(id_col).alias("d"), F.explode(grams(F.col(text_col))).alias("term")).unionByName(asked)
-    tf = terms.groupBy("d", "term").agg(F.count("*").cast("double").alias("tf"))
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
+    tf = terms.join(F.broadcast(vocabulary), "term").groupBy("d", "term").agg(F.count("*").cast("double").alias("tf"))  # max_features rows
     n = docs.agg((F.count("*") + 1).cast("double").alias("n"))
-    idf = vocabulary.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = tf.join(F.broadcast(idf), "term").select("d", "term", (F.col("tf") * F.col("idf")).alias("w"))  # max_features rows
+    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weights = tf.join(F.broadcast(idf), "term").select("d", "term", (F.col("tf") * F.col("idf")).alias("w"))
     q = weights.where("d IS NULL").select("term", F.col("w").alias("qw"))
     per_doc = weights.where("d IS NOT NULL").join(F.broadcast(q), "term", "left").groupBy("d").agg(F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     qn = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     return per_doc.join(F.broadcast(qn)).select(F.col("d").alias(id_col), (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score")).where("score > 0")
 
 
-def semantic(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: The parts of the semantic score: terms, features, weight.
+SEMANTIC = ((word_grams, 6000, 0.65), (char_grams, 5000, 0.35))
+
+
+def semantic(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", totals: list[DataFrame] | None = None) -> DataFrame:
     """Word and character TF-IDF, weighted 0.65 and 0.35."""
-    w = tfidf_scores(docs, query, word_grams, 6000, id_col, text_col).withColumn("score", 0.65 * F.col("score"))
-    c = tfidf_scores(docs, query, char_grams, 5000, id_col, text_col).withColumn("score", 0.35 * F.col("score"))
-    return w.unionByName(c).groupBy(id_col).agg(F.sum("score").alias("score"))
+    parts = []
+    for k, (grams, features, weight) in enumerate(SEMANTIC):
+        parts.append(tfidf_scores(docs, query, grams, features, id_col, text_col, totals[k] if totals else None).withColumn("score", weight * F.col("score")))
+    return reduce(DataFrame.unionByName, parts).groupBy(id_col).agg(F.sum("score").alias("score"))
 
 
 def lexical_overlap(text: Column, query: str) -> Column:
@@ -97,17 +112,23 @@ def lexical_overlap(text: Column, query: str) -> Column:
 
 
 def hybrid_search(docs: DataFrame, query: str, top_k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The best documents by 0.58 BM25 + 0.42 TF-IDF, each the best of the expanded queries and scaled to 1.
+    """``(doc_id, score, bm25, semantic)`` of the best documents by 0.58 BM25 + 0.42 TF-IDF, each the best of the
+    expanded queries and scaled to 1.
 
-    Documents that hold the query, or part of it, keep at least 0.65 and 0.55 of that overlap.
+    Documents that hold the query, or part of it, keep at least 0.65 and 0.55 of that overlap. The terms of the corpus
+    are counted once for all expanded queries.
     """
     asked = expand_query(query)
-    best = lambda fn, name: reduce(DataFrame.unionByName, [fn(docs, q, id_col=id_col, text_col=text_col) for q in asked]).groupBy(id_col).agg(F.max("score").alias(name))
+    totals = [materialize(corpus_totals(docs, grams, text_col), "term-totals") for grams, *_ in SEMANTIC] if len(asked) > 1 else None
+    best = lambda scores, name: reduce(DataFrame.unionByName, scores).groupBy(id_col).agg(F.max("score").alias(name))
     scaled = lambda df, name: df.join(F.broadcast(df.agg(F.max(name).alias("__most")))).select(id_col, (F.col(name) / F.col("__most")).alias(name))
     lex = docs.select(id_col, lexical_overlap(F.col(text_col), query).alias("ov")).where("ov > 0")
-    all_ = scaled(best(bm25, "bm25"), "bm25").join(scaled(best(semantic, "sem"), "sem"), id_col, "full_outer").join(lex, id_col, "full_outer").na.fill(0.0)
-    a, s = F.greatest("bm25", 0.65 * F.col("ov")), F.greatest("sem", 0.55 * F.col("ov"))
-    return all_.select(id_col, F.round(0.58 * a + 0.42 * s, 6).alias("score")).orderBy(F.desc("score"), id_col).limit(top_k)
+    word = best([bm25(docs, q, id_col=id_col, text_col=text_col) for q in asked], "bm25")
+    sense = best([semantic(docs, q, id_col, text_col, totals) for q in asked], "semantic")
+    all_ = scaled(word, "bm25").join(scaled(sense, "semantic"), id_col, "full_outer").join(lex, id_col, "full_outer").na.fill(0.0)
+    a, s = F.greatest("bm25", 0.65 * F.col("ov")), F.greatest("semantic", 0.55 * F.col("ov"))
+    rows = all_.select(id_col, F.round(0.58 * a + 0.42 * s, 6).alias("score"), F.round(a, 6).alias("bm25"), F.round(s, 6).alias("semantic"))
+    return rows.orderBy(F.desc("score"), id_col).limit(top_k)
 
 
 def hash_embedding(text: Column, dims: int = 512) -> Column:
@@ -131,6 +152,24 @@ def rank_vectors(vectors: DataFrame, query: list[float], top_k: int, id_col: str
     return scored.orderBy(F.desc("score"), id_col).limit(top_k)
 
 
+def chunk_scores(chunks: DataFrame, query: str, text_col: str = "chunk_text", dims: int = 512) -> DataFrame:
+    """``chunks`` with ``score``, the cosine of their hash embedding with the query's; those of 0 are left out.
+
+    No shuffle: a chunk's counts by bucket come from its own sorted buckets, the query is one row.
+    """
+    asked = chunks.sparkSession.createDataFrame([(query,)], "t string").select(F.explode(hash_embedding(F.col("t"), dims)).alias("b")).groupBy("b").agg(F.count("*").cast("double").alias("c")).collect()  # the query's own buckets
+    if not asked:
+        return chunks.withColumn("score", F.lit(0.0)).limit(0)
+    sorted_ = chunks.withColumn("__b", F.array_sort(hash_embedding(F.col(text_col), dims)))
+    dot = reduce(Column.__add__, [float(r.c) * _times("__b", r.b) for r in asked])
+    # the squares of the counts: the n-th of equal buckets adds 2n-1
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+    run = lambda s, x: F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+    squares = F.aggregate("__b", zero, lambda s, x: F.struct(x.alias("last"), run(s, x).alias("run"), (s["sum"] + 2 * run(s, x) - 1).alias("sum")), lambda s: s["sum"])
+    norm = sum(r.c**2 for r in asked) ** 0.5
+    return sorted_.withColumn("score", dot / (F.sqrt(squares.cast("double")) * norm)).where("score > 0").drop("__b")
+
+
 def rag_contexts(vector_hits: DataFrame, keyword_hits: DataFrame, query: str, k: int = 8) -> DataFrame:
     """Merge chunk and document hits: 0.5 vector + 0.35 keyword + 0.15 share of query tokens found, best k of 2 to 20."""
     toks = [t for t in dict.fromkeys(query_tokens(query)) if len(t) >= 2]
@@ -144,6 +183,48 @@ def rag_contexts(vector_hits: DataFrame, keyword_hits: DataFrame, query: str, k:
     return scored.orderBy(F.desc("score"), "paper_id", F.asc_nulls_first("chunk_index")).limit(max(2, min(k, 20)))
 
 
+def retrieve_contexts(docs: DataFrame, chunks: DataFrame, query: str, k: int = 8) -> DataFrame:
+    """The best contexts for a query: its nearest chunks and best documents, merged and scored anew.
+
+    ``docs (doc_id, title, abstract, text)`` are searched by ``hybrid_search``, ``chunks (doc_id, chunk_index,
+    chunk_text)`` by their hash embeddings; each gives twice ``k`` hits, 8 at least. A document's text is the head of its
+    abstract or title.
+    """
+    top = max(8, 2 * k)
+    near = chunk_scores(chunks, query).orderBy(F.desc("score"), "doc_id", "chunk_index").limit(top).select(F.col("doc_id").alias("paper_id"), "chunk_index", F.col("chunk_text").alias("text"), "score")
+    said = F.substring(first_present("abstract", "title"), 1, 1200)
+    hits = hybrid_search(docs, query, top).join(docs.select("doc_id", said.alias("text")), "doc_id").select(F.col("doc_id").alias("paper_id"), F.coalesce("text", F.lit("")).alias("text"), "score")
+    return rag_contexts(near, hits, query, k)
+
+
+def search(papers: DataFrame, notes: DataFrame, docs: DataFrame, chunks: DataFrame, query: str, top_k: int = 20) -> DataFrame:
+    """``(doc_id, score, bm25, semantic, chunk_score, chunk_index, snippet)``: documents and their best contexts together.
+
+    A paper's score is that of its document, raised by its best context's; its snippet is the head of that context, or of
+    its abstract, notes or title. A query that finds nothing gives the most cited papers, with scores of 0.
+    """
+    most = max(1, min(top_k, 100))
+    ranked = hybrid_search(docs, query, most)
+    contexts = retrieve_contexts(docs, chunks, query, max(6, min(2 * top_k, 30))).where("score > 0")
+    by = F.struct("score", -F.coalesce("chunk_index", F.lit(-1)))
+    best = contexts.groupBy(F.col("paper_id").alias("doc_id")).agg(F.max("score").alias("chunk_score"), F.max_by(F.struct("chunk_index", "text"), by).alias("c"))
+    both = ranked.join(best, "doc_id", "full_outer").na.fill(0.0, ["score", "bm25", "semantic", "chunk_score"])
+    score = F.greatest("score", 0.72 * F.col("score") + 0.48 * F.col("chunk_score"))
+    both = both.withColumn("score", F.when(F.col("c").isNotNull(), score).otherwise(F.col("score")))
+    both = both.select("doc_id", F.round("score", 6).alias("score"), "bm25", F.greatest("semantic", "chunk_score").alias("semantic"), "chunk_score", "c.chunk_index", F.col("c.text").alias("said"))
+    found = both.join(papers.select(F.col("id").alias("doc_id"), "abstract", "title", "citation_count", "updated_at"), "doc_id")
+    found = found.orderBy(F.desc("score"), "doc_id").limit(most).withColumn("rank", F.lit(0))
+    # asked only where nothing was found: one row that says so
+    none = found.agg((F.count("*") == 0).alias("none"))
+    cited = papers.orderBy(F.desc(F.coalesce("citation_count", F.lit(0))), F.desc(F.coalesce("updated_at", F.lit(0))), "id").limit(max(1, min(top_k, 20)))
+    zero = F.lit(0.0)
+    fallback = cited.select(F.col("id").alias("doc_id"), zero.alias("score"), zero.alias("bm25"), zero.alias("semantic"), zero.alias("chunk_score"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("said"), "abstract", "title").join(F.broadcast(none)).where("none").drop("none")
+    rows = found.drop("rank", "citation_count", "updated_at").unionByName(fallback)
+    noted = notes.select(F.col("paper_id").alias("doc_id"), first_present("notes", "conclusions", "method").alias("noted"))
+    snippet = F.substring(first_present("said", "abstract", "noted", "title"), 1, 220)
+    return rows.join(noted, "doc_id", "left").select("doc_id", "score", "bm25", "semantic", "chunk_score", "chunk_index", F.coalesce(snippet, F.lit("")).alias("snippet"))
+
+
 def chat_prompt(contexts: DataFrame, most: int = 8, size: int = 1200) -> DataFrame:
     """One prompt of the first contexts, numbered in order of ``rank``."""
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] (paper_id="), F.col("paper_id").cast("string"), F.lit(") "), F.substring("text", 1, size))

@@ -20,7 +20,7 @@ PAPERS = {
     "id": "doc_id",
     "title": "substr(split_part(text, chr(10), 1), 1, 120)",
     "authors": "concat('Ann ', chr(CAST(65 + doc_id % 26 AS INT)), 'x, Bo ', chr(CAST(65 + doc_id % 7 AS INT)), 'y')",
-    "abstract": "substr(text, 1, 2000)",
+    "abstract": "text",
     "sub_field": "CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN NULL ELSE source END",
     "year": "CASE WHEN doc_id % 17 <> 0 THEN CAST(2000 + (doc_id * doc_id + n_chars) % 23 AS INT) END",
     "citation_count": "CAST(n_chars % 500 AS BIGINT)",
@@ -29,6 +29,7 @@ PAPERS = {
     "file_hash": "CASE WHEN doc_id % 3 = 0 THEN md5(text) END",
     "read_status": "CAST(doc_id % 2 AS INT)",
     "doi": "CASE WHEN doc_id % 4 = 0 THEN concat('10.1000/', CAST(doc_id % 300 AS STRING)) WHEN doc_id % 4 = 1 THEN concat(' 10.1000/X', CAST(doc_id % 250 AS STRING)) END",
+    "s2_paper_id": "CASE WHEN doc_id % 5 = 2 THEN concat('s', CAST(doc_id % 400 AS STRING)) WHEN doc_id % 5 = 3 THEN '' END",
     "keywords": "CASE WHEN doc_id % 6 = 0 THEN concat('key', CAST(doc_id % 9 AS STRING), ',common') ELSE '' END",
     "dynamic_tags": "CASE doc_id % 5 WHEN 0 THEN concat('[\"Alpha ', CAST(doc_id % 8 AS STRING), '\", \"Beta tag\", \"beta tag\"]') WHEN 1 THEN concat('gamma ', CAST(doc_id % 6 AS STRING), ', Delta set') WHEN 2 THEN '' END",
     "venue": "CASE doc_id % 6 WHEN 0 THEN 'Annual Meeting of the Association for Computational Linguistics' WHEN 1 THEN 'Journal of Machine Learning Research' WHEN 2 THEN '' WHEN 3 THEN 'Proc. ACL 2020' WHEN 4 THEN 'Workshop on Small Things' END",

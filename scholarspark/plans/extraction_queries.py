@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import scalar as S
 from ..operators import aggregates as A
-from ..operators import extraction, ontology, queueing, reports
+from ..operators import extraction, maintenance, ontology, queueing, reports
+from ..operators.lineage import scratch_dir
 from ..sources import connectors, sinks
 from ..streaming import jobs
 from .adapter import AS_OF
@@ -26,14 +28,35 @@ LINES = rf"list_transform(string_split(coalesce(text, ''), chr(10))[1:30], lambd
 query(
     "x2_guess_title",
     None,
-    rf"""WITH c AS (SELECT doc_id, list_filter({LINES}, lambda x: length(x) BETWEEN 10 AND 200 AND NOT regexp_matches(lower(x), 'abstract|@|http|\b(university|institute|laboratory|department|school|college)\b')) AS ok FROM documents)
+    rf"""WITH c AS (SELECT doc_id, list_filter({LINES}, lambda x: length(x) BETWEEN 10 AND 200 AND NOT regexp_matches(lower(x), 'abstract|@|http|www|\b(university|institute|laboratory|department|school|college)\b')) AS ok FROM documents)
   SELECT doc_id, list_filter(ok, lambda x: length(x) = list_max(list_transform(ok, lambda y: length(y))))[1] AS title FROM c""",
 )(lambda t: t.documents.select("doc_id", X.guess_title("text").alias("title")))
 
 
-@query("x4_guess_authors")
-def guess_authors(t):
-    return t.documents.select("doc_id", X.guess_authors("text", X.guess_title("text")).alias("authors"))
+SPANS = "string_split(coalesce(text, ''), chr(10))[1:6]"
+query(
+    "x3_font_title",
+    None,
+    rf"""WITH l AS (SELECT doc_id, i, 10.0 + 2 * ((doc_id + i) % 3) AS size, {FLAT.format('ls[i]')} AS t FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {SPANS} AS ls FROM documents))),
+  k AS (SELECT *, max(size) OVER (PARTITION BY doc_id) AS most FROM l WHERE t <> ''), j AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS title FROM k WHERE size >= most - 0.5 GROUP BY 1)
+  SELECT d.doc_id, CASE WHEN length(title) BETWEEN 10 AND 200 THEN title END AS title FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id""",
+)(
+    lambda t: t.documents.select(
+        "doc_id", X.title_by_font(F.transform(F.slice(X.lines("text"), 1, 6), lambda x, i: F.struct((i + 1).cast("double").alias("y"), (10.0 + 2 * ((F.col("doc_id") + i + 1) % 3)).alias("size"), x.alias("text")))).alias("title")
+    )
+)
+AFF = r"\b(university|institute|laboratory|department|school|college)\b"
+query(
+    "x4_guess_authors",
+    None,
+    rf"""WITH c AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {FLAT.format('x')}) AS ls FROM documents),
+  g AS (SELECT doc_id, ls, list_filter(ls[1:30], lambda x: length(x) BETWEEN 10 AND 200 AND NOT regexp_matches(lower(x), 'abstract|@|http|www|{AFF}')) AS ok FROM c),
+  t AS (SELECT doc_id, ls, list_filter(ok, lambda x: length(x) = list_max(list_transform(ok, lambda y: length(y))))[1] AS title FROM g),
+  a AS (SELECT doc_id, CASE WHEN title IS NULL THEN [] ELSE ls[list_position(ls, title) + 1:list_position(ls, title) + 4] END AS rest FROM t),
+  s AS (SELECT doc_id, rest, list_position(list_transform(rest, lambda x: starts_with(lower(x), 'abstract')), true) AS stop FROM a),
+  b AS (SELECT doc_id, CASE WHEN stop > 0 THEN rest[1:stop - 1] ELSE rest END AS rest FROM s)
+  SELECT doc_id, list_filter(rest, lambda x: x <> '' AND NOT regexp_matches(lower(x), '{AFF}') AND (contains(x, ',') OR contains(lower(x), ' and ') OR len(string_split(x, ' ')) <= 8))[1] AS authors FROM b""",
+)(lambda t: t.documents.select("doc_id", X.guess_authors("text", X.guess_title("text")).alias("authors")))
 
 
 query("x5_guess_year", None, r"SELECT page_id, list_max(list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '\b(?:19|20)\d{2}\b'), lambda y: CAST(y AS INT)), lambda y: y BETWEEN 1980 AND 2035)) AS year FROM pages")(
@@ -62,7 +85,7 @@ query(
     None,
     rf"SELECT doc_id, dataset_name, count(*) AS n FROM (SELECT doc_id, {DS} AS dataset_name FROM (SELECT doc_id, {FLAT.format('unnest(string_split(text, chr(10)))')} AS line FROM documents)) WHERE dataset_name IS NOT NULL GROUP BY 1, 2",
 )(
-    lambda t: t.documents.select("doc_id", F.explode(X.lines("text")).alias("raw")).select("doc_id", extraction.dataset_of(X.clean_line("raw")).alias("dataset_name")).where("dataset_name IS NOT NULL").groupBy("doc_id", "dataset_name").agg(F.count("*").alias("n"))
+    lambda t: t.documents.select("doc_id", F.explode(X.lines("text")).alias("raw")).select("doc_id", extraction.dataset_of(F.col("raw")).alias("dataset_name")).where("dataset_name IS NOT NULL").groupBy("doc_id", "dataset_name").agg(F.count("*").alias("n"))
 )
 METRIC_TEXT = "concat('On ACE 2005 P: ', CAST(id % 101 AS STRING), ' R: ', CAST(id % 89 AS STRING), ' F1: ', CAST(id % 97 AS STRING), chr(10), 'no dataset P 1 R 2 F1 3', chr(10), 'MAVEN trigger F1 ', CAST(id % 50 AS STRING))"
 query(
@@ -73,16 +96,49 @@ query(
 )(lambda t: extraction.line_metrics(t.papers.selectExpr("id", f"{METRIC_TEXT} AS text"), "id").select("id", "nth", "dataset_name", "precision", "recall", "f1", "trigger_f1", "confidence"))
 
 
-@query("x11_table_metrics")
-def table_metrics(t):
-    rows = F.array(F.array(*map(F.lit, ("Dataset", "P", "Recall", "Trigger F1"))), F.array(F.col("dataset_name"), F.col("precision_").cast("string"), F.col("recall_").cast("string"), F.col("trigger_f1").cast("string")))
-    tables = t.ee_metrics.select("paper_id", F.when(F.col("source") == "table", "gmft").otherwise("other").alias("parser"), F.concat("table_id", F.lit("-"), F.col("id").cast("string")).alias("table_id"), rows.alias("rows"))
-    return extraction.table_metrics(tables)
+#: A table of two rows a metric: headers, and a body row whose dataset stands in its own cell, in a note, or nowhere.
+CELL = "CASE id % 4 WHEN 0 THEN 'ACE 2005' WHEN 1 THEN dataset_name WHEN 2 THEN '' ELSE 'MAVEN' END"
+NOTED = "CASE WHEN id % 3 = 0 THEN 'as in RAMS' ELSE 'a note' END"
+TABLE_ID = "concat(table_id, '-', CAST(id AS STRING))"
+
 
+def _tables(t):
+    cells = F.array(*[F.expr(e) for e in (CELL, "CAST(precision_ AS STRING)", "CAST(recall_ AS STRING)", "concat(CAST(trigger_f1 AS STRING), ' (±1)')", NOTED)])
+    rows = F.array(F.array(*map(F.lit, ("Dataset", "P", "Recall", "Trigger F1", "Note"))), cells)
+    return t.ee_metrics.select("paper_id", F.when(F.col("source") == "table", "gmft").otherwise("pdfplumber").alias("parser"), F.expr(TABLE_ID).alias("table_id"), (F.col("id") % 9).cast("int").alias("page"), rows.alias("rows"))
 
-@query("x12_citation_contexts")
-def citation_contexts(t):
-    refs = t.citations.where("source_paper_id <> target_paper_id").join(t.documents.select(F.col("doc_id").alias("source_paper_id"), "text"), "source_paper_id").join(t.papers.select(F.col("id").alias("target_paper_id"), "title", "doi"), "target_paper_id")
+
+NUMBER = "CASE WHEN {0} > 100 THEN NULL WHEN {0} > 0 AND {0} <= 1 THEN round({0} * 100, 3) ELSE round({0}, 3) END"
+TABLED = f"""tb AS (SELECT paper_id, {TABLE_ID} AS table_id, CASE WHEN source = 'table' THEN 'gmft' ELSE 'pdfplumber' END AS parser, CASE WHEN id % 4 = 0 THEN 'ACE2005' WHEN id % 4 = 3 THEN 'MAVEN' WHEN id % 3 = 0 THEN 'asinRAMS' END AS dataset_name,
+  {NUMBER.format('precision_')} AS p, {NUMBER.format('recall_')} AS r, {NUMBER.format('trigger_f1')} AS f FROM ee_metrics),
+  tn AS (SELECT * FROM tb WHERE dataset_name IS NOT NULL)"""
+query(
+    "x11_table_metrics",
+    "ee_metrics",
+    f"""WITH {TABLED}, o AS (SELECT *, row_number() OVER (PARTITION BY paper_id, dataset_name, p, r, f ORDER BY table_id) AS rn FROM tn WHERE coalesce(p, r, f) IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY table_id) AS nth FROM o WHERE rn = 1)
+  SELECT paper_id, table_id, 1 AS row_index, dataset_name, p AS precision, r AS recall, f AS f1, f AS trigger_f1, NULL AS argument_f1, CASE WHEN parser = 'gmft' THEN 0.86 ELSE 0.78 END AS confidence, CASE WHEN f IS NOT NULL THEN 3 WHEN r IS NOT NULL THEN 2 ELSE 1 END AS col_index FROM n WHERE nth <= 80""",
+)(lambda t: extraction.table_metrics(_tables(t)).drop("cell_text", "source"))
+query(
+    "x11_table_cells",
+    "ee_metrics",
+    f"""WITH {TABLED} SELECT paper_id, table_id, dataset_name, m AS metric_key, v AS metric_value, c AS col_index FROM (SELECT paper_id, table_id, dataset_name, 'precision' AS m, p AS v, 1 AS c FROM tn UNION ALL SELECT paper_id, table_id, dataset_name, 'recall', r, 2 FROM tn
+  UNION ALL SELECT paper_id, table_id, dataset_name, 'f1', f, 3 FROM tn UNION ALL SELECT paper_id, table_id, dataset_name, 'trigger_f1', f, 3 FROM tn) WHERE v IS NOT NULL""",
+)(lambda t: extraction.table_cells(_tables(t)).select("paper_id", "table_id", "dataset_name", "metric_key", "metric_value", "col_index"))
+MARKED = r"\n\s*(references|bibliography|参考文献)"
+query(
+    "x12_citation_contexts",
+    "citations papers",
+    rf"""WITH r AS (SELECT DISTINCT source_paper_id AS a, target_paper_id AS b FROM citations WHERE source_paper_id <> target_paper_id), j AS (SELECT a, b, coalesce(d.text, '') AS text, title, doi FROM r JOIN documents d ON d.doc_id = a JOIN papers p ON p.id = b),
+  m AS (SELECT *, CASE WHEN regexp_matches(lower(text), '{MARKED}\b') THEN substr(text, 1, length(regexp_extract(lower(text), '(?s)^(.*?){MARKED}\b', 1))) ELSE text END AS body FROM j),
+  w AS (SELECT *, list_filter(list_transform(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]{{4,}}'), lambda x: x NOT IN ('using', 'model', 'method'))[1:3], lambda x: instr(lower(body), x)), lambda i: i > 0)[1] AS hit, CASE WHEN coalesce(doi, '') <> '' THEN nullif(instr(lower(body), lower(trim(doi))), 0) END AS doi_at FROM m),
+  p AS (SELECT *, coalesce(hit, doi_at) AS pos FROM w), q AS (SELECT a, b, pos, substr(body, 1, pos - 1) AS before, substr(body, pos) AS after FROM p)
+  SELECT a AS source_paper_id, b AS target_paper_id, CASE WHEN pos IS NOT NULL THEN substr({FLAT.format("concat(regexp_extract(before, '(?s)([^.。!?]*)$', 1), CASE WHEN regexp_matches(after, '[.。!?]') THEN regexp_extract(after, '(?s)^([^.。!?]*[.。!?])', 1) ELSE substr(after, 1, 260) END)")}, 1, 360) END AS context FROM q""",
+)(lambda t: _contexts(t))
+
+
+def _contexts(t):
+    """The sentence of each citing document, searched in full, that names the cited paper."""
+    refs = t.citations.where("source_paper_id <> target_paper_id").select("source_paper_id", "target_paper_id").distinct().join(t.documents.select(F.col("doc_id").alias("source_paper_id"), "text"), "source_paper_id").join(t.papers.select(F.col("id").alias("target_paper_id"), "title", "doi"), "target_paper_id")
     return extraction.citation_contexts(refs).select("source_paper_id", "target_paper_id", "context")
 
 
@@ -117,13 +173,12 @@ query(
 )(lambda t: _venue_levels(t))
 
 
+def _ranks(t):
+    return t.spark.createDataFrame(RANKS, "level string, name string")
+
+
 def _venue_levels(t):
-    """The best level of a ranked name that a venue holds, or that holds it, or of its acronym; each venue is ranked once."""
-    ranks = F.broadcast(t.spark.createDataFrame(RANKS, "level string, name string").select("level", X.venue_norm("name").alias("name"), F.upper("name").alias("abbr")))
-    venues = t.papers.select(S.present("venue").alias("venue")).where("venue IS NOT NULL").distinct()
-    v = X.venue_norm("venue")
-    hit = venues.join(ranks, v.contains(F.col("name")) | F.col("name").contains(v) | F.array_contains(X.venue_candidates("venue"), F.col("abbr"))).groupBy("venue").agg(F.min("level").alias("level"))
-    return t.papers.select("id", "venue").join(hit, "venue", "left").select("id", "level")
+    return t.papers.select("id", "venue").join(maintenance.venue_levels(t.papers, _ranks(t)), "venue", "left").select("id", "level")
 
 
 query("j16_venue_match", "papers", f"SELECT v AS venue, count(*) AS n FROM (SELECT {VENUE} AS v FROM papers) WHERE contains(v, 'acl') OR contains(v, 'association for computational linguistics') GROUP BY 1")(
@@ -231,14 +286,68 @@ query("src9_table_cells", None, f"SELECT doc_id, sum(len(cells)) AS n_cells FROM
 query("src10_references", None, "SELECT doc_id, md5(CASE WHEN length(e) >= 400 THEN e END) AS h FROM (SELECT doc_id, right(coalesce(text, ''), 20000) AS e FROM documents)")(lambda t: t.documents.select("doc_id", F.md5(X.references_section("text")).alias("h")))
 
 
-@query("src11_landed_records")
-def landed_records(t):
-    """Answers of a web service, landed as JSON lines and read by the package's own data source."""
-    connectors.register(t.spark)
-    folder = tempfile.mkdtemp(prefix="landed-")
-    with open(f"{folder}/answers.jsonl", "w", encoding="utf-8") as f:
-        f.write('{"paperId": "a1", "title": "T", "year": 2020, "externalIds": {"DOI": "10.1/x"}, "citationCount": 3, "authors": [{"name": "A B"}], "fieldsOfStudy": ["CS", "CS", "AI"]}\nbroken\n{"paperId": "a2"}\n')
-    return t.spark.createDataFrame(t.spark.read.format("landed_records").load(folder).collect(), connectors.RECORD)
+query(
+    "src9_parsed_tables",
+    "ee_metrics",
+    f"SELECT paper_id, CASE WHEN source = 'table' THEN 'gmft' ELSE 'pdfplumber' END AS parser, {TABLE_ID} AS table_id, CAST(id % 9 AS INT) AS page, 2 AS n_rows, ({CELL}) AS first_cell FROM ee_metrics",
+)(lambda t: _parsed(t))
+
+
+def _parsed(t):
+    """The tables of two parsers as one, with a blank row each that is left out."""
+    tables = _tables(t).withColumn("rows", F.concat("rows", F.array(F.array(F.lit(" "), F.lit(None).cast("string")))))
+    both = connectors.parsed_tables(tables.where("parser = 'gmft'"), tables.where("parser <> 'gmft'"))
+    return both.select("paper_id", "parser", "table_id", "page", F.size("rows").alias("n_rows"), F.get(F.get("rows", F.lit(1)), F.lit(0)).alias("first_cell"))
+
+
+def _landing(t, rows, name):
+    """Answers of a web service, as a job would land them: a folder of JSON lines, here in the session's shared folder."""
+    folder = f"{scratch_dir(t.spark)}/landed-{name}-{uuid.uuid4().hex}"
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).unionByName(t.spark.createDataFrame([("broken {",)], "value string")).write.text(folder)
+    return folder
+
+
+query("src11_landed_records", "papers", "SELECT concat('p', id) AS paper_id, title, year, doi, citation_count, concat('Ann X, Bo ', id) AS authors, 'AI, CS' AS fields FROM papers")(lambda t: _landed_papers(t))
+
+
+def _landed_papers(t):
+    """Papers as a service would answer, landed and read back."""
+    people = F.array(F.struct(F.lit("Ann X").alias("name")), F.struct(F.concat(F.lit("Bo "), F.col("id").cast("string")).alias("name")))
+    rows = t.papers.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("paperId"), "title", "year", F.struct(F.col("doi").alias("DOI")).alias("externalIds"), F.col("citation_count").alias("citationCount"), people.alias("authors"), F.array(*map(F.lit, ("CS", "AI", "CS"))).alias("fieldsOfStudy"))
+    return connectors.landed_records(t.spark, _landing(t, rows, "papers"))
+
+
+query("src12_title_dois", "papers", "SELECT title, min(trim(doi)) AS doi FROM papers WHERE coalesce(title, '') <> '' AND doi IS NOT NULL AND id % 3 <> 0 GROUP BY 1")(lambda t: _landed_works(t))
+
+
+def _landed_works(t):
+    """Works found for titles: the first one's DOI; for a third of the titles nothing is found."""
+    item = lambda doi: F.struct(doi.alias("DOI"), F.array(F.col("title")).alias("title"))
+    some = F.when(F.col("id") % 3 != 0, F.array(item(F.trim("doi")), item(F.lit("10.9/other")))).otherwise(F.array().cast("array<struct<DOI:string,title:array<string>>>"))
+    rows = t.papers.select(F.col("title").alias("query"), F.struct(some.alias("items")).alias("message"))
+    return connectors.title_dois(connectors.landed(t.spark, _landing(t, rows, "works"), connectors.WORKS))
+
+
+query("src13_library_search", "papers", "SELECT title, concat('k', min(id)) AS key, 3 AS version FROM papers WHERE coalesce(title, '') <> '' GROUP BY 1")(lambda t: _library_search(t))
+
+
+def _library_search(t):
+    """Items found for each title: an unlike one first, then those of the title in order."""
+    one = t.papers.where("coalesce(title, '') <> ''")
+    w = Window.partitionBy("title").orderBy("id")
+    like = one.select("title", (F.row_number().over(w) + 1).alias("nth"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit(3).cast("long").alias("version"), F.concat(F.lit(" "), F.col("title"), F.lit("  ")).alias("found"))
+    unlike = one.select("title", F.lit(1).alias("nth"), F.lit("other").alias("key"), F.lit(1).cast("long").alias("version"), F.concat("title", F.lit(" x")).alias("found")).distinct()
+    return connectors.library_search(one, unlike.unionByName(like))
+
+
+query("src13_library_put", "papers", "SELECT concat('k', id) AS key, CASE WHEN id % 4 = 0 THEN 8 ELSE 7 END AS version, CASE WHEN id % 4 = 0 THEN 'new' ELSE title END AS title FROM papers")(lambda t: _library_put(t))
+
+
+def _library_put(t):
+    """Changes of every second item; half of them were read at a version that is no longer the item's."""
+    items = t.papers.select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit(7).cast("long").alias("version"), F.struct("title").alias("data"))
+    changes = t.papers.where("id % 2 = 0").select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.expr("CAST(CASE WHEN id % 4 = 0 THEN 7 ELSE 6 END AS BIGINT)").alias("version"), F.struct(F.lit("new").alias("title")).alias("data"))
+    return connectors.library_put(items, changes)[0].select("key", "version", F.col("data.title").alias("title"))
 
 
 query("src14_completions", "papers", "SELECT id, title AS prompt, NULL AS answer FROM papers")(lambda t: connectors.completions(t.papers.select("id", F.col("title").alias("prompt"))))
@@ -275,3 +384,13 @@ def stream_counts(t):
     stream = t.spark.readStream.schema(jobs.EVENTS).parquet(f"{t.sf_dir}/event[s].parquet")
     return jobs.run_available(stream.groupBy("event_type").agg(F.count("*").alias("n")), f"stream_counts_{abs(hash(t.sf_dir))}", "complete")
 
+
+@query("st6_session_memory", "chat_messages", "SELECT session_id, id, role, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS n FROM chat_messages) WHERE n <= 12")
+def session_memory(t):
+    """The last messages of each session, kept by a stream over the conversations."""
+    stream = t.spark.readStream.schema(t.conversations.schema).parquet(f"{t.sf_dir}/conversation[s].parquet")
+    messages = stream.selectExpr("conv_id AS session_id", "conv_id * 1000 + turn AS id", "role", "text AS content")
+    path = f"{scratch_dir(t.spark)}/memory-{uuid.uuid4().hex}"
+    jobs.start(messages, jobs.remember_into(path), f"{path}-state", once=True).awaitTermination()
+    return jobs.latest(t.spark, path)
+

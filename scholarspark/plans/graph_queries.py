@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import entity, graph
+from ..operators import entity, graph, maintenance
 from ..operators import relational as R
 from .adapter import AS_OF
 from .registry import query
@@ -29,10 +29,10 @@ def _pagerank_sql(k: int) -> str:
             f"r{i} AS (SELECT nd.id, 0.15e0 / n + 0.85e0 * (coalesce(inflow, 0) + lost / n) AS r FROM nd LEFT JOIN (SELECT dst AS id, sum(r / deg) AS inflow FROM lk JOIN r{i - 1} ON r{i - 1}.id = src GROUP BY 1) f ON f.id = nd.id, nn, "
             f"(SELECT coalesce(sum(r), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM lk)))"
         )
-    return f"WITH nd AS (SELECT id FROM papers), nn AS (SELECT count(*) AS n FROM nd), sg AS (SELECT DISTINCT source_paper_id AS src, target_paper_id AS dst FROM citations WHERE target_paper_id IN (SELECT id FROM nd) AND source_paper_id % 10 <> 3), lk AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM sg), {', '.join(steps)} SELECT id, round(r, 9) AS rank FROM r{k}"
+    return f"WITH nd AS (SELECT id FROM papers), nn AS (SELECT count(*) AS n FROM nd), sg AS (SELECT DISTINCT source_paper_id AS src, target_paper_id AS dst FROM citations WHERE target_paper_id IN (SELECT id FROM nd)), lk AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM sg), {', '.join(steps)} SELECT id, round(r, 9) AS rank FROM r{k}"
 
 
-query("g2_pagerank", "papers citations", _pagerank_sql(12))(lambda t: graph.pagerank(t.papers, graph.simple_edges(t.citations.where("source_paper_id % 10 <> 3")), 12).select("id", F.round("rank", 9).alias("rank")))
+query("g2_pagerank", "papers citations", _pagerank_sql(12))(lambda t: graph.pagerank(t.papers, graph.simple_edges(t.citations), 12, tolerance=0).select("id", F.round("rank", 9).alias("rank")))
 query(
     "g3_neighbourhood",
     "citations",
@@ -46,9 +46,17 @@ query(
 )(lambda t: graph.shortest_path(t.citations, 3, 150, "any", 4))
 
 
-@query("g5_foundation_path")
-def foundation_path(t):
-    """Reading order over the edges that point to older papers (acyclic); checked against a plain rewrite in the tests."""
+query(
+    "g5_foundation_path",
+    "papers citations",
+    """WITH RECURSIVE nd AS (SELECT id, year FROM papers WHERE year IS NOT NULL), e AS (SELECT DISTINCT s.id AS src, g.id AS dst FROM citations JOIN nd s ON s.id = source_paper_id JOIN nd g ON g.id = target_paper_id WHERE s.year > g.year),
+  lv AS (SELECT id, 0 AS l FROM nd UNION SELECT dst, l + 1 FROM lv JOIN e ON src = id), top AS (SELECT id, max(l) AS l FROM lv GROUP BY 1)
+  SELECT row_number() OVER (ORDER BY l, id) - 1 AS position, id FROM top ORDER BY l, id LIMIT 15""",
+)(lambda t: _foundation(t))
+
+
+def _foundation(t):
+    """Reading order over the edges that point to older papers, which have no cycle."""
     years = t.papers.select("id", "year")
     e = t.citations.join(years.toDF("source_paper_id", "sy"), "source_paper_id").join(years.toDF("target_paper_id", "ty"), "target_paper_id").where("sy > ty")
     return graph.foundation_path(t.papers.where("year IS NOT NULL"), e)
@@ -59,10 +67,21 @@ query("g6_sota_list", "papers", f"SELECT id, year, round(coalesce(citation_veloc
 )
 
 
-@query("g7_communities")
-def communities(t):
-    """Synchronous label propagation; checked against a plain rewrite in the tests."""
-    return graph.label_propagation(t.citations)
+def _rounds_sql(rounds: int) -> str:
+    steps = ["l0 AS MATERIALIZED (SELECT DISTINCT src AS id, src AS label FROM lg)"]
+    for k in range(1, rounds + 1):
+        steps.append(
+            f"l{k} AS MATERIALIZED (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS rn FROM (SELECT id, label, count(*) AS n FROM (SELECT src AS id, label FROM lg JOIN l{k - 1} ON id = dst UNION ALL SELECT id, label FROM l{k - 1}) GROUP BY 1, 2)) WHERE rn = 1)"
+        )
+    return ", ".join(steps)
+
+
+query(
+    "g7_communities",
+    "citations",
+    f"""WITH {BOTH}, lg AS MATERIALIZED (SELECT src, dst FROM bg WHERE src <> dst AND src IS NOT NULL AND dst IS NOT NULL), {_rounds_sql(18)},
+  z AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS community FROM l18 GROUP BY 1) SELECT id, community FROM l18 JOIN z USING (label)""",
+)(lambda t: graph.label_propagation(t.citations))
 
 
 query("g9_edge_rank", "citations", "WITH d AS (SELECT id, count(*) AS k FROM (SELECT source_paper_id AS id FROM citations UNION ALL SELECT target_paper_id FROM citations) GROUP BY 1) SELECT source_paper_id, target_paper_id, round(0.72e0 * coalesce(confidence, 1.0) + 0.025e0 * (a.k + b.k), 6) AS weight FROM citations JOIN d a ON a.id = source_paper_id JOIN d b ON b.id = target_paper_id ORDER BY weight DESC, source_paper_id, target_paper_id LIMIT 200")(
@@ -80,49 +99,58 @@ def hulls(t):
 query("g12_edge_focus", "citations", "SELECT source_paper_id, target_paper_id, intent FROM citations WHERE (source_paper_id = 10 OR target_paper_id = 10) AND intent = 'mention'")(
     lambda t: graph.edge_focus(t.citations, 10, "all", "mention").select("source_paper_id", "target_paper_id", "intent")
 )
-query(
-    "g_components",
-    "citations",
-    "WITH RECURSIVE sg AS (SELECT source_paper_id AS a, target_paper_id AS b FROM citations WHERE coalesce(confidence, 1) >= 0.8 AND source_paper_id % 3 = 0 AND source_paper_id <> target_paper_id), bg AS (SELECT a, b FROM sg UNION SELECT b, a FROM sg), r AS (SELECT a AS node, a AS x FROM bg UNION SELECT r.node, bg.b FROM r JOIN bg ON r.x = bg.a) SELECT node, min(x) AS component FROM r GROUP BY 1",
-)(lambda t: graph.components(t.citations.where("coalesce(confidence, 1) >= 0.8 AND source_paper_id % 3 = 0")))
-
-
-@query("g_components_all")
-def components_all(t):
+@query("g_components")
+def components(t):
     """Components of the whole citations table; checked against union-find in the tests."""
     return graph.components(t.citations)
 
 
-@query("g2_pagerank_all")
-def pagerank_all(t):
-    """PageRank over the whole citations table; checked against a plain rewrite in the tests."""
-    return graph.pagerank(t.papers, graph.simple_edges(t.citations), 12).select("id", F.round("rank", 9).alias("rank"))
+@query("g2_pagerank_converged")
+def pagerank_converged(t):
+    """Ranks at which the default tolerance stops; checked against a plain rewrite in the tests."""
+    return graph.pagerank(t.papers, graph.simple_edges(t.citations)).select("id", F.round("rank", 6).alias("rank"))
 
 
 # entity resolution ------------------------------------------------------------------------------------------------
 
-INCOMING = "inc AS (SELECT CASE WHEN id % 2 = 0 THEN 100000 + id ELSE 200000 + id END AS id, CASE WHEN id % 3 = 0 THEN concat('New ', title) ELSE title END AS title, year, CASE WHEN id % 3 = 1 THEN doi END AS doi, file_hash, abstract, citation_count + 1 AS citation_count FROM papers WHERE id % 5 = 0)"
-KEEP = ["id", "title", "year", "doi", "file_hash", "abstract", "citation_count"]
+#: Incoming papers: some known by a key, some by their title, some of them twice, some without title, year or key.
+INC = {
+    "id": "CASE WHEN id % 2 = 0 THEN 100000 + id ELSE 200000 + id END",
+    "title": "CASE WHEN id % 25 = 0 THEN NULL WHEN id % 3 = 0 THEN concat('New paper number ', CAST(id % 40 AS STRING)) ELSE title END",
+    "year": "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 2000 + CAST(id % 2 AS INT) ELSE year END",
+    "doi": "CASE WHEN id % 3 = 1 THEN doi END",
+    "s2_paper_id": "CASE WHEN id % 2 = 1 THEN s2_paper_id END",
+    "file_hash": "CASE WHEN id % 4 = 0 THEN file_hash END",
+    "abstract": "md5(abstract)",
+    "citation_count": "CASE WHEN id % 11 <> 0 THEN citation_count + 1 END",
+}
+INCOMING = f"inc AS (SELECT {', '.join(f'{e} AS {c}' for c, e in INC.items())} FROM papers WHERE id % 5 = 0)"
+KEEP = list(INC)
 SUSPECT = r"(length(trim(coalesce(title, ''))) < 8 OR regexp_matches(lower(trim(title)), '@|http|www|\b(university|institute|laboratory|department|school|college)\b'))"
 
 
 def _incoming(t):
-    p = t.papers.where("id % 5 = 0")
-    return p.selectExpr("CASE WHEN id % 2 = 0 THEN 100000 + id ELSE 200000 + id END AS id", "CASE WHEN id % 3 = 0 THEN concat('New ', title) ELSE title END AS title", "year", "CASE WHEN id % 3 = 1 THEN doi END AS doi", "file_hash", "abstract", "citation_count + 1 AS citation_count")
+    return t.papers.where("id % 5 = 0").selectExpr(*[f"{e} AS {c}" for c, e in INC.items()])
 
 
+_by_key = " ".join(f"LEFT JOIN (SELECT {k}, min(id) AS m{n} FROM papers WHERE coalesce({k}, '') <> '' GROUP BY 1) k{n} ON k{n}.{k} = i.{k}" for n, k in enumerate(entity.KEYS))
+MATCHED = f"""{INCOMING}, matched AS (SELECT i.*, coalesce(m0, m1, m2, CASE WHEN NOT {SUSPECT} THEN CASE WHEN i.year IS NULL THEN t.m ELSE y.m END END) AS match FROM inc i {_by_key}
+  LEFT JOIN (SELECT title AS tt, min(id) AS m FROM papers WHERE coalesce(title, '') <> '' GROUP BY 1) t ON t.tt = i.title LEFT JOIN (SELECT title AS tt, year AS yy, min(id) AS m FROM papers WHERE coalesce(title, '') <> '' AND year IS NOT NULL GROUP BY 1, 2) y ON y.tt = i.title AND y.yy = i.year)"""
+query("u1_paper_match", "papers", f"WITH {MATCHED} SELECT id, match FROM matched")(lambda t: entity.match_papers(t.papers.select(*KEEP), _incoming(t)).select("id", "match"))
+_links = " UNION ".join(f"SELECT id AS x, min(id) OVER (PARTITION BY {k}) AS y FROM lone WHERE coalesce({k}, '') <> ''" for k in entity.KEYS)
+_text = lambda c: f"coalesce(arg_min({c}, id) FILTER (coalesce({c}, '') <> ''), arg_min({c}, id) FILTER ({c} IS NOT NULL)) AS {c}"
+_merged = ", ".join([_text("title"), "arg_min(year, id) FILTER (year IS NOT NULL) AS year", _text("doi"), _text("s2_paper_id"), "arg_max(file_hash, id) FILTER (file_hash IS NOT NULL) AS file_hash", _text("abstract"), "arg_max(citation_count, id) FILTER (citation_count IS NOT NULL) AS citation_count"])
+_kept = "coalesce(nullif(p.{0}, ''), o.{0}, p.{0}) AS {0}"
 query(
-    "u1_paper_match",
+    "u1_paper_upsert",
     "papers",
-    f"""WITH {INCOMING} SELECT i.id, coalesce(h.m, d.m, CASE WHEN NOT {SUSPECT} THEN y.m END, CASE WHEN NOT {SUSPECT} THEN z.m END) AS match FROM inc i
-  LEFT JOIN (SELECT file_hash, min(id) AS m FROM papers WHERE coalesce(file_hash, '') <> '' GROUP BY 1) h ON h.file_hash = i.file_hash LEFT JOIN (SELECT doi, min(id) AS m FROM papers WHERE coalesce(doi, '') <> '' GROUP BY 1) d ON d.doi = i.doi
-  LEFT JOIN (SELECT title AS tt, year AS yy, min(id) AS m FROM papers WHERE NOT {SUSPECT} AND year IS NOT NULL GROUP BY 1, 2) y ON y.tt = i.title AND y.yy = i.year LEFT JOIN (SELECT title AS tt, min(id) AS m FROM papers WHERE NOT {SUSPECT} AND year IS NULL GROUP BY 1) z ON z.tt = i.title""",
-)(lambda t: entity.match_papers(t.papers.select(*KEEP), _incoming(t)).select("id", "match"))
-
-
-@query("u1_paper_upsert")
-def paper_upsert(t):
-    return entity.upsert_papers(t.papers.select(*KEEP), _incoming(t)).select("id", "title", "year", "doi", "citation_count")
+    f"""WITH RECURSIVE {MATCHED}, lone AS (SELECT * FROM matched WHERE match IS NULL),
+  links AS ({_links} UNION SELECT id, min(id) OVER (PARTITION BY title, year) FROM lone WHERE NOT {SUSPECT} AND year IS NOT NULL UNION SELECT id, f FROM (SELECT id, year, min(id) OVER (PARTITION BY title) AS f FROM lone WHERE NOT {SUSPECT}) WHERE year IS NULL),
+  ends AS (SELECT x, y FROM links UNION SELECT y, x FROM links), reach AS (SELECT id AS x, id AS y FROM lone UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x), grp AS (SELECT x AS of, min(y) AS first FROM reach GROUP BY 1),
+  o AS (SELECT match AS of, {_merged} FROM matched WHERE match IS NOT NULL GROUP BY 1), n AS (SELECT first, {_merged} FROM lone JOIN grp ON of = id GROUP BY 1)
+  SELECT p.id, {_kept.format('title')}, coalesce(p.year, o.year) AS year, {_kept.format('doi')}, {_kept.format('s2_paper_id')}, coalesce(o.file_hash, p.file_hash) AS file_hash, md5({_kept.format('abstract')[:-12]}) AS abstract, coalesce(o.citation_count, p.citation_count) AS citation_count FROM papers p LEFT JOIN o ON o.of = p.id
+  UNION ALL SELECT (SELECT max(id) FROM papers) + row_number() OVER (ORDER BY first), title, year, doi, s2_paper_id, file_hash, md5(abstract), citation_count FROM n""",
+)(lambda t: entity.upsert_papers(t.papers.select(*KEEP), _incoming(t)).withColumn("abstract", F.md5("abstract")))
 
 
 NEW = "CASE WHEN (source_paper_id + target_paper_id) % 3 = 0 THEN 0.95e0 WHEN (source_paper_id + target_paper_id) % 3 = 1 THEN 0.0e0 END"
@@ -164,13 +192,30 @@ def _mapping(t):
     return t.papers.where("id % 10 = 1").select(F.col("id").alias("old_id"), (F.col("id") - 1).alias("new_id"))
 
 
+query(
+    "u4_merge_notes",
+    "papers paper_notes",
+    f"""WITH {MAP.replace('10 = 1', '10 = 2').replace('id - 1', 'id + 2')}, n AS (SELECT coalesce(new_id, paper_id) AS paper_id, paper_id AS old, method, datasets, conclusions, notes, CASE WHEN new_id IS NULL THEN 0 ELSE 1 END AS k FROM paper_notes LEFT JOIN mp ON old_id = paper_id)
+  SELECT paper_id, {", ".join(f"coalesce(arg_min({c}, k) FILTER (coalesce({c}, '') <> ''), arg_min({c}, k) FILTER ({c} IS NOT NULL)) AS {c}" for c in ("method", "datasets", "conclusions", "notes"))} FROM n GROUP BY 1""",
+)(lambda t: maintenance.merge_notes(t.paper_notes.select("paper_id", "method", "datasets", "conclusions", "notes"), t.papers.where("id % 10 = 2").select(F.col("id").alias("old_id"), (F.col("id") + 2).alias("new_id"))))
+query(
+    "u4_move_rows",
+    "papers reading_tasks",
+    f"WITH {MAP} SELECT r.id, coalesce(new_id, paper_id) AS paper_id FROM reading_tasks r LEFT JOIN mp ON old_id = paper_id",
+)(lambda t: maintenance.move_rows(t.reading_tasks.select("id", "paper_id"), _mapping(t)))
+
+
 @query("u5_auto_merge")
 def auto_merge(t):
-    """Duplicate groups of nearly equal titles, each with its best paper (a file, citations, the newest update)."""
-    groups = entity.duplicate_groups(entity.title_pairs(t.papers, 0.96))
-    p = t.papers.select("id", S.present("file_path").isNotNull().alias("has"), "citation_count", "updated_at")
-    best = F.max_by("id", F.struct("has", "citation_count", "updated_at", -F.col("id"))).alias("keeper")
-    return groups.join(p, "id").groupBy("group_id").agg(best, F.count("*").alias("n"))
+    """Papers of nearly equal titles with the one that is kept; tested against all pairs."""
+    return maintenance.auto_merge(t.papers)
+
+
+@query("u5_merged_edges")
+def merged_edges(t):
+    """The citations after the automatic merge; tested against all pairs."""
+    mapping = maintenance.auto_merge(t.papers).where("old_id <> new_id")
+    return entity.merge_papers(t.papers, t.citations, mapping)[1]
 
 
 query(

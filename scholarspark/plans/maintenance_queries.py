@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,24 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions import scalar as S
 from ..operators import aggregates as A
-from ..operators import chunking, entity, graph, retrieval
+from ..operators import entity, graph
+from ..operators import maintenance as M
 from ..operators import relational as R
+from ..operators.lineage import scratch_dir
 from ..sources import connectors
+from .extraction_queries import VENUE, _ranks
 from .graph_queries import _pagerank_sql
 from .registry import query
+from .retrieval_queries import SEARCHED
 from .relational_queries import NZ_FILE, TODAY
 
 query("p2_rank_size", "papers citations", f"SELECT id, round(20 + least(50.0, 800 * rank), 5) AS size FROM ({_pagerank_sql(3)})")(
-    lambda t: graph.pagerank(t.papers, graph.simple_edges(t.citations.where("source_paper_id % 10 <> 3")), 3).select("id", F.round(20 + F.least(F.lit(50.0), 800 * F.round("rank", 9)), 5).alias("size"))
+    lambda t: graph.pagerank(t.papers, graph.simple_edges(t.citations), 3, tolerance=0).select("id", F.round(20 + F.least(F.lit(50.0), 800 * F.round("rank", 9)), 5).alias("size"))
 )
-
-
-@query("p2_rank_size_all")
-def rank_size_all(t):
-    """Sizes by the ranks of the whole citations table."""
-    return graph.pagerank(t.papers, graph.simple_edges(t.citations), 3).select("id", F.round(20 + F.least(F.lit(50.0), 800 * F.round("rank", 9)), 5).alias("size"))
-
-
 query(
     "p3_node_view",
     "papers reading_tasks experiments",
@@ -44,21 +39,12 @@ query("t8_top_lists", "papers", "SELECT id, citation_count FROM papers ORDER BY
 query("s1_id_union", "papers citations", "SELECT id FROM papers WHERE id % 2 = 0 UNION SELECT target_paper_id FROM citations WHERE confidence > 0.6")(
     lambda t: t.papers.where("id % 2 = 0").select("id").union(t.citations.where("confidence > 0.6").select("target_paper_id")).distinct()
 )
-query("s4_alias_union", "papers", "SELECT sub_field, list_sort(list_distinct(list(lower(venue)))) AS aliases FROM papers WHERE coalesce(venue, '') <> '' AND coalesce(sub_field, '') <> '' GROUP BY 1")(
-    lambda t: t.papers.where("coalesce(venue, '') <> '' AND coalesce(sub_field, '') <> ''").groupBy("sub_field").agg(F.slice(F.sort_array(F.collect_set(F.lower("venue"))), 1, 40).alias("aliases"))
+query("s4_alias_union", "papers", "SELECT sub_field, list_sort(list_distinct(list(concat(lower(venue), ' ', id % 60))))[1:40] AS aliases FROM papers WHERE coalesce(venue, '') <> '' AND coalesce(sub_field, '') <> '' GROUP BY 1")(
+    lambda t: M.alias_union(t.papers.selectExpr("sub_field", "CASE WHEN venue <> '' THEN concat(venue, ' ', CAST(id % 60 AS STRING)) END AS alias"), "sub_field", "alias")
 )
 query("w4_first_seen", "papers", "SELECT id, lower(unnest(string_split(concat(keywords, ',x,X'), ','))) AS tag FROM papers WHERE keywords = 'never' UNION ALL SELECT id, tag FROM (SELECT id, unnest(CASE WHEN keywords = '' THEN ['', 'x'] ELSE [string_split(keywords, ',')[1], 'common', 'x'] END) AS tag FROM papers)")(
-    lambda t: _first_seen(t)
+    lambda t: M.first_seen(t.papers.select("id", F.posexplode(F.split(F.concat("keywords", F.lit(",x,X")), ",")).alias("at", "tag")), "id", "at", "tag").select("id", "tag")
 )
-
-
-def _first_seen(t):
-    """Tags in order, each at its first place, ignoring case."""
-    tags = t.papers.select("id", F.posexplode(F.split(F.concat("keywords", F.lit(",x,X")), ",")).alias("at", "tag"))
-    w = Window.partitionBy("id", F.lower("tag")).orderBy("at")
-    return tags.withColumn("n", F.row_number().over(w)).where("n = 1").select("id", "tag")
-
-
 query("w6_min_id", "papers", "SELECT min(id) AS id, doi FROM papers WHERE doi IS NOT NULL GROUP BY doi")(lambda t: R.keep_first(t.papers.where("doi IS NOT NULL").select("id", "doi"), ["doi"]))
 query("w7_collisions", "papers", "SELECT id, row_number() OVER (PARTITION BY coalesce(year, 0), authors ORDER BY id) AS n FROM papers")(lambda t: t.papers.select("id", F.row_number().over(Window.partitionBy(F.coalesce("year", F.lit(0)), "authors").orderBy("id")).alias("n")))
 query("a20_corpus_stats", None, "SELECT count(*) AS n, avg(len(string_split(text, ' '))) AS mean_words, sum(CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END) AS df FROM documents")(
@@ -73,28 +59,41 @@ query("u8_note_upsert", "paper_notes", "SELECT paper_id, coalesce(CASE WHEN pape
     )
 )
 query("u10_alias_learning", "papers", "SELECT alias, level FROM (SELECT lower(trim(venue)) AS alias, min(ccf_level) AS level FROM papers WHERE ccf_level IS NOT NULL AND coalesce(venue, '') <> '' GROUP BY 1) WHERE alias <> 'proc. acl 2020' UNION ALL SELECT 'proc. acl 2020', 'B'")(
-    lambda t: _learn(t)
+    lambda t: M.learn_aliases(t.spark.createDataFrame([("proc. acl 2020", "B")], "alias string, level string"), t.papers.select(F.lower(F.trim("venue")).alias("alias"), F.col("ccf_level").alias("level")))
 )
+query(
+    "u11_relevel",
+    "papers",
+    f"SELECT id, coalesce(CASE WHEN contains(v, 'association for computational linguistics') OR contains(v, 'acl') THEN 'A' WHEN contains(v, 'journal of machine learning research') THEN 'B' WHEN contains(v, 'workshop on small things') THEN 'C' END, ccf_level) AS ccf_level FROM (SELECT id, ccf_level, {VENUE} AS v FROM papers)",
+)(lambda t: M.relevel(t.papers, _ranks(t)).select("id", "ccf_level"))
+query(
+    "u13_promote_fields",
+    "papers",
+    "WITH f AS (SELECT DISTINCT sub_field AS name FROM papers WHERE coalesce(sub_field, '') <> '' UNION SELECT 'GAMMA 3') SELECT name FROM f UNION ALL SELECT unnest(['Alpha 0', 'Beta tag', 'Delta set', 'gamma 0'])",
+)(lambda t: _promoted(t))
 
 
-def _learn(t):
-    """The alias table after learning: names seen with a level, unless the alias is known already."""
-    known = t.spark.createDataFrame([("proc. acl 2020", "B")], "alias string, level string")
-    seen = t.papers.where("ccf_level IS NOT NULL AND coalesce(venue, '') <> ''").groupBy(F.lower(F.trim("venue")).alias("alias")).agg(F.min("ccf_level").alias("level"))
-    return known.unionByName(seen.join(known, "alias", "left_anti"))
+def _promoted(t):
+    """Fields, one of them spelled like a tag in capitals, with the clusters of the open tags."""
+    fields = t.papers.where("sub_field <> ''").select(F.col("sub_field").alias("name")).distinct().union(t.spark.createDataFrame([("GAMMA 3",)], "name string"))
+    return M.promote_fields(fields, A.tag_clusters(A.open_tags(t.papers, [], top=200)))
 
 
-query("u11_relevel", "papers", "SELECT id, CASE WHEN venue ILIKE '%acl%' THEN 'A' WHEN venue ILIKE '%journal%' THEN 'B' ELSE ccf_level END AS ccf_level FROM papers")(
-    lambda t: t.papers.select("id", F.coalesce(F.when(F.col("venue").ilike("%acl%"), "A").when(F.col("venue").ilike("%journal%"), "B"), "ccf_level").alias("ccf_level"))
-)
-query("u13_promote_fields", "papers", "SELECT DISTINCT trim(lower(split_part(dynamic_tags, ',', 1))) AS name FROM papers WHERE contains(dynamic_tags, ',') AND NOT starts_with(dynamic_tags, '[') AND trim(lower(split_part(dynamic_tags, ',', 1))) NOT IN (SELECT lower(sub_field) FROM papers WHERE sub_field IS NOT NULL)")(
-    lambda t: t.papers.where("contains(dynamic_tags, ',') AND NOT startswith(dynamic_tags, '[')").select(F.lower(F.get(S.tag_list("dynamic_tags"), F.lit(0))).alias("name")).distinct().join(t.papers.select(F.lower("sub_field").alias("name")), "name", "left_anti")
-)
 query(
     "u16_backfill_counters",
     "papers",
-    f"SELECT count(*) AS picked, count(*) FILTER (coalesce(summary_one, '') = '') AS summaries, count(*) FILTER (refs_parsed_at IS NULL) AS refs, count(*) FILTER (doi IS NULL) AS dois FROM (SELECT * FROM papers WHERE {NZ_FILE} AND (coalesce(summary_one, '') = '' OR refs_parsed_at IS NULL) ORDER BY id DESC LIMIT 100)",
-)(lambda t: R.backlog(t.papers).agg(F.count("*").alias("picked"), F.count_if(F.coalesce("summary_one", F.lit("")) == "").alias("summaries"), F.count_if(F.col("refs_parsed_at").isNull()).alias("refs"), F.count_if(F.col("doi").isNull()).alias("dois")))
+    rf"""WITH p AS (SELECT * FROM papers WHERE {NZ_FILE} AND (coalesce(summary_one, '') = '' OR refs_parsed_at IS NULL) ORDER BY id DESC LIMIT 100)
+  SELECT count(*) AS processed, count(*) FILTER (coalesce(summary_one, '') = '' AND id % 2 = 0) AS summary_added, count(*) FILTER (refs_parsed_at IS NULL) AS references_parsed, count(*) FILTER (id % 5 = 0) AS metrics_upserted, 2 * count(*) FILTER (id % 5 = 0) AS metric_cells_upserted, 2 * count(*) FILTER (id % 5 = 0) AS auto_experiments FROM p""",
+)(lambda t: _backfill(t)["counters"].drop("chunks_indexed", "schemas_extracted"))
+
+
+def _backfill(t):
+    """Every step over the newest papers: the model answers for even ids, every fifth paper has a table with two scores."""
+    tables = t.papers.where("id % 5 = 0").select(F.col("id").alias("paper_id"), F.lit("gmft").alias("parser"), F.lit("t1").alias("table_id"), F.expr("array(array('Dataset', 'P', 'R'), array('MAVEN', '50', '60'))").alias("rows"))
+    answer = lambda rows: rows.withColumn("answer", F.when(F.col("id") % 2 == 0, F.lit("a line")))
+    return M.backfill(t.papers, t.papers.select(F.col("id").alias("paper_id"), F.col("abstract").alias("text")), tables, limit=100, summarise=answer)
+
+
 query(
     "g11_ingest_references",
     "papers citations",
@@ -111,47 +110,58 @@ def _ingest(t):
     return entity.upsert_edges(old, out.unionByName(into).withColumn("confidence", F.lit(0.85)))
 
 
-query("q7_cleanup_throttle", "job_runs", "SELECT job_type, max(created_at) + 86400 <= 1700350000 AS due FROM job_runs GROUP BY 1")(lambda t: t.job_runs.groupBy("job_type").agg((F.max("created_at") + 86400 <= 1_700_350_000).alias("due")))
-RECORD = "struct<paperId:string,title:string,externalIds:struct<DOI:string>,authors:array<struct<name:string>>,fieldsOfStudy:array<string>>"
-query("x22_record_flatten", "papers", "SELECT id, concat('p', id) AS paper_id, doi, concat('Ann, Bo ', id) AS authors, 'AI, CS' AS fields FROM papers")(
-    lambda t: t.papers.select(
-        "id",
-        F.from_json(
-            F.to_json(
-                F.struct(
-                    F.concat(F.lit("p"), F.col("id").cast("string")).alias("paperId"),
-                    F.struct(F.col("doi").alias("DOI")).alias("externalIds"),
-                    F.array(F.struct(F.lit("Ann").alias("name")), F.struct(F.concat(F.lit("Bo "), F.col("id").cast("string")).alias("name"))).alias("authors"),
-                    F.array(F.lit("CS"), F.lit("AI"), F.lit("CS")).alias("fieldsOfStudy"),
-                )
-            ),
-            RECORD,
-        ).alias("r"),
-    ).select("id", F.col("r.paperId").alias("paper_id"), F.col("r.externalIds.DOI").alias("doi"), F.array_join("r.authors.name", ", ").alias("authors"), F.array_join(F.array_sort(F.array_distinct("r.fieldsOfStudy")), ", ").alias("fields"))
+query("q7_cleanup_throttle", "job_runs", "SELECT job_type, max(created_at) + 86400 <= 1700350000 AS due FROM job_runs GROUP BY 1")(lambda t: M.cleanup_due(t.job_runs, 1_700_350_000))
+query("x22_record_flatten", "papers", "SELECT concat('p', id) AS paper_id, doi, concat('Ann, Bo ', id) AS authors, 'AI, CS' AS fields FROM papers")(
+    lambda t: connectors.flat_records(
+        t.papers.select(
+            F.concat(F.lit("p"), F.col("id").cast("string")).alias("paperId"),
+            "title",
+            "year",
+            F.struct(F.col("doi").alias("DOI")).alias("externalIds"),
+            F.col("citation_count").alias("citationCount"),
+            F.array(F.struct(F.lit("Ann").alias("name")), F.struct(F.concat(F.lit("Bo "), F.col("id").cast("string")).alias("name")), F.struct(F.lit("").alias("name"))).alias("authors"),
+            F.array(F.lit("CS"), F.lit("AI"), F.lit("CS")).alias("fieldsOfStudy"),
+        )
+    ).select("paper_id", "doi", "authors", "fields")
 )
-query("x23_library_mapping", "papers", r"SELECT id, CAST(nullif(regexp_extract(concat('published ', coalesce(CAST(year AS STRING), 'unknown')), '((?:19|20)\d{2})', 1), '') AS INT) AS year, substr(abstract, 1, 300) AS extra FROM papers")(
-    lambda t: t.papers.select("id", F.nullif(F.regexp_extract(F.concat(F.lit("published "), F.coalesce(F.col("year").cast("string"), F.lit("unknown"))), r"((?:19|20)\d{2})", 1), F.lit("")).cast("int").alias("year"), F.substring("abstract", 1, 300).alias("extra"))
+query(
+    "x23_library_mapping",
+    "papers",
+    r"SELECT concat('k', id) AS key, CASE id % 3 WHEN 0 THEN 'Ann X, Y' WHEN 1 THEN 'Y' END AS authors, CAST(nullif(regexp_extract(concat('published ', coalesce(CAST(year AS STRING), 'unknown')), '\b((?:19|20)\d{2})\b', 1), '') AS INT) AS year, substr(nullif(abstract, ''), 1, 300) AS summary_one FROM papers",
+)(
+    lambda t: M.library_fields(
+        t.papers.select(
+            F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"),
+            F.struct(
+                "title",
+                F.concat(F.lit("published "), F.coalesce(F.col("year").cast("string"), F.lit("unknown"))).alias("date"),
+                F.col("abstract").alias("extra"),
+                F.col("venue").alias("publicationTitle"),
+                F.col("doi").alias("DOI"),
+                F.expr("CASE id % 3 WHEN 0 THEN array(struct(' Ann' AS firstName, 'X ' AS lastName), struct('' AS firstName, 'Y' AS lastName)) WHEN 1 THEN array(struct(NULL AS firstName, 'Y' AS lastName)) ELSE array() END").alias("creators"),
+            ).alias("data"),
+        )
+    ).select("key", "authors", "year", "summary_one")
 )
-query("x26_metadata_normalise", "papers", "SELECT id, nullif(trim(venue), '') AS venue, CASE WHEN lower(sub_field) = 'src1' THEN 'Source One' ELSE nullif(trim(sub_field), '') END AS sub_field FROM papers")(
-    lambda t: t.papers.select("id", S.present(F.trim("venue")).alias("venue"), F.when(F.lower("sub_field") == "src1", "Source One").otherwise(S.present(F.trim("sub_field"))).alias("sub_field"))
+query(
+    "x26_metadata_normalise",
+    "papers",
+    """SELECT id, nullif(trim(venue), '') AS venue, CASE WHEN lower(trim(sub_field)) = 'src1' THEN 'SRC1' ELSE nullif(trim(sub_field), '') END AS sub_field, CASE WHEN lower(coalesce(trim(CASE WHEN id % 2 = 0 THEN upper(sub_field) ELSE source_type END), '')) <> lower(coalesce(trim(sub_field), '')) THEN nullif(trim(CASE WHEN id % 2 = 0 THEN upper(sub_field) ELSE source_type END), '') END AS open_sub_field,
+  CASE WHEN id % 4 <> 0 THEN year END AS year FROM papers""",
+)(
+    lambda t: M.normalise_metadata(
+        t.papers.selectExpr("id", "concat(venue, ' ') AS venue", "concat(' ', sub_field) AS sub_field", "CASE WHEN id % 2 = 0 THEN upper(sub_field) ELSE source_type END AS open_sub_field", "CASE WHEN id % 4 = 0 THEN 'about 2001' ELSE CAST(year AS STRING) END AS year"), ["SRC1"]
+    )
 )
-query("x28_fill_if_blank", "papers", "SELECT id, coalesce(nullif(trim(venue), ''), 'from library') AS venue FROM papers")(lambda t: t.papers.select("id", F.coalesce(S.present(F.trim("venue")), F.lit("from library")).alias("venue")))
+query("x28_fill_if_blank", "papers", "SELECT id, coalesce(nullif(trim(venue), ''), 'from library') AS venue FROM papers")(lambda t: M.fill_if_blank(t.papers.select("id", "venue"), venue=F.lit("from library")))
 query("x30_model_fallback", "papers", "SELECT id, title AS prompt, NULL AS answer FROM papers WHERE summary_one = ''")(lambda t: connectors.completions(t.papers.where("summary_one = ''").select("id", F.col("title").alias("prompt"))))
 query("x7_first_doi_text", None, r"SELECT doc_id, nullif(regexp_extract(coalesce(text, ''), '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b', 0), '') AS doi FROM documents")(lambda t: t.documents.select("doc_id", X.first_doi("text").alias("doi")))
-query("snk5_search_table", "papers paper_notes", "SELECT id AS doc_id, coalesce(title, '') AS title FROM papers LEFT JOIN paper_notes ON paper_id = id")(lambda t: R.search_documents(t.papers, t.paper_notes).select("doc_id", "title"))
-
-
-@query("r12_index_chunks")
-def index_chunks(t):
-    """Chunks of all documents with hashed unit vectors, as counts: what an index of the corpus holds."""
-    chunks = chunking.chunk_documents(t.documents).select(F.concat_ws("-", "doc_id", "chunk_index").alias("chunk"), "doc_id", "chunk_text")
-    vectors = retrieval.hash_vectors(chunks, "chunk", "chunk_text")
-    return chunks.select("chunk", "doc_id").join(vectors.groupBy("chunk").agg(F.count("*").alias("buckets")), "chunk", "left").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("buckets").alias("buckets"))
+query("snk5_search_table", "papers paper_notes", f"SELECT doc_id, md5(text) AS h, length(text) AS n FROM ({SEARCHED})")(lambda t: R.search_documents(t.papers, t.paper_notes).select("doc_id", F.md5("text").alias("h"), F.length("text").alias("n")))
 
 
 @query("src15_venue_ranks", None, "SELECT * FROM (VALUES ('A', 'ACL'), ('A', 'EMNLP'), ('B', 'COLING')) v(level, venue)")
 def venue_ranks(t):
-    folder = tempfile.mkdtemp(prefix="ranks-")
-    with open(f"{folder}/ranks.json", "w", encoding="utf-8") as f:
-        json.dump({"A": ["ACL", "EMNLP"], "B": ["COLING"], "C": []}, f)
-    return t.spark.createDataFrame(connectors.venue_ranks(t.spark, f"{folder}/ranks.json").collect(), "level string, venue string")
+    """A file of ranked venues, here in the session's shared folder."""
+    folder = f"{scratch_dir(t.spark)}/ranks-{uuid.uuid4().hex}"
+    t.spark.createDataFrame([('{"A": ["ACL", "EMNLP"], "B": ["COLING"], "C": []}',)], "value string").coalesce(1).write.text(folder)
+    return connectors.venue_ranks(t.spark, folder)

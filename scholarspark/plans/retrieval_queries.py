@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import chunking, retrieval
+from ..operators import relational as R
 from .registry import query
 
 ASKED = "the onthere tion the"
@@ -44,16 +45,19 @@ CHAR_GRAMS = r"""SELECT d, substr(w, CAST(i AS INT), CAST(k AS INT)) AS term FRO
   (SELECT d, concat(' ', unnest(list_filter(string_split(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), ' '), lambda w: w <> '')), ' ') AS w FROM src), (SELECT unnest([2, 3, 4]) AS k) WHERE length(w) >= k)"""
 
 
-def _titles(t) -> DataFrame:
-    return t.papers.select(F.col("id").alias("doc_id"), F.col("title").alias("text"))
+#: The documents that a search looks through: each paper's title, abstract and notes as one text.
+SEARCHED = """SELECT p.id AS doc_id, trim(concat_ws(' ', coalesce(title, ''), coalesce(abstract, ''), trim(concat_ws(' ', coalesce(notes, ''), coalesce(method, ''), coalesce(datasets, ''), coalesce(conclusions, ''))))) AS text
+  FROM papers p LEFT JOIN paper_notes n ON n.paper_id = p.id"""
+
+
+def _searched(t) -> DataFrame:
+    return R.search_documents(t.papers, t.paper_notes)
 
 
 def _src(body: str, asked: str) -> str:
     return f"src AS ({body} UNION ALL SELECT -1, '{asked}')"
 
 
-TITLE_SRC = "SELECT id AS d, title AS text FROM papers"
-
 query("r1_normalize", None, r"SELECT doc_id, md5(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS h FROM documents")(lambda t: t.documents.select("doc_id", F.md5(S.normalize_text("text")).alias("h")))
 query("r2_tokenize", None, f"SELECT doc_id, len({TOK}) AS n, {TOK}[1] AS first FROM documents")(lambda t: t.documents.select("doc_id", F.size(S.tokens("text")).alias("n"), F.get(S.tokens("text"), F.lit(0)).alias("first")))
 query("r3_expand_query", None, "SELECT * FROM (VALUES ('小样本 事件抽取 the'), ('小样本 few-shot 事件抽取 event extraction the'), ('event extraction'), ('few-shot')) v(q)")(
@@ -67,54 +71,61 @@ query(
     None,
     f"WITH {_src('SELECT doc_id AS d, text FROM documents', ASKED)}, {_tfidf_sql('s', WORD_GRAMS, 6000)} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 50",
 )(lambda t: retrieval.tfidf_scores(t.documents, ASKED).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50))
-query("r6_tfidf_chars", "papers", f"WITH {_src(TITLE_SRC, ASKED)}, {_tfidf_sql('s', CHAR_GRAMS, 5000)} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 50")(
-    lambda t: retrieval.tfidf_scores(_titles(t), ASKED, retrieval.char_grams, 5000).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
-)
+query(
+    "r6_tfidf_chars",
+    "papers paper_notes",
+    f"WITH searched AS ({SEARCHED}), {_src('SELECT doc_id AS d, text FROM searched', ASKED)}, {_tfidf_sql('s', CHAR_GRAMS, 5000)} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 50",
+)(lambda t: retrieval.tfidf_scores(_searched(t), ASKED, retrieval.char_grams, 5000).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50))
 _toks = retrieval.query_tokens(ASKED)
 _norm = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
 _over = f"CASE WHEN contains({_norm}, '{ASKED}') THEN 1.0e0 ELSE ({' + '.join(f'CAST(contains({_norm}, {chr(39)}{w}{chr(39)}) AS INT)' for w in _toks)}) / {len(_toks)}.0e0 END"
 query(
     "r7_hybrid_search",
-    "papers",
-    f"""WITH documents AS (SELECT id AS doc_id, title AS text FROM papers), {_bm25_sql(ASKED)}, {_src('SELECT doc_id AS d, text FROM documents', ASKED)}, {_tfidf_sql('sw', WORD_GRAMS, 6000)}, {_tfidf_sql('sc', CHAR_GRAMS, 5000)},
+    "papers paper_notes",
+    f"""WITH documents AS ({SEARCHED}), {_bm25_sql(ASKED)}, {_src('SELECT doc_id AS d, text FROM documents', ASKED)}, {_tfidf_sql('sw', WORD_GRAMS, 6000)}, {_tfidf_sql('sc', CHAR_GRAMS, 5000)},
   sm AS (SELECT doc_id, sum(score) AS score FROM (SELECT doc_id, 0.65e0 * score AS score FROM sw UNION ALL SELECT doc_id, 0.35e0 * score FROM sc) GROUP BY 1),
   ov AS (SELECT doc_id, {_over} AS ov FROM documents),
   al AS (SELECT o.doc_id, coalesce(bm.score / (SELECT max(score) FROM bm), 0) AS b, coalesce(sm.score / (SELECT max(score) FROM sm), 0) AS s, ov FROM ov o LEFT JOIN bm USING (doc_id) LEFT JOIN sm USING (doc_id))
   SELECT doc_id, round(0.58e0 * greatest(b, 0.65e0 * ov) + 0.42e0 * greatest(s, 0.55e0 * ov), 6) AS score FROM al ORDER BY score DESC, doc_id LIMIT 20""",
-)(lambda t: retrieval.hybrid_search(_titles(t), ASKED, 20))
-
+)(lambda t: retrieval.hybrid_search(_searched(t), ASKED, 20).select("doc_id", "score"))
 
-@query("r6_tfidf_chars_all")
-def tfidf_chars_all(t):
-    """Character scores over whole texts."""
-    return retrieval.tfidf_scores(t.documents, ASKED, retrieval.char_grams, 5000).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+#: Chunks of the documents, cut one after the other; an end that fits is the last sentence end of the chunk's window.
+CHUNKS = r"""flat AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+  cut AS (SELECT doc_id, t, CAST(0 AS BIGINT) AS pos, CASE WHEN length(t) <= 900 THEN length(t) WHEN length(regexp_extract(substr(t, 1, 900), '(?s)^(.*)[。.!?]', 1)) > 120 THEN length(regexp_extract(substr(t, 1, 900), '(?s)^(.*)[。.!?]', 1)) + 1 ELSE 900 END AS until FROM flat WHERE t <> ''
+    UNION ALL SELECT doc_id, t, b, CASE WHEN length(t) - b <= 900 THEN length(t) WHEN length(regexp_extract(substr(t, b + 1, 900), '(?s)^(.*)[。.!?]', 1)) > 120 THEN b + length(regexp_extract(substr(t, b + 1, 900), '(?s)^(.*)[。.!?]', 1)) + 1 ELSE b + 900 END
+    FROM (SELECT doc_id, t, greatest(until - 160, pos + 1) AS b FROM cut WHERE until < length(t))),
+  chunk AS (SELECT doc_id, pos, trim(substr(t, pos + 1, until - pos)) AS c FROM cut WHERE trim(substr(t, pos + 1, until - pos)) <> '')"""
+query("r8_chunks", None, f"WITH RECURSIVE {CHUNKS} SELECT doc_id, count(*) AS n_chunks, max(length(c)) AS longest, sum(length(c)) AS n_chars, md5(string_agg(c, chr(10) ORDER BY pos)) AS h FROM chunk GROUP BY 1")(lambda t: _chunk_counts(t))
 
 
-@query("r7_hybrid_search_all")
-def hybrid_search_all(t):
-    """The hybrid search over whole texts."""
-    return retrieval.hybrid_search(t.documents, ASKED, 20)
+def _chunk_counts(t) -> DataFrame:
+    """Chunks of all documents: how many, how long, and a checksum of them in order."""
+    c = chunking.chunk_documents(t.documents)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda x: x["chunk_text"]), "\n")  # one document's chunks
+    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("chunk_text")).alias("longest"), F.sum(F.length("chunk_text")).alias("n_chars"), F.md5(joined).alias("h"))
 
 
-@query("r9_hash_vectors_all")
-def hash_vectors_all(t):
-    """Hash embeddings of whole texts."""
-    return retrieval.hash_vectors(t.documents).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+query(
+    "r12_index_chunks",
+    None,
+    rf"""WITH RECURSIVE {CHUNKS}, w AS (SELECT doc_id, pos, regexp_extract_all(lower(c), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM chunk),
+  b AS (SELECT doc_id, pos, len(list_distinct(list_transform(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1]))), lambda x: CAST(concat('0x', substr(md5(x), 1, 8)) AS BIGINT) % 512))) AS k FROM w)
+  SELECT doc_id, count(*) AS chunks, CAST(sum(k) AS BIGINT) AS buckets FROM b GROUP BY 1""",
+)(lambda t: _index_counts(t))
 
 
-@query("r8_chunks")
-def chunks(t):
-    """Chunks of all documents, as counts; the cutting rule is sequential, so it is tested against a plain rewrite."""
-    c = chunking.chunk_documents(t.documents)
-    return c.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("chunk_text")).alias("longest"), F.sum(F.length("chunk_text")).alias("n_chars"))
+def _index_counts(t) -> DataFrame:
+    """What an index of the corpus holds: chunks, and the buckets of their hashed vectors, which need no shuffle."""
+    chunks = chunking.chunk_documents(t.documents).select("doc_id", F.size(F.array_distinct(retrieval.hash_embedding(F.col("chunk_text")))).alias("k"))
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("k").alias("buckets"))
 
 
 query(
     "r9_hash_vectors",
-    "papers",
-    r"""SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, CAST(CAST(concat('0x', substr(md5(term), 1, 8)) AS BIGINT) % 512 AS INT) AS bucket, CAST(count(*) AS DOUBLE) AS c FROM
-  (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])))) AS term FROM (SELECT id AS doc_id, regexp_extract_all(lower(coalesce(title, '')), '[\p{L}\p{N}_]{2,}') AS ws FROM papers)) GROUP BY 1, 2)""",
-)(lambda t: retrieval.hash_vectors(_titles(t)).select("doc_id", "bucket", F.round("weight", 6).alias("weight")))
+    "papers paper_notes",
+    rf"""WITH searched AS ({SEARCHED}) SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS weight FROM (SELECT doc_id, CAST(CAST(concat('0x', substr(md5(term), 1, 8)) AS BIGINT) % 512 AS INT) AS bucket, CAST(count(*) AS DOUBLE) AS c FROM
+  (SELECT doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])))) AS term FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}') AS ws FROM searched)) GROUP BY 1, 2)""",
+)(lambda t: retrieval.hash_vectors(_searched(t)).select("doc_id", "bucket", F.round("weight", 6).alias("weight")))
 query("r10_embedding_codec", None, "SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS s, len(embedding) AS n FROM embeddings")(
     lambda t: t.embeddings.select("vec_id", F.from_json(F.to_json(F.col("embedding").cast("array<double>")), "array<double>").alias("v")).select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 4).alias("s"), F.size("v").alias("n"))
 )
@@ -130,38 +141,22 @@ def _query_vector(t, vec_id: int) -> list[float]:
 
 query("vec3_rank_chunks", None, VEC3)(lambda t: retrieval.rank_vectors(t.embeddings, _query_vector(t, 5), 25).select("vec_id", F.round("score", 6).alias("score")))
 query("src16_vector_collection", None, VEC3.replace("vec_id = 5", "vec_id = 9"))(lambda t: retrieval.rank_vectors(t.embeddings, _query_vector(t, 9), 25).select("vec_id", F.round("score", 6).alias("score")))
-MSG = "SELECT session_id AS paper_id, CAST(id % 1000 AS INT) AS chunk_index, content AS text, CAST(id % 11 AS DOUBLE) / 11 AS score FROM chat_messages"
-query(
-    "r13_rag_contexts",
-    "chat_messages papers",
-    f"""WITH v AS ({MSG}), k AS (SELECT id AS paper_id, title AS text, CAST(id % 7 AS DOUBLE) / 7 AS score FROM papers WHERE title IS NOT NULL),
-  a AS (SELECT paper_id, chunk_index, text, score AS v, 0.0e0 AS kw FROM v UNION ALL SELECT paper_id, NULL, text, 0.0e0, score FROM k),
-  b AS (SELECT paper_id, chunk_index, max(v) AS v, max(kw) AS kw, max(text) AS text FROM a GROUP BY 1, 2)
-  SELECT paper_id, chunk_index, round(0.5e0 * v + 0.35e0 * kw + 0.15e0 * (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'tion') AS INT)) / 2, 6) AS score FROM b ORDER BY score DESC, paper_id, chunk_index NULLS FIRST LIMIT 8""",
-)(
-    lambda t: retrieval.rag_contexts(
-        t.chat_messages.selectExpr("session_id AS paper_id", "CAST(id % 1000 AS INT) AS chunk_index", "content AS text", "CAST(id % 11 AS DOUBLE) / 11 AS score"),
-        t.papers.where("title IS NOT NULL").selectExpr("id AS paper_id", "title AS text", "CAST(id % 7 AS DOUBLE) / 7 AS score"),
-        "the tion",
-    ).select("paper_id", "chunk_index", "score")
-)
-query(
-    "r14_search",
-    "papers paper_notes",
-    f"""WITH documents AS (SELECT id AS doc_id, title AS text FROM papers), {_bm25_sql(ASKED)}, c AS (SELECT paper_id AS doc_id, 1.0e0 / (1 + paper_id % 5) AS cs FROM paper_notes WHERE notes IS NOT NULL),
-  f AS (SELECT coalesce(bm.doc_id, c.doc_id) AS doc_id, coalesce(score, 0) AS s, coalesce(cs, 0) AS cs FROM bm FULL JOIN c ON bm.doc_id = c.doc_id)
-  SELECT f.doc_id, round(greatest(s, 0.72e0 * s + 0.48e0 * cs), 5) AS score, substr(coalesce(nullif(p.abstract, ''), nullif(n.notes, ''), p.title), 1, 220) AS snippet FROM f JOIN papers p ON p.id = f.doc_id LEFT JOIN paper_notes n ON n.paper_id = f.doc_id ORDER BY score DESC, f.doc_id LIMIT 30""",
-)(lambda t: _search(t))
-
-
-def _search(t) -> DataFrame:
-    """Document and chunk scores together, with the first text that can serve as a snippet."""
-    doc = retrieval.bm25(_titles(t), ASKED)
-    chunk = t.paper_notes.where("notes IS NOT NULL").select(F.col("paper_id").alias("doc_id"), (F.lit(1.0) / (1 + F.col("paper_id") % 5)).alias("cs"))
-    both = doc.join(chunk, "doc_id", "full_outer").na.fill(0.0, ["score", "cs"]).select("doc_id", F.round(F.greatest("score", 0.72 * F.col("score") + 0.48 * F.col("cs")), 5).alias("score"))
-    best = both.join(t.papers.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(30)
-    texts = t.papers.select(F.col("id").alias("doc_id"), "abstract", "title").join(t.paper_notes.select(F.col("paper_id").alias("doc_id"), "notes"), "doc_id", "left")
-    return best.join(texts, "doc_id").select("doc_id", "score", F.substring(S.first_present("abstract", "notes", "title"), 1, 220).alias("snippet"))
+
+
+def _chunks(t) -> DataFrame:
+    return chunking.chunk_documents(t.documents)
+
+
+@query("r13_rag_contexts")
+def rag_contexts(t):
+    """Contexts from all chunks and documents; tested against a plain version, as SQL would rank every n-gram and chunk."""
+    return retrieval.retrieve_contexts(_searched(t), _chunks(t), ASKED).select("paper_id", "chunk_index", "score")
+
+
+@query("r14_search")
+def search(t):
+    """The search over papers, their notes and all chunks; tested against a plain version like ``r13_rag_contexts``."""
+    return retrieval.search(t.papers, t.paper_notes, _searched(t), _chunks(t), ASKED, 30).select("doc_id", "score", "chunk_index", "snippet")
 
 
 @query("r15_title_similarity")

@@ -1,58 +1,82 @@
-"""Sources beyond Parquet: landed records of web services, venue lists, and text of binary files.
+"""Sources beyond Parquet: landed answers of web services, venue lists, tables of parsers, and text of binary files.
 
-Web services are reached by jobs that land their answers as JSON lines; the reader below turns landed answers into
-rows of a fixed schema, a partition per file, so that a batch can be run again without calling anyone.
+Web services are reached by jobs that land their answers as JSON lines in a folder of any file system that Spark reads;
+the readers below turn landed answers into rows, so that a batch can be run again without calling anyone. A broken line
+is an empty answer.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-RECORD = "paper_id string, title string, year int, doi string, citation_count long, authors array<string>, fields array<string>"
+from ..functions.scalar import normalize_text, present
 
+RECORD = "paperId string, title string, year int, externalIds struct<DOI: string>, citationCount long, authors array<struct<name: string>>, fieldsOfStudy array<string>"
+WORKS = "query string, message struct<items: array<struct<DOI: string, title: array<string>>>>"
+ITEM = "key string, version long, data struct<title: string, date: string, extra: string, publicationTitle: string, DOI: string, creators: array<struct<firstName: string, lastName: string>>>"
+TABLE = "paper_id long, parser string, table_id string, page int, rows array<array<string>>"
 
-class LandedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.folder = options["path"]
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(os.path.join(self.folder, f)) for f in sorted(os.listdir(self.folder)) if f.endswith((".json", ".jsonl"))]
+def landed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The JSON objects of a folder's lines; lines that are no object of the schema are left out."""
+    lines = spark.read.text(folder).where(F.ltrim("value").startswith("{") & F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("r")).where("r IS NOT NULL").select("r.*")
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as lines:
-            for line in lines:
-                try:
-                    r = json.loads(line)
-                except ValueError:
-                    continue  # a broken line is an empty answer
-                if isinstance(r, dict):
-                    ids = r.get("externalIds") or {}
-                    yield (r.get("paperId"), r.get("title"), r.get("year"), ids.get("DOI"), r.get("citationCount"), [a.get("name") for a in r.get("authors") or []], sorted(set(r.get("fieldsOfStudy") or [])))
 
+def flat_records(records: DataFrame) -> DataFrame:
+    """Records of a paper service as rows: identifiers, authors in order, fields of study once each and sorted."""
+    names = F.filter(F.transform("authors", lambda a: a["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    fields = F.array_sort(F.array_distinct(F.coalesce("fieldsOfStudy", F.array().cast("array<string>"))))
+    return records.select(F.col("paperId").alias("paper_id"), "title", "year", F.col("externalIds.DOI").alias("doi"), F.col("citationCount").alias("citation_count"), F.array_join(F.coalesce(names, F.array().cast("array<string>")), ", ").alias("authors"), F.array_join(fields, ", ").alias("fields"))
 
-class LandedRecords(DataSource):
-    """``spark.read.format("landed_records").load(folder)``."""
 
-    @classmethod
-    def name(cls) -> str:
-        return "landed_records"
+def landed_records(spark: SparkSession, folder: str) -> DataFrame:
+    return flat_records(landed(spark, folder, RECORD))
 
-    def schema(self) -> str:
-        return RECORD
 
-    def reader(self, schema) -> LandedReader:
-        return LandedReader(self.options)
+def title_dois(works: DataFrame) -> DataFrame:
+    """``(title, doi)``: of each asked title the DOI of the first work found; titles without one are left out."""
+    first = F.get("message.items", F.lit(0))["DOI"]
+    found = works.select(F.col("query").alias("title"), first.alias("doi")).where(present("title").isNotNull() & F.col("doi").isNotNull())
+    return found.groupBy("title").agg(F.min("doi").alias("doi"))
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(LandedRecords)
+def library_search(titles: DataFrame, items: DataFrame) -> DataFrame:
+    """``(title, key, version)``: of the items found for a title the first of the same normalised title, else the first.
+
+    ``items (title, nth, key, version, found)`` are the answers in their order, ``found`` an item's own title.
+    """
+    same = normalize_text("found") == normalize_text("title")
+    best = F.min_by(F.struct("key", "version"), F.struct(F.when(same, 0).otherwise(1), F.col("nth"))).alias("b")
+    return titles.select("title").distinct().join(items, "title").groupBy("title").agg(best).select("title", "b.*")
+
+
+def library_put(items: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The library after ``changes (key, version, data)``, and the keys with ``done``.
+
+    A change is made only to an item that still has the version it was read with; the item's version then grows by one.
+    Of several changes to an item the first by data counts and the others fail, as does one of an unknown key.
+    """
+    stored = items.select("key", F.col("version").alias("__has"), F.col("data").alias("__old"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.to_json("data")))
+    judged = changes.withColumn("__nth", nth).join(stored, "key", "left").withColumn("done", F.coalesce((F.col("version") == F.col("__has")) & (F.col("__nth") == 1), F.lit(False)))
+    made = judged.where("done").select("key", F.col("data").alias("__new"), F.lit(True).alias("__made"))
+    out = items.join(made, "key", "left").select("key", F.when(F.col("__made"), F.col("version") + 1).otherwise(F.col("version")).alias("version"), F.when(F.col("__made"), F.col("__new")).otherwise(F.col("data")).alias("data"))
+    return out, judged.select("key", "version", "done")
+
+
+def parsed_tables(*parsers: DataFrame) -> DataFrame:
+    """The tables of several parsers together: cells cleaned, rows without text and tables without rows left out."""
+    cell = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    rows = F.filter(F.transform("rows", lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), cell)), lambda r: F.exists(r, lambda c: c != ""))
+    out = parsers[0]
+    for more in parsers[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("rows", rows).where(F.size("rows") > 0).select("paper_id", "parser", "table_id", "page", "rows")
 
 
 def venue_ranks(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import queueing
+from ..operators.aggregates import last_messages
 from ..operators.entity import upsert_edges
+from ..operators.relational import due_queue
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -45,21 +48,90 @@ def weekly(events: DataFrame, late: str = "14 days") -> DataFrame:
     return w.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def merge_edges_into(path: str):
-    """A ``foreachBatch`` function that merges a micro-batch of edges into the table of versions under ``path``.
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest written folder of each bucket under ``path``, of batches before one; a listing, no data is read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/bucket=*")
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
+    newest: dict[int, tuple[int, str]] = {}
+    for status in found:
+        place = status.getPath().toString()
+        batch, bucket = (int(part.split("=")[1]) for part in place.rsplit("/", 2)[1:])
+        if (before is None or batch < before) and batch >= newest.get(bucket, (-1, ""))[0]:
+            newest[bucket] = (batch, place)
+    return {bucket: place for bucket, (_, place) in newest.items()}
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``merge_into`` keeps under ``path``."""
+    return spark.read.parquet(*_versions(spark, path).values())
+
 
-    Each batch writes its own version, so a batch that is run again overwrites what it wrote and counts once.
+def merge_into(path: str, key: str, merge, buckets: int = 64):
+    """A ``foreachBatch`` function that merges a micro-batch into the table kept under ``path``, in buckets of a key.
+
+    Only buckets that the batch touches are read, merged by ``merge(stored or None, batch)`` and written anew, under the
+    batch's own name; so a batch that is run again overwrites what it wrote and counts once.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
+        old = [place for b, place in _versions(spark, path, batch_id).items() if b in touched]
+        out = merge(spark.read.parquet(*old) if old else None, batch)
+        if touched:
+            out.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+
+    return run
+
+
+def merge_edges_into(path: str):
+    """Citation edges of a stream, merged by ``upsert_edges``."""
+
+    def merge(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
         fresh = batch.dropDuplicates(["source_paper_id", "target_paper_id"])
-        out = fresh if batch_id == 0 else upsert_edges(spark.read.parquet(f"{path}/v={batch_id - 1}"), fresh)
-        out.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        return fresh if stored is None else upsert_edges(stored, fresh)
+
+    return merge_into(path, "source_paper_id", merge)
+
+
+def remember_into(path: str, turns: int = 6):
+    """The memory of chats: the last messages of each session, twice ``turns``."""
+
+    def merge(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+        both = batch if stored is None else stored.unionByName(batch)
+        return last_messages(both.dropDuplicates(["session_id", "id"]), max(2, 2 * turns)).drop("nth")
+
+    return merge_into(path, "session_id", merge)
+
+
+def sync_into(queue_path: str, now, handle, delay: int = 600):
+    """The sync loop's step: the due papers of the queue under ``queue_path``, handled and settled, new ones enqueued.
+
+    ``handle(due)`` returns ``(results (paper_id, error), edges)``; the papers that the edges newly name are asked for
+    later. ``now()`` gives the time of a round. A round that is run again starts from the same queue.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        queue = spark.read.parquet(f"{queue_path}/v={batch_id}")
+        moment = now()
+        due = due_queue(queueing.requeue_stale(queue, moment), moment, 5)
+        results, edges = handle(due)
+        settled = queueing.settle(queue, results, moment)
+        ends = edges.select(F.explode(F.array("source_paper_id", "target_paper_id")).alias("paper_id")).distinct()
+        fresh = ends.join(settled, "paper_id", "left_anti")
+        queueing.enqueue(settled, fresh, moment, delay).write.mode("overwrite").parquet(f"{queue_path}/v={batch_id + 1}")
 
     return run
 
 
+def start(stream: DataFrame, step, state: str, every: str = "60 seconds", once: bool = False):
+    """Run a ``foreachBatch`` function over a stream, every minute or once over what is there; ``state`` holds its progress."""
+    writer = stream.writeStream.option("checkpointLocation", state).foreachBatch(step)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a memory table, and return the table."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scholarspark.functions import extract as X
 from scholarspark.functions import scalar as S
-from scholarspark.operators import chunking, entity, extraction, graph, queueing, reports
+from scholarspark.operators import chunking, entity, extraction, graph, maintenance, queueing, reports
 from scholarspark.operators import relational as R
 from scholarspark.operators.lineage import connected_components
 
@@ -68,15 +68,39 @@ def test_edge_upsert_rules(spark):
     assert got == {2: (0.9, "a"), 3: (None, "n"), 4: (0.5, "c"), 5: (0.0, None)}
 
 
+PAPER = "id long, title string, year int, doi string, s2_paper_id string, file_hash string, abstract string, citation_count long, reference_count long"
+
+
+def test_paper_match_cascade(spark):
+    """Hash, then DOI, then service id, then title; a row without a year takes any year's title, one with a year only its own."""
+    stored = [(1, "Title of paper A", 2001, "d1", "s1", "h1"), (2, "Title of paper B", None, "d2", "s2", None), (3, "Title of paper A", 2005, "", "", "")]
+    batch = [(10, "Title of paper A", None), (11, "Title of paper A", 2005), (12, "Title of paper A", 2003), (13, "Title of paper B", 2010), (14, "Title of paper B", None), (15, "x", 1, "d2", "s1"), (16, "x", 1, None, "s1"), (17, "x", 1, "d2", None, "h1"), (18, None, None, "", "", ""), (19, "see www.title.of", None)]
+    rows = lambda rs: spark.createDataFrame([r + (None,) * (9 - len(r)) for r in rs], PAPER)
+    got = {r.id: r.match for r in entity.match_papers(rows(stored + [(4, "see www.title.of", 1)]), rows(batch)).collect()}
+    assert got == {10: 1, 11: 3, 12: None, 13: None, 14: 2, 15: 2, 16: 1, 17: 1, 18: None, 19: None}
+
+
 def test_paper_upsert(spark):
-    schema = "id long, title string, year int, doi string, file_hash string, abstract string, citation_count long"
-    stored = spark.createDataFrame([(1, "A long enough title", 2001, "d1", "h1", "", 5), (2, "Another long title", None, None, None, "x", 1)], schema)
-    batch = spark.createDataFrame([(10, "A long enough title", 1999, None, "h1", "new", 9), (11, "Another long title", 2010, None, None, "y", None), (12, "Brand new paper title", 2020, "d9", None, None, 0), (13, "Brand new paper title", 2020, "d9", None, None, 0)], schema)
-    got = {r.id: r for r in entity.upsert_papers(stored, batch).collect()}
-    assert set(got) == {1, 2, 3}
-    assert (got[1].year, got[1].abstract, got[1].citation_count) == (2001, "new", 9)
-    assert (got[2].year, got[2].abstract, got[2].citation_count) == (2010, "x", 1)
-    assert got[3].title == "Brand new paper title"
+    stored = spark.createDataFrame([(1, "A long enough title", 2001, "d1", None, "h1", "", 5, 7), (2, "Another long title", None, None, None, None, "x", 1, None)], PAPER)
+    batch = [
+        (10, "A long enough title", 1999, None, None, "h1", "new", 9, 3),
+        (11, "Another long title", None, None, "s2", None, "y", None, 4),
+        (12, "Brand new paper title", 2020, "d9", None, None, None, 0, None),
+        (13, "Brand new paper title", 2020, "d9", None, None, "later", 3, None),
+        (14, "Brand new paper title", 2021, None, None, None, None, None, None),
+        (15, None, None, None, None, None, None, None, None),
+        (16, None, None, None, None, None, None, None, None),
+        (17, "short", 1, None, None, None, None, None, None),
+        (18, "short", 1, None, None, None, None, None, None),
+        (19, "A long enough title", None, "other", None, None, "newer", 8, None),
+    ]
+    got = {r.id: r for r in entity.upsert_papers(stored, spark.createDataFrame(batch, PAPER)).collect()}
+    assert set(got) == set(range(1, 9))
+    assert (got[1].year, got[1].doi, got[1].abstract, got[1].citation_count, got[1].reference_count) == (2001, "d1", "new", 8, 3)
+    assert (got[2].year, got[2].abstract, got[2].s2_paper_id, got[2].citation_count, got[2].reference_count) == (None, "x", "s2", 1, 4)
+    assert (got[3].title, got[3].year, got[3].abstract, got[3].citation_count) == ("Brand new paper title", 2020, "later", 3)
+    assert [got[k].title for k in range(4, 9)] == ["Brand new paper title", None, None, "short", "short"]
+    assert entity.upsert_papers(stored, stored.limit(0)).count() == 2
 
 
 def test_chunks_against_rule():
@@ -112,6 +136,75 @@ def test_title_pairs_find_all(spark):
                 assert frozenset((i, j)) in groups
 
 
+def plain_pairs(rows, threshold):
+    """Pairs of ids, smaller first, of unlike normalised titles that are alike, over all pairs."""
+    first: dict = {}
+    for i, t, y in rows:
+        if t and t.strip():
+            first.setdefault(" ".join(t.split()).lower(), []).append((i, y))
+    out, names = set(), sorted(first)
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            x, y = min(i for i, _ in first[a]), min(i for i, _ in first[b])
+            s, t = (a, b) if x < y else (b, a)
+            near = any(u is None or v is None or abs(u - v) <= 2 for _, u in first[a] for _, v in first[b])
+            if near and min(len(s), len(t)) >= threshold / (2 - threshold) * max(len(s), len(t)) - 1e-9 and difflib.SequenceMatcher(None, s, t).ratio() >= threshold:
+                out.add((min(x, y), max(x, y)))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.96])
+def test_title_pairs_against_all_pairs(spark, threshold):
+    """Long, short and repeated titles, some with a letter changed, dropped or added."""
+    rng = random.Random(8)
+    words = ["graph", "event", "of", "a", "neural", "text", "on", "the", "aaa", "x"]
+    rows = []
+    for k in range(260):
+        t = " ".join(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 3, 6, 9])))
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(t))
+            rows.append((len(rows), t, rng.choice([None, 2000, 2001, 2009])))
+            t = t[:at] + rng.choice(["", "z", t[at] + "q"]) + t[at + 1 :] or "q"
+    rows += [(900, "ab", 2000), (901, "ac", 2000), (902, "abcdefghi", None), (903, "abcdefghij", None), (904, "", None), (905, None, 1)]
+    df = spark.createDataFrame(rows, "id long, title string, year int")
+    pairs = entity.title_pairs(df, threshold)
+    got = {(r.a, r.b) for r in pairs.where("similarity < 1").collect()}
+    want = plain_pairs(rows, threshold)
+    assert len(want) > 20 and got == want
+    groups = {r.id: r.group_id for r in entity.duplicate_groups(pairs).collect()}
+    papers = df.withColumns({"file_path": F.when(F.col("id") % 3 == 0, "f"), "citation_count": F.col("id") % 7, "updated_at": F.col("id") % 5})
+    known = {r.id: r for r in papers.collect()}
+    for r in maintenance.auto_merge(papers, threshold).collect():
+        best = max((i for i, g in groups.items() if g == r.group_id), key=lambda i: (known[i].file_path is not None, known[i].citation_count, known[i].updated_at, -i))
+        assert r.new_id == best and groups[r.old_id] == r.group_id
+
+
+def test_links_inside_words(spark):
+    papers = spark.createDataFrame([(1, "Semisupervised learning"), (2, "事件抽取方法"), (3, "Supervised learning of much longer things than that"), (4, "ab"), (5, "Exact Title"), (6, "exact title")], "id long, title string")
+    links = spark.createDataFrame([("supervised learning",), ("事件抽取",), ("a",), ("EXACT title",), ("nothing like it",), (None,), ("",)], "link_text string")
+    got = {r.link_text: r.target for r in entity.resolve_links(links, papers).collect()}
+    assert got == {"supervised learning": 1, "事件抽取": 2, "EXACT title": 5}
+
+
+def test_merged_records(spark):
+    notes = spark.createDataFrame([(1, None, "d", "", "n1"), (2, "m", "e", "c", None), (3, "z", None, None, None)], "paper_id long, method string, datasets string, conclusions string, notes string")
+    mapping = spark.createDataFrame([(2, 1)], "old_id long, new_id long")
+    assert sorted(map(tuple, maintenance.merge_notes(notes, mapping).collect())) == [(1, "m", "d", "c", "n1"), (3, "z", None, None, None)]
+    assert [r.paper_id for r in maintenance.move_rows(notes.select("paper_id"), mapping).orderBy("paper_id").collect()] == [1, 1, 3]
+
+
+def test_model_answers(spark):
+    rows = spark.createDataFrame([(1, " CS ", "cs", "2020"), (2, "nlp", "other ", "20x"), (3, "", None, None)], "id long, sub_field string, open_sub_field string, year string")
+    got = sorted(map(tuple, maintenance.normalise_metadata(rows, ["cs", "NLP"]).collect()))
+    assert got == [(1, "cs", None, 2020), (2, "NLP", "other", None), (3, None, None, None)]
+
+
+def test_titles_by_font(spark):
+    rows = [(1, [(10.0, 12.0, "Second  half"), (5.0, 12.4, " First half"), (7.0, 9.0, "small")]), (2, [(1.0, 0.0, "no size at all")]), (3, [(1.0, 9.0, "short")]), (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "id long, spans array<struct<y: double, size: double, text: string>>")
+    assert {r.id: r.title for r in df.select("id", X.title_by_font("spans").alias("title")).collect()} == {1: "First half Second half", 2: None, 3: None, 4: None, 5: None}
+
+
 def test_components_and_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 150)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -151,10 +244,14 @@ def test_pagerank_sums_to_one(spark):
 
 
 def test_table_metrics(spark):
-    rows = [["Dataset", "P", "R", "Trigger F1"], ["ACE 2005", "0.5", "70", "61.5 (±1)"], ["", "1", "2", "3"], ["ACE 2005", "0.5", "70", "61.5"]]
-    df = spark.createDataFrame([(1, "gmft", "t1", rows)], "paper_id long, parser string, table_id string, rows array<array<string>>")
-    (got,) = extraction.table_metrics(df).collect()
-    assert (got.dataset_name, got.precision, got.recall, got.f1, got.trigger_f1, got.confidence) == ("ACE 2005", 50.0, 70.0, 61.5, 61.5, 0.86)
+    rows = [["Dataset", "P", "R", "Trigger F1"], ["ACE 2005", "0.5", "70", "61.5 (±1)"], ["", "1", "2", "3"], ["ACE 2005", "0.5", "70", "61.5"], ["Ours", "1", "2", "on  MAVEN 3"], [], ["RAMS"]]
+    bare = [["Name", "F"], ["WikiEvents", "88"], ["none", "77"]]
+    df = spark.createDataFrame([(1, "gmft", "t1", rows), (1, "other", "t2", rows), (2, "other", "t1", bare), (3, "x", "t", [["Dataset"]]), (4, "x", "t", None)], "paper_id long, parser string, table_id string, rows array<array<string>>")
+    got = extraction.table_metrics(df).orderBy("paper_id", "row_index").collect()
+    assert [(r.paper_id, r.table_id, r.row_index, r.dataset_name, r.precision, r.recall, r.f1, r.trigger_f1, r.confidence) for r in got] == [(1, "t1", 1, "ACE2005", 50.0, 70.0, 61.5, 61.5, 0.86), (1, "t1", 4, "onMAVEN3", 100.0, 2.0, 3.0, 3.0, 0.86), (2, "t1", 1, "WikiEvents", None, None, 88.0, None, 0.78)]
+    assert extraction.table_metrics(df, 1).count() == 2
+    cells = extraction.table_cells(df).where("paper_id = 1 AND table_id = 't1'").collect()
+    assert len(cells) == 12 and {(r.metric_key, r.cell_text) for r in cells if r.row_index == 1} == {("precision", "0.5"), ("recall", "70"), ("f1", "61.5 (±1)"), ("trigger_f1", "61.5 (±1)")}
 
 
 def test_citation_context(spark):
@@ -172,6 +269,33 @@ def test_queue_settle_and_lease(spark):
 
 
 def test_hulls(spark):
-    pts = [(1, 0.0, 0.0), (1, 2.0, 0.0), (1, 2.0, 2.0), (1, 0.0, 2.0), (1, 1.0, 1.0), (2, 0.0, 0.0), (2, 1.0, 1.0)]
+    pts = [(1, 0.0, 0.0), (1, 2.0, 0.0), (1, 2.0, 2.0), (1, 0.0, 2.0), (1, 1.0, 1.0), (1, 1.0, 0.0), (2, 0.0, 0.0), (2, 1.0, 1.0), (3, None, 1.0)]
     (got,) = graph.convex_hulls(spark.createDataFrame(pts, "community long, x double, y double")).collect()
     assert got.community == 1 and got.hull == [[0.0, 0.0], [2.0, 0.0], [2.0, 2.0], [0.0, 2.0]]
+
+
+def test_hulls_of_parts_against_supporting_lines(spark):
+    """Corners of points in many partitions: exactly those pairs of points with all others on one side are edges."""
+    rng = random.Random(6)
+    pts = [(k % 2, float(rng.randint(0, 30)), float(rng.randint(0, 30))) for k in range(160)]
+    got = {r.community: [tuple(c) for c in r.hull] for r in graph.convex_hulls(spark.createDataFrame(pts, "community long, x double, y double").repartition(7)).collect()}
+    for c in (0, 1):
+        mine = {(x, y) for k, x, y in pts if k == c}
+        side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+        corners = got[c]
+        assert set(corners) <= mine and corners[0] == min(corners)
+        for a, b, d in zip(corners, corners[1:] + corners[:1], corners[2:] + corners[:2], strict=True):
+            assert side(a, b, d) > 0 and all(side(a, b, p) >= 0 for p in mine)
+
+
+def test_backfill_steps(spark):
+    """Each step runs where it is asked for and its result is missing; the counters count what the tables hold."""
+    papers = spark.createDataFrame([(1, "T", "A", "f", "", None), (2, "T", "A", "f", "done", 5), (3, "T", "A", "", "", None), (4, "T", "A", "f", "done", None)], "id long, title string, abstract string, file_path string, summary_one string, refs_parsed_at long")
+    texts = spark.createDataFrame([(1, "On ACE 2005 P: 50 R: 60 F1: 55\nReferences\n10.1000/xyz and 10.1000/abc"), (4, "Attack words"), (2, "x")], "paper_id long, text string")
+    tables = spark.createDataFrame([(1, "gmft", "t", [["Dataset", "P"], ["MAVEN", "40"]]), (2, "gmft", "t", [["Dataset", "P"], ["MAVEN", "40"]])], "paper_id long, parser string, table_id string, rows array<array<string>>")
+    answer = lambda rows: rows.withColumn("answer", F.lit("short"))
+    count = lambda **k: maintenance.backfill(papers, texts, tables, summarise=answer, **k)["counters"].first().asDict()
+    assert count() == {"processed": 2, "summary_added": 1, "references_parsed": 2, "chunks_indexed": 2, "metrics_upserted": 2, "metric_cells_upserted": 1, "auto_experiments": 4, "schemas_extracted": 1}
+    assert count(summary=False, references=False, embeddings=False) == {"processed": 3, "summary_added": 0, "references_parsed": 0, "chunks_indexed": 0, "metrics_upserted": 3, "metric_cells_upserted": 2, "auto_experiments": 5, "schemas_extracted": 0}
+    assert count(force=True)["summary_added"] == 3 and count(limit=1)["processed"] == 1
+    assert {r.doi for r in maintenance.backfill(papers, texts, tables)["references"].collect()} == {"10.1000/xyz", "10.1000/abc"}
