@@ -107,8 +107,12 @@ def foundation_path(nodes: DataFrame, edges: DataFrame, top: int = 15) -> DataFr
         if not free.limit(1).count():
             break
         done = free if done is None else done.unionByName(free)
+        before = left, live
         left = materialize(left.join(free, "id", "left_anti").select("id"), "topo-left")
         live = materialize(live.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "topo-live")
+        if level:
+            for table in before:
+                release(table)
         level += 1
     if left.limit(1).count():
         ranked = pagerank(ids, e).orderBy(F.desc(F.round("rank", 9)), "id").limit(top)
@@ -144,14 +148,36 @@ def label_propagation(edges: DataFrame, rounds: int = 18) -> DataFrame:
     return labels.join(number_rows(sizes, ["less", "label"], "community").select("label", "community"), "label").select("id", "community")
 
 
-def edge_rank(edges: DataFrame, top: int = 200) -> DataFrame:
-    """The edges that matter most to a drawing: confidence and the degrees of their ends."""
+def edge_rank(edges: DataFrame, top: int = 200, unknown: float = 0.65) -> DataFrame:
+    """The edges that matter most to a drawing: confidence, ``unknown`` where it is missing, and the degrees of their ends."""
     ends = edges.select(F.explode(F.array("source_paper_id", "target_paper_id")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
     a, b = ends.toDF("source_paper_id", "da"), ends.toDF("target_paper_id", "db")
-    weight = 0.72 * F.coalesce("confidence", F.lit(1.0)) + 0.025 * (F.col("da") + F.col("db"))
+    weight = 0.72 * F.coalesce("confidence", F.lit(unknown)) + 0.025 * (F.col("da") + F.col("db"))
     return edges.join(a, "source_paper_id").join(b, "target_paper_id").select("source_paper_id", "target_paper_id", F.round(weight, 6).alias("weight")).orderBy(F.desc("weight"), "source_paper_id", "target_paper_id").limit(top)
 
 
+def edge_compatibility(ranked: DataFrame, places: DataFrame, least: float = 0.22) -> DataFrame:
+    """``(source_a, target_a, source_b, target_b, weight)`` of the pairs of a drawing's edges that can be bundled.
+
+    ``ranked`` is the result of ``edge_rank``, a few hundred edges, ``places (id, x, y)`` where nodes are drawn. The weight
+    is the product of how alike two edges are in angle and length, how near their middles are, and how far each
+    sees the other; pairs of ``least`` or more are kept, each once.
+    """
+    end = lambda side: places.select(F.col("id").alias(f"{side}_paper_id"), F.col("x").alias(f"{side}_x"), F.col("y").alias(f"{side}_y"))
+    drawn = ranked.join(end("source"), "source_paper_id").join(end("target"), "target_paper_id")
+    drawn = drawn.withColumns({"dx": F.col("target_x") - F.col("source_x"), "dy": F.col("target_y") - F.col("source_y"), "mx": (F.col("source_x") + F.col("target_x")) / 2, "my": (F.col("source_y") + F.col("target_y")) / 2})
+    drawn = drawn.withColumn("len", F.greatest(F.lit(1.0), F.hypot("dx", "dy"))).select("source_paper_id", "target_paper_id", "dx", "dy", "mx", "my", "len")
+    a, b = drawn.alias("a"), F.broadcast(drawn.alias("b"))
+    before = (F.col("a.source_paper_id") < F.col("b.source_paper_id")) | ((F.col("a.source_paper_id") == F.col("b.source_paper_id")) & (F.col("a.target_paper_id") < F.col("b.target_paper_id")))
+    la, lb = F.col("a.len"), F.col("b.len")
+    angle = F.abs((F.col("a.dx") * F.col("b.dx") + F.col("a.dy") * F.col("b.dy")) / (la * lb))
+    scale = 2 / (la / lb + lb / la)
+    apart = F.hypot(F.col("a.mx") - F.col("b.mx"), F.col("a.my") - F.col("b.my"))
+    weight = angle * scale * ((la + lb) / 2 / ((la + lb) / 2 + apart)) * F.greatest(F.lit(0.0), 1 - apart / (la + lb))
+    pairs = a.join(b, before).select(F.col("a.source_paper_id").alias("source_a"), F.col("a.target_paper_id").alias("target_a"), F.col("b.source_paper_id").alias("source_b"), F.col("b.target_paper_id").alias("target_b"), weight.alias("weight"))
+    return pairs.where(F.col("weight") >= least)
+
+
 def edge_focus(edges: DataFrame, node: int, direction: str = "all", intent: str | None = None) -> DataFrame:
     """Edges at a node, going in, out or both, of one intent or any."""
     out, into = F.col("source_paper_id") == node, F.col("target_paper_id") == node

@@ -84,9 +84,16 @@ query(
 )(lambda t: graph.label_propagation(t.citations))
 
 
-query("g9_edge_rank", "citations", "WITH d AS (SELECT id, count(*) AS k FROM (SELECT source_paper_id AS id FROM citations UNION ALL SELECT target_paper_id FROM citations) GROUP BY 1) SELECT source_paper_id, target_paper_id, round(0.72e0 * coalesce(confidence, 1.0) + 0.025e0 * (a.k + b.k), 6) AS weight FROM citations JOIN d a ON a.id = source_paper_id JOIN d b ON b.id = target_paper_id ORDER BY weight DESC, source_paper_id, target_paper_id LIMIT 200")(
-    lambda t: graph.edge_rank(t.citations)
-)
+RANKED = "d AS (SELECT id, count(*) AS k FROM (SELECT source_paper_id AS id FROM citations UNION ALL SELECT target_paper_id FROM citations) GROUP BY 1), ranked AS (SELECT source_paper_id, target_paper_id, round(0.72e0 * coalesce(confidence, 0.65) + 0.025e0 * (a.k + b.k), 6) AS weight FROM citations JOIN d a ON a.id = source_paper_id JOIN d b ON b.id = target_paper_id ORDER BY weight DESC, source_paper_id, target_paper_id LIMIT 200)"
+query("g9_edge_rank", "citations", f"WITH {RANKED} SELECT * FROM ranked")(lambda t: graph.edge_rank(t.citations))
+PLACES = "SELECT id, CAST(id % 97 AS DOUBLE) * 9 AS x, CAST(id % 41 AS DOUBLE) * 13 AS y FROM papers"
+query(
+    "g9_edge_bundles",
+    "papers citations",
+    f"""WITH {RANKED}, pl AS ({PLACES}), e AS (SELECT source_paper_id AS s, target_paper_id AS t, g.x - f.x AS dx, g.y - f.y AS dy, (f.x + g.x) / 2 AS mx, (f.y + g.y) / 2 AS my FROM ranked JOIN pl f ON f.id = source_paper_id JOIN pl g ON g.id = target_paper_id), l AS (SELECT *, greatest(1.0, sqrt(dx * dx + dy * dy)) AS n FROM e),
+  c AS (SELECT a.s AS source_a, a.t AS target_a, b.s AS source_b, b.t AS target_b, abs((a.dx * b.dx + a.dy * b.dy) / (a.n * b.n)) * (2 / (a.n / b.n + b.n / a.n)) AS v, (a.n + b.n) / 2 AS h, sqrt((a.mx - b.mx) * (a.mx - b.mx) + (a.my - b.my) * (a.my - b.my)) AS m FROM l a JOIN l b ON a.s < b.s OR (a.s = b.s AND a.t < b.t))
+  SELECT source_a, target_a, source_b, target_b, round(v * (h / (h + m)) * greatest(0.0, 1 - m / (2 * h)), 5) AS weight FROM c WHERE v * (h / (h + m)) * greatest(0.0, 1 - m / (2 * h)) >= 0.22""",
+)(lambda t: graph.edge_compatibility(graph.edge_rank(t.citations), t.papers.selectExpr("id", "CAST(id % 97 AS DOUBLE) * 9 AS x", "CAST(id % 41 AS DOUBLE) * 13 AS y")).withColumn("weight", F.round("weight", 5)))
 
 
 @query("g10_hulls")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import queueing
 from ..operators.aggregates import last_messages
 from ..operators.entity import upsert_edges
+from ..operators.lineage import scratch_dir
 from ..operators.relational import due_queue
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -133,10 +136,16 @@ def start(stream: DataFrame, step, state: str, every: str = "60 seconds", once:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a memory table, and return the table."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now into a table of the shared folder, and read that."""
+    spark = stream.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(path)  # noqa: E731  complete: each batch is the whole table
+    (writer.foreachBatch(keep).start() if mode == "complete" else writer.format("parquet").start(path)).awaitTermination()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # nothing was there
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def retry_states(results: DataFrame, base: int = 600, most: int = 86400) -> DataFrame:
