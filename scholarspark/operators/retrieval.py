@@ -183,17 +183,18 @@ def rag_contexts(vector_hits: DataFrame, keyword_hits: DataFrame, query: str, k:
     return scored.orderBy(F.desc("score"), "paper_id", F.asc_nulls_first("chunk_index")).limit(max(2, min(k, 20)))
 
 
-def retrieve_contexts(docs: DataFrame, chunks: DataFrame, query: str, k: int = 8) -> DataFrame:
+def retrieve_contexts(docs: DataFrame, chunks: DataFrame, query: str, k: int = 8, ranked: DataFrame | None = None) -> DataFrame:
     """The best contexts for a query: its nearest chunks and best documents, merged and scored anew.
 
     ``docs (doc_id, title, abstract, text)`` are searched by ``hybrid_search``, ``chunks (doc_id, chunk_index,
     chunk_text)`` by their hash embeddings; each gives twice ``k`` hits, 8 at least. A document's text is the head of its
-    abstract or title.
+    abstract or title. ``ranked`` is a result of that search with as many hits or more, where there is one.
     """
     top = max(8, 2 * k)
     near = chunk_scores(chunks, query).orderBy(F.desc("score"), "doc_id", "chunk_index").limit(top).select(F.col("doc_id").alias("paper_id"), "chunk_index", F.col("chunk_text").alias("text"), "score")
     said = F.substring(first_present("abstract", "title"), 1, 1200)
-    hits = hybrid_search(docs, query, top).join(docs.select("doc_id", said.alias("text")), "doc_id").select(F.col("doc_id").alias("paper_id"), F.coalesce("text", F.lit("")).alias("text"), "score")
+    best = hybrid_search(docs, query, top) if ranked is None else ranked.orderBy(F.desc("score"), "doc_id").limit(top)
+    hits = best.join(docs.select("doc_id", said.alias("text")), "doc_id").select(F.col("doc_id").alias("paper_id"), F.coalesce("text", F.lit("")).alias("text"), "score")
     return rag_contexts(near, hits, query, k)
 
 
@@ -203,9 +204,10 @@ def search(papers: DataFrame, notes: DataFrame, docs: DataFrame, chunks: DataFra
     A paper's score is that of its document, raised by its best context's; its snippet is the head of that context, or of
     its abstract, notes or title. A query that finds nothing gives the most cited papers, with scores of 0.
     """
-    most = max(1, min(top_k, 100))
-    ranked = hybrid_search(docs, query, most)
-    contexts = retrieve_contexts(docs, chunks, query, max(6, min(2 * top_k, 30))).where("score > 0")
+    most, k = max(1, min(top_k, 100)), max(6, min(2 * top_k, 30))
+    hits = materialize(hybrid_search(docs, query, max(most, 2 * k)), "search-hits")
+    ranked = hits.orderBy(F.desc("score"), "doc_id").limit(most)
+    contexts = retrieve_contexts(docs, chunks, query, k, hits).where("score > 0")
     by = F.struct("score", -F.coalesce("chunk_index", F.lit(-1)))
     best = contexts.groupBy(F.col("paper_id").alias("doc_id")).agg(F.max("score").alias("chunk_score"), F.max_by(F.struct("chunk_index", "text"), by).alias("c"))
     both = ranked.join(best, "doc_id", "full_outer").na.fill(0.0, ["score", "bm25", "semantic", "chunk_score"])
