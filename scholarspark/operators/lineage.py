@@ -28,13 +28,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()`` without computing the last stage twice; a lost executor costs only a reread.
     """
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     # parquet columns come back nullable, whatever the plan knew
     out = df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
     out._scratch_path = path
