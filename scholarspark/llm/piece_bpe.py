@@ -49,6 +49,10 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+#: Words in a generation of a worker's memo, about 300 bytes each; two generations are held at most.
+CACHED_WORDS = 500_000
+
+
 class PieceModel:
     """Pieces, scores and normalizer flags of a serialized SentencePiece model of merge type."""
 
@@ -80,7 +84,7 @@ class PieceCodec:
 
     BLOCK = 4096
 
-    def __init__(self, raw: bytes, cached_words: int = 200_000):
+    def __init__(self, raw: bytes, cached_words: int = CACHED_WORDS):
         m = self.model = PieceModel(raw)
         usable = [i for i, k in enumerate(m.kinds) if k in (NORMAL, UNUSED)]
         self.score = {m.pieces[i]: m.scores[i] for i in usable}
