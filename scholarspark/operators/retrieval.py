@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import TOKEN, cosine, expand_query, first_present, normalize_text, tokens
 from .lineage import materialize
 
-WORD = r"(?U)\b\w\w+\b"
+WORD = r"(?U)\w{2,}+"  # runs of word characters, whole as they are greedy
 # English words that carry no topic.
 STOP_WORDS = ("about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "but", "by", "can", "could", "did", "do", "for", "from", "had", "has", "have", "he", "her", "his", "how", "if", "in", "into", "is", "it", "its", "may", "more", "most", "no", "not", "of", "on", "one", "only", "or", "other", "our", "out", "over", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "under", "up", "was", "we", "were", "what", "when", "where", "which", "while", "who", "will", "with", "would", "you", "your")
 
@@ -63,30 +63,40 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.concat(*[grams(w, n) for n in range(low, high + 1)])))
 
 
-def corpus_totals(docs: DataFrame, grams=word_grams, text_col: str = "text") -> DataFrame:
-    """``(term, total)``: how often each term occurs; equal terms combine before they are shuffled."""
-    return docs.select(F.explode(grams(F.col(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+def _term_counts(docs: DataFrame, grams, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    """``(d, term, tf)``, and the columns of ``only (term, ...)``, a small table, where just its terms count.
+
+    Documents are dealt by their id, once for all uses; their terms, many times the text, are then counted in place.
+    """
+    terms = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("__text")).repartition("d").select("d", F.explode(grams(F.col("__text"))).alias("term"))
+    more = [] if only is None else [c for c in only.columns if c != "term"]
+    rows = terms if only is None else terms.join(F.broadcast(only), "term")
+    return rows.groupBy("d", "term").agg(F.count("*").cast("double").alias("tf"), *[F.first(c).alias(c) for c in more])
+
+
+def corpus_totals(docs: DataFrame, grams=word_grams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(term, total, df)``: how often each term occurs, and in how many documents; combined before they are shuffled."""
+    return _term_counts(docs, grams, id_col, text_col).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
 
 
 def tfidf_scores(docs: DataFrame, query: str, grams=word_grams, max_features: int = 6000, id_col: str = "doc_id", text_col: str = "text", totals: DataFrame | None = None) -> DataFrame:
     """Cosine of each document's TF-IDF vector with the query's, over the ``max_features`` commonest terms.
 
     The query counts as a document of the corpus; idf is ln((1+n)/(1+df))+1; scores of 0 are dropped. The commonest
-    terms come from ``totals`` (``corpus_totals`` of the documents, for several queries), so that only they, by
-    document, are shuffled.
+    terms come from ``totals`` (``corpus_totals`` of the documents, for several queries). Ids are unique; the texts are
+    shuffled once, their terms never.
     """
     spark = docs.sparkSession
-    asked = spark.createDataFrame([(query,)], "t string").select(F.lit(None).cast(dict(docs.dtypes)[id_col]).alias("d"), F.explode(grams(F.col("t"))).alias("term"))
-    counted = (corpus_totals(docs, grams, text_col) if totals is None else totals).unionByName(asked.groupBy("term").agg(F.count("*").alias("total")))
+    asked = spark.createDataFrame([(query,)], "t string").select(F.explode(grams(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("total")).withColumn("df", F.lit(1).cast("long"))
+    counted = (corpus_totals(docs, grams, id_col, text_col) if totals is None else totals).unionByName(asked)
     # the query's terms add to few totals: of equal terms both rows come together
-    vocabulary = counted.groupBy("term").agg(F.sum("total").alias("total")).orderBy(F.desc("total"), "term").limit(max_features).select("term")
-    terms = docs.select(F.col(id_col).alias("d"), F.explode(grams(F.col(text_col))).alias("term")).unionByName(asked)
-    tf = terms.join(F.broadcast(vocabulary), "term").groupBy("d", "term").agg(F.count("*").cast("double").alias("tf"))  # max_features rows
+    common = counted.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
     n = docs.agg((F.count("*") + 1).cast("double").alias("n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = tf.join(F.broadcast(idf), "term").select("d", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    q = weights.where("d IS NULL").select("term", F.col("w").alias("qw"))
-    per_doc = weights.where("d IS NOT NULL").join(F.broadcast(q), "term", "left").groupBy("d").agg(F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    idf = common.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    q = asked.join(F.broadcast(idf), "term").select("term", (F.col("total") * F.col("idf")).alias("qw"))
+    known = idf.join(F.broadcast(q), "term", "left").select("term", "idf", F.coalesce("qw", F.lit(0.0)).alias("qw"))  # max_features rows
+    weights = _term_counts(docs, grams, id_col, text_col, known).select("d", (F.col("tf") * F.col("idf")).alias("w"), "qw")
+    per_doc = weights.groupBy("d").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     qn = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     return per_doc.join(F.broadcast(qn)).select(F.col("d").alias(id_col), (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score")).where("score > 0")
 
@@ -119,7 +129,7 @@ def hybrid_search(docs: DataFrame, query: str, top_k: int = 20, id_col: str = "d
     are counted once for all expanded queries.
     """
     asked = expand_query(query)
-    totals = [materialize(corpus_totals(docs, grams, text_col), "term-totals") for grams, *_ in SEMANTIC] if len(asked) > 1 else None
+    totals = [materialize(corpus_totals(docs, grams, id_col, text_col), "term-totals") for grams, *_ in SEMANTIC] if len(asked) > 1 else None
     best = lambda scores, name: reduce(DataFrame.unionByName, scores).groupBy(id_col).agg(F.max("score").alias(name))
     scaled = lambda df, name: df.join(F.broadcast(df.agg(F.max(name).alias("__most")))).select(id_col, (F.col(name) / F.col("__most")).alias(name))
     lex = docs.select(id_col, lexical_overlap(F.col(text_col), query).alias("ov")).where("ov > 0")
