@@ -27,11 +27,11 @@ def landed(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("r")).where("r IS NOT NULL").select("r.*")
 
 
-def flat_records(records: DataFrame) -> DataFrame:
-    """Records of a paper service as rows: identifiers, authors in order, fields of study once each and sorted."""
+def flat_records(records: DataFrame, *more: str) -> DataFrame:
+    """Records of a paper service as rows: identifiers, authors in order, fields of study once each and sorted; ``more`` columns come along."""
     names = F.filter(F.transform("authors", lambda a: a["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
     fields = F.array_sort(F.array_distinct(F.coalesce("fieldsOfStudy", F.array().cast("array<string>"))))
-    return records.select(F.col("paperId").alias("paper_id"), "title", "year", F.col("externalIds.DOI").alias("doi"), F.col("citationCount").alias("citation_count"), F.array_join(F.coalesce(names, F.array().cast("array<string>")), ", ").alias("authors"), F.array_join(fields, ", ").alias("fields"))
+    return records.select(F.col("paperId").alias("paper_id"), "title", "year", F.col("externalIds.DOI").alias("doi"), F.col("citationCount").alias("citation_count"), F.array_join(F.coalesce(names, F.array().cast("array<string>")), ", ").alias("authors"), F.array_join(fields, ", ").alias("fields"), *more)
 
 
 def landed_records(spark: SparkSession, folder: str) -> DataFrame:

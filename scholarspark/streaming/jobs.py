@@ -1,4 +1,4 @@
-"""Structured Streaming: event windows, sessions, idempotent edge merges, and the sync queue with back-off."""
+"""Structured Streaming: event windows, sessions, idempotent merges into committed tables, and the sync queue."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import queueing
 from ..operators.aggregates import last_messages
 from ..operators.entity import upsert_edges
-from ..operators.lineage import scratch_dir
+from ..operators.lineage import materialize, scratch_dir
 from ..operators.relational import due_queue
+from ..sources.committed import CommittedTable
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -51,39 +52,24 @@ def weekly(events: DataFrame, late: str = "14 days") -> DataFrame:
     return w.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
-    """The newest written folder of each bucket under ``path``, of batches before one; a listing, no data is read."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/bucket=*")
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root) or []
-    newest: dict[int, tuple[int, str]] = {}
-    for status in found:
-        place = status.getPath().toString()
-        batch, bucket = (int(part.split("=")[1]) for part in place.rsplit("/", 2)[1:])
-        if (before is None or batch < before) and batch >= newest.get(bucket, (-1, ""))[0]:
-            newest[bucket] = (batch, place)
-    return {bucket: place for bucket, (_, place) in newest.items()}
-
-
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The table that ``merge_into`` keeps under ``path``."""
-    return spark.read.parquet(*_versions(spark, path).values())
+def latest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The table that ``merge_into`` keeps under ``path``; with a schema, an empty one where nothing was merged yet."""
+    return CommittedTable(spark, path, schema=schema).read()
 
 
 def merge_into(path: str, key: str, merge, buckets: int = 64):
-    """A ``foreachBatch`` function that merges a micro-batch into the table kept under ``path``, in buckets of a key.
+    """A ``foreachBatch`` function that merges a micro-batch into the committed table under ``path``, in buckets of a key.
 
-    Only buckets that the batch touches are read, merged by ``merge(stored or None, batch)`` and written anew, under the
-    batch's own name; so a batch that is run again overwrites what it wrote and counts once.
+    Only buckets that the batch touches are read, merged by ``merge(stored or None, batch)`` and written anew; readers see
+    all of a batch or nothing of it, and a batch that is run again counts once.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most `buckets` numbers
-        old = [place for b, place in _versions(spark, path, batch_id).items() if b in touched]
-        out = merge(spark.read.parquet(*old) if old else None, batch)
-        if touched:
-            out.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+        table, step, folder = CommittedTable(batch.sparkSession, path, key, buckets=buckets), ("stream", batch_id), f"batch={batch_id}"
+        if table.version():
+            table.update(lambda stored: merge(stored, batch), batch, "merge", step, folder=folder)
+        elif touched := table.touched(batch):
+            table.commit(merge(None, batch), 0, touched, operation="merge", step=step, folder=folder)
 
     return run
 
@@ -108,23 +94,25 @@ def remember_into(path: str, turns: int = 6):
     return merge_into(path, "session_id", merge)
 
 
-def sync_into(queue_path: str, now, handle, delay: int = 600):
-    """The sync loop's step: the due papers of the queue under ``queue_path``, handled and settled, new ones enqueued.
+def sync_into(queue: CommittedTable, now, handle, delay: int = 600, name: str = "sync"):
+    """The sync loop's step on a ticking stream: due papers of a queue, handled and settled, new ones enqueued.
 
     ``handle(due)`` returns ``(results (paper_id, error), edges)``; the papers that the edges newly name are asked for
-    later. ``now()`` gives the time of a round. A round that is run again starts from the same queue.
+    later. ``now()`` gives the time of a round. Only buckets of papers that change are written; a round counts once.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        queue = spark.read.parquet(f"{queue_path}/v={batch_id}")
-        moment = now()
-        due = due_queue(queueing.requeue_stale(queue, moment), moment, 5)
+        if queue.done(name) >= batch_id:
+            return
+        moment, stored = now(), queue.read()
+        fresh = queueing.requeue_stale(stored, moment)
+        due = materialize(due_queue(fresh, moment, 5), "due")
         results, edges = handle(due)
-        settled = queueing.settle(queue, results, moment)
         ends = edges.select(F.explode(F.array("source_paper_id", "target_paper_id")).alias("paper_id")).distinct()
-        fresh = ends.join(settled, "paper_id", "left_anti")
-        queueing.enqueue(settled, fresh, moment, delay).write.mode("overwrite").parquet(f"{queue_path}/v={batch_id + 1}")
+        new = ends.join(stored, "paper_id", "left_anti")
+        stale = fresh.select("paper_id", "status").exceptAll(stored.select("paper_id", "status")).select("paper_id")
+        change = lambda rows: queueing.enqueue(queueing.settle(queueing.requeue_stale(rows, moment), results, moment), new, moment, delay)
+        queue.update(change, due.select("paper_id").union(new.select("paper_id")).union(stale), "sync", (name, batch_id))
 
     return run
 
@@ -146,22 +134,3 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # nothing was there
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(path)
-
-
-def retry_states(results: DataFrame, base: int = 600, most: int = 86400) -> DataFrame:
-    """``(paper_id, attempts, next_run_at)`` after each micro-batch of results ``(paper_id, at, ok)``, kept per paper.
-
-    A success forgets the failures and asks again after a day; failures back off, doubling up to five times.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, frames, state: GroupState):
-        attempts, due = state.get if state.exists else (0, 0)
-        for row in pd.concat(list(frames)).sort_values("at").itertuples():
-            attempts = 0 if row.ok else attempts + 1
-            due = int(row.at) + (most if row.ok else min(base * 2 ** min(attempts, 5), most))
-        state.update((attempts, due))
-        yield pd.DataFrame({"paper_id": [key[0]], "attempts": [attempts], "next_run_at": [due]})
-
-    return results.groupBy("paper_id").applyInPandasWithState(step, "paper_id long, attempts int, next_run_at long", "attempts int, due long", "update", GroupStateTimeout.NoTimeout)

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from scholarspark.sources import connectors, sinks
+from scholarspark.sources.committed import CommittedTable
 from scholarspark.streaming import jobs
 
 from .conftest import DATA
@@ -100,33 +101,22 @@ def test_session_memory(spark, tmp_path):
 def test_sync_loop(spark, tmp_path):
     """Rounds of the loop on a ticking stream: due papers are handled and settled, their new neighbours asked for later."""
     queue = "paper_id long, status string, attempts int, next_run_at long, last_error string"
-    path = str(tmp_path / "queue")
-    spark.createDataFrame([(1, "queued", 0, None, None), (2, "queued", 0, 5, None), (3, "idle", 0, 10_000, None)], queue).write.parquet(f"{path}/v=0")
+    table = CommittedTable(spark, str(tmp_path / "queue"), "paper_id", queue, 8)
+    table.append(spark.createDataFrame([(1, "queued", 0, None, None), (2, "queued", 0, 5, None), (3, "idle", 0, 10_000, None), (4, "running", 2, 9_000, None)], queue))
 
     def handle(due):
         results = due.select("paper_id", F.when(F.col("paper_id") == 2, "broken").alias("error"))
         return results, due.where("paper_id = 1").select(F.col("paper_id").alias("source_paper_id"), (F.col("paper_id") + 10).alias("target_paper_id"))
 
-    step = jobs.sync_into(path, lambda: 1000, handle)
+    step = jobs.sync_into(table, lambda: 1000, handle)
     step(spark.range(1), 0)
-    step(spark.range(1), 0)  # a round run again starts from the same queue
-    got = {r.paper_id: (r.status, r.attempts, r.next_run_at) for r in spark.read.parquet(f"{path}/v=1").collect()}
-    assert got == {1: ("idle", 0, 1000 + 86400), 2: ("failed", 1, 1000 + 1200), 3: ("idle", 0, 10_000), 11: ("queued", 0, 1600)}
-
-
-def test_retry_states_across_batches(spark, tmp_path):
-    schema = "paper_id long, at long, ok boolean"
-    seen = {}
-
-    def keep(batch, _):
-        seen.update({r.paper_id: (r.attempts, r.next_run_at) for r in batch.collect()})
-
-    for k, rows in enumerate(([(1, 10, False), (1, 20, False), (2, 5, True)], [(1, 100, False), (3, 7, False)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        q = jobs.retry_states(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert seen == {1: (3, 100 + 4800), 2: (0, 5 + 86400), 3: (1, 7 + 1200)}
+    step(spark.range(1), 0)  # a round counts once
+    got = {r.paper_id: (r.status, r.attempts, r.next_run_at) for r in table.read().collect()}
+    assert got == {1: ("idle", 0, 1000 + 86400), 2: ("failed", 1, 1000 + 1200), 3: ("idle", 0, 10_000), 4: ("running", 2, 9_000), 11: ("queued", 0, 1600)}
+    assert len(table.history()[-1]["touched"]) <= 3  # papers 1, 2 and 11
+    # rows that have been running past their lease are queued again, in the same round
+    jobs.sync_into(table, lambda: 13_000, handle)(spark.range(1), 1)
+    assert {r.paper_id: r.status for r in table.read().collect()}[4] == "idle"
 
 
 def test_numbered_rows(spark):
