@@ -95,32 +95,83 @@ def shortest_path(edges: DataFrame, start: int, goal: int, direction: str = "any
     return paths.where(F.col("id") == goal).select(F.posexplode("path").alias("step", "id"))
 
 
-def foundation_path(nodes: DataFrame, edges: DataFrame, top: int = 15) -> DataFrame:
-    """``(position, id)``: topological order of an acyclic graph by (longest-path level, id); else the best PageRanks."""
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether a directed graph of ``(src, dst)`` has a cycle, a self-loop included.
+
+    Each round takes away all nodes that nothing points to or that point to nothing, as no cycle holds them; where there
+    are none and edges are left, every one lies behind a cycle. Of the nodes between one other and one other, in a chain, an
+    independent set by a hashed coin is skipped over, so a chain shrinks by a share in each round however long it is. Two tables are
+    kept at a time.
+    """
+    live = materialize(edges.select("src", "dst").distinct(), "cycle-edges")
+    coin = lambda c, k: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2))
+    turn = 0
+    while True:
+        n, loops = live.agg(F.count("*"), F.count_if(F.col("src") == F.col("dst"))).first()
+        if not n or loops:
+            release(live)
+            return bool(loops)
+        out = live.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"), F.min("dst").alias("after"))
+        into = live.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("into"), F.min("src").alias("before"))
+        nodes = materialize(out.join(into, "id", "full_outer"), "cycle-nodes")
+        inner = nodes.where("out IS NOT NULL AND into IS NOT NULL")
+        if nodes.count() == inner.count():
+            release(nodes)
+            release(live)
+            return True
+        skipped = inner.where(F.expr("out = 1 AND into = 1") & (coin("id", turn) == 1) & (coin("before", turn) == 0)).select("id", "before", "after")
+        kept = inner.select("id").join(skipped.select("id"), "id", "left_anti")
+        shorter = live.unionByName(skipped.select(F.col("before").alias("src"), F.col("after").alias("dst")))
+        for end in ("src", "dst"):
+            shorter = shorter.join(kept.withColumnRenamed("id", end), end, "left_semi")
+        nxt = materialize(shorter.select("src", "dst").distinct(), "cycle-edges")
+        for table in (live, nodes):
+            release(table)
+        live, turn = nxt, turn + 1
+
+
+def foundation_path(nodes: DataFrame, edges: DataFrame, top: int = 15, order: str | None = None) -> DataFrame:
+    """``(position, id)``: topological order of an acyclic graph by (longest-path level, id); else the best PageRanks.
+
+    Levels are peeled until they hold ``top`` nodes, so there are ``top`` of them at most. With ``order``, a column of ``nodes`` that
+    every edge leads down (or every one up), there is no cycle to look for.
+    """
     ids = materialize(nodes.select("id").distinct(), "topo-nodes")
     e = simple_edges(edges)
     e = materialize(e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"), "topo-edges")
-    left, live, level, done = ids, e, 0, None
-    while True:
+    if not (order and _ordered(nodes, e, order)) and has_cycle(e):
+        ranked = pagerank(ids, e).orderBy(F.desc(F.round("rank", 9)), "id").limit(top)
+        return ranked.select((F.row_number().over(Window.orderBy(F.desc(F.round("rank", 9)), "id")) - 1).alias("position"), "id")
+    left, live, level, done = ids, e, 0, ids.sparkSession.createDataFrame([], "id long, level int")
+    found = 0
+    while found < top:
         free = left.join(live.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-        free = materialize(free.select("id", F.lit(level).alias("level")), "topo-level")
-        if not free.limit(1).count():
+        free = materialize(free.select(F.col("id").cast("long").alias("id"), F.lit(level).alias("level")), "topo-level")
+        n = free.count()
+        if not n:
             break
-        done = free if done is None else done.unionByName(free)
+        done, found = done.unionByName(free), found + n
         before = left, live
-        left = materialize(left.join(free, "id", "left_anti").select("id"), "topo-left")
-        live = materialize(live.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "topo-live")
-        if level:
-            for table in before:
-                release(table)
+        if found < top:
+            left = materialize(left.join(free, "id", "left_anti").select("id"), "topo-left")
+            live = materialize(live.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "topo-live")
+            if level:
+                for table in before:
+                    release(table)
         level += 1
-    if left.limit(1).count():
-        ranked = pagerank(ids, e).orderBy(F.desc(F.round("rank", 9)), "id").limit(top)
-        return ranked.select((F.row_number().over(Window.orderBy(F.desc(F.round("rank", 9)), "id")) - 1).alias("position"), "id")
-    first = done.orderBy("level", "id").limit(top) if done is not None else ids.withColumn("level", F.lit(0))
+    first = done.orderBy("level", "id").limit(top)
     return first.select((F.row_number().over(Window.orderBy("level", "id")) - 1).alias("position"), "id")
 
 
+def _ordered(nodes: DataFrame, e: DataFrame, order: str) -> bool:
+    """Whether all edges lead down, or all up, in a column of their ends."""
+    at = nodes.groupBy("id").agg(F.min(order).alias("at"), F.max(order).alias("top"), F.count_if(F.col(order).isNull()).alias("none"))
+    ends = e.join(at.toDF("src", "s", "s2", "s_none"), "src").join(at.toDF("dst", "d", "d2", "d_none"), "dst")
+    known = (F.col("s_none") == 0) & (F.col("d_none") == 0) & (F.col("s") == F.col("s2")) & (F.col("d") == F.col("d2"))
+    n, down, up = ends.agg(F.count("*"), F.count_if(known & (F.col("s") > F.col("d"))), F.count_if(known & (F.col("s") < F.col("d")))).first()
+    return n in (down, up)
+
+
 def sota_list(papers: DataFrame, as_of: int, years: int = 3, top: int = 15) -> DataFrame:
     """Recent papers by citations a year."""
     recent = papers.where(F.col("year") >= as_of - years)

@@ -41,6 +41,14 @@ def materialize(df: DataFrame, tag: str, compression: str | None = None, **optio
     return out
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores by a column where its files make fewer partitions than that; larger inputs stay in place."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a ``materialize`` result that nothing reads any more."""
     spark = df.sparkSession

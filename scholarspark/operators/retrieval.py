@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import TOKEN, cosine, expand_query, first_present, normalize_text, tokens
-from .lineage import materialize
+from .lineage import materialize, spread
 
 WORD = r"(?U)\w{2,}+"  # runs of word characters, whole as they are greedy
 # English words that carry no topic.
@@ -63,28 +63,25 @@ def char_grams(text: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.concat(*[grams(w, n) for n in range(low, high + 1)])))
 
 
-def _term_counts(docs: DataFrame, grams, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
-    """``(d, term, tf)``, and the columns of ``only (term, ...)``, a small table, where just its terms count.
+def corpus_totals(docs: DataFrame, grams=word_grams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(term, total, df)``: how often each term occurs, and in how many documents.
 
-    Documents are dealt by their id, once for all uses; their terms, many times the text, are then counted in place.
+    A document's terms are sorted in place, which shows each one's first occurrence in it; both counts are then sums over
+    occurrences, combined before they are shuffled by term. Texts do not move but where there are fewer files than cores.
     """
-    terms = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("__text")).repartition("d").select("d", F.explode(grams(F.col("__text"))).alias("term"))
-    more = [] if only is None else [c for c in only.columns if c != "term"]
-    rows = terms if only is None else terms.join(F.broadcast(only), "term")
-    return rows.groupBy("d", "term").agg(F.count("*").cast("double").alias("tf"), *[F.first(c).alias(c) for c in more])
-
-
-def corpus_totals(docs: DataFrame, grams=word_grams, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(term, total, df)``: how often each term occurs, and in how many documents; combined before they are shuffled."""
-    return _term_counts(docs, grams, id_col, text_col).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    rows = spread(docs.select(id_col, text_col), id_col).select(F.sort_array(grams(F.col(text_col))).alias("t"))
+    beside = F.arrays_zip(F.col("t").alias("term"), F.concat(F.array(F.lit(None).cast("string")), "t").alias("before"))
+    rows = rows.select(F.inline(beside)).toDF("term", "before").where("term IS NOT NULL")
+    new = F.when(F.col("term").eqNullSafe(F.col("before")), 0).otherwise(1)
+    return rows.groupBy("term").agg(F.count("*").cast("double").alias("total"), F.sum(new).alias("df"))
 
 
 def tfidf_scores(docs: DataFrame, query: str, grams=word_grams, max_features: int = 6000, id_col: str = "doc_id", text_col: str = "text", totals: DataFrame | None = None) -> DataFrame:
     """Cosine of each document's TF-IDF vector with the query's, over the ``max_features`` commonest terms.
 
     The query counts as a document of the corpus; idf is ln((1+n)/(1+df))+1; scores of 0 are dropped. The commonest
-    terms come from ``totals`` (``corpus_totals`` of the documents, for several queries). Ids are unique; the texts are
-    shuffled once, their terms never.
+    terms come from ``totals`` (``corpus_totals`` of the documents, for several queries). Ids are unique. Terms are
+    counted where the texts are; what moves is the counts of the commonest ones by document.
     """
     spark = docs.sparkSession
     asked = spark.createDataFrame([(query,)], "t string").select(F.explode(grams(F.col("t"))).alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("total")).withColumn("df", F.lit(1).cast("long"))
@@ -94,8 +91,9 @@ def tfidf_scores(docs: DataFrame, query: str, grams=word_grams, max_features: in
     n = docs.agg((F.count("*") + 1).cast("double").alias("n"))
     idf = common.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     q = asked.join(F.broadcast(idf), "term").select("term", (F.col("total") * F.col("idf")).alias("qw"))
-    known = idf.join(F.broadcast(q), "term", "left").select("term", "idf", F.coalesce("qw", F.lit(0.0)).alias("qw"))  # max_features rows
-    weights = _term_counts(docs, grams, id_col, text_col, known).select("d", (F.col("tf") * F.col("idf")).alias("w"), "qw")
+    known = idf.join(F.broadcast(q), "term", "left").select("term", F.xxhash64("term").alias("k"), "idf", F.coalesce("qw", F.lit(0.0)).alias("qw"))  # max_features rows
+    held = spread(docs.select(id_col, text_col), id_col).select(F.col(id_col).alias("d"), F.explode(grams(F.col(text_col))).alias("term")).join(F.broadcast(known), "term")
+    weights = held.groupBy("d", "k", "idf", "qw").agg(F.count("*").cast("double").alias("tf")).select("d", (F.col("tf") * F.col("idf")).alias("w"), "qw")
     per_doc = weights.groupBy("d").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     qn = q.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     return per_doc.join(F.broadcast(qn)).select(F.col("d").alias(id_col), (F.col("dot") / (F.col("norm") * F.col("qn"))).alias("score")).where("score > 0")

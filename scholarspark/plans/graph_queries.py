@@ -59,7 +59,7 @@ def _foundation(t):
     """Reading order over the edges that point to older papers, which have no cycle."""
     years = t.papers.select("id", "year")
     e = t.citations.join(years.toDF("source_paper_id", "sy"), "source_paper_id").join(years.toDF("target_paper_id", "ty"), "target_paper_id").where("sy > ty")
-    return graph.foundation_path(t.papers.where("year IS NOT NULL"), e)
+    return graph.foundation_path(t.papers.where("year IS NOT NULL"), e, order="year")
 
 
 query("g6_sota_list", "papers", f"SELECT id, year, round(coalesce(citation_velocity, citation_count / CAST(greatest(1, {AS_OF} - coalesce(year, {AS_OF}) + 1) AS DOUBLE)), 4) AS score FROM papers WHERE year >= {AS_OF} - 3 ORDER BY score DESC, id LIMIT 15")(

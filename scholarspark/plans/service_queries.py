@@ -133,7 +133,7 @@ def poll_queue(t) -> DataFrame:
 @query(
     "st9_due_retries",
     None,
-    """WITH r AS (SELECT user_id, event_id, epoch_ms(ts) AS came, event_type <> 'error' AS ok FROM events WHERE user_id IS NOT NULL),
+    """WITH r AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS came, event_type <> 'error' AS ok FROM events WHERE user_id IS NOT NULL),
   s AS (SELECT *, count(*) FILTER (ok) OVER w AS run, lead(came) OVER w AS after, max(came) OVER () AS newest FROM r WINDOW w AS (PARTITION BY user_id ORDER BY came, event_id)),
   f AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY came, event_id) AS attempts FROM s WHERE NOT ok),
   d AS (SELECT *, came + 1000 * least(600 * CAST(power(2, least(attempts, 5)) AS BIGINT), 86400) AS due FROM f)

@@ -223,6 +223,37 @@ def test_foundation_path(spark):
     assert set(order([(1, 2), (2, 3), (3, 1)])) == {1, 2, 3, 9}
 
 
+def test_foundation_path_takes_few_levels(spark, monkeypatch):
+    n, written = 60, []
+    real = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, tag, *a, **k: written.append(tag) or real(df, tag, *a, **k))
+    nodes = spark.range(n).withColumn("year", 3000 - F.col("id"))
+    chain = [(i, i + 1) for i in range(n - 1)]
+    order = lambda e, **how: [r.id for r in graph.foundation_path(nodes, edges_of(spark, e), 4, **how).orderBy("position").collect()]
+    assert order(chain, order="year") == [0, 1, 2, 3] and "cycle-edges" not in written and written.count("topo-level") == 4
+    written.clear()
+    assert order(chain) == [0, 1, 2, 3] and written.count("cycle-edges") < 20  # not a round a node
+    written.clear()
+    assert len(order([*chain, (n - 1, 50)], order="year")) == 4 and "cycle-edges" in written
+
+
+def test_cycles_against_plain_search(spark):
+    rng = random.Random(4)
+    cyclic = []
+    for k in range(6):
+        n = 9
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(3, 11))}
+        if k % 2:
+            pairs = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+        left = set(pairs)
+        while left and (free := {a for a, _ in left} - {b for _, b in left}):
+            left = {p for p in left if p[0] not in free}
+        cyclic.append(bool(left))
+        assert graph.has_cycle(spark.createDataFrame(sorted(pairs), "src long, dst long")) == bool(left)
+    assert any(cyclic) and not all(cyclic)
+    assert not graph.has_cycle(spark.createDataFrame([], "src long, dst long"))
+
+
 def test_shortest_path_directions(spark):
     e = edges_of(spark, [(1, 2), (2, 3), (5, 3), (1, 4), (4, 3)])
     path = lambda *a: [r.id for r in graph.shortest_path(e, *a).orderBy("step").collect()]
