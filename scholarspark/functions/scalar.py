@@ -43,6 +43,26 @@ def first_present(*cols: Column | str) -> Column:
     return F.coalesce(*[present(c) for c in cols])
 
 
+def round_half_even(c: Column | str, digits: int) -> Column:
+    """A double rounded as its binary value says: to the nearest decimal, to the even one only where it lies exactly between.
+
+    The product with the power of ten is taken in two parts, the rounded one and what rounding took (halves of 26 bits
+    multiply without loss), so its place beside a half is known exactly. Numbers so large that they have no such digits,
+    nulls, NaN and infinities stay; digits from 0 to 15.
+    """
+    x, scale, split = col(c).cast("double"), F.lit(10.0**digits), F.lit(134217729.0)
+    high = lambda v: v * split - (v * split - v)
+    p = x * scale
+    xh, sh = high(x), high(scale)
+    xl, sl = x - xh, scale - sh
+    lost = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    below = F.floor(p).cast("double")
+    beside = (p - below) - F.lit(0.5)
+    up = F.when(beside != 0, beside > 0).when(lost != 0, lost > 0).otherwise(F.floor(below / 2) * 2 != below)
+    # where the product itself was rounded to a whole number, what it lost tells on which side of it the number is
+    return F.when(F.isnan(x) | (F.abs(p) >= F.lit(2.0**52)), x).otherwise((below + F.when(up, 1.0).otherwise(0.0)) / scale)
+
+
 def normalize_text(c: Column | str) -> Column:
     """Runs of white space one space, trimmed, lower case; null is empty."""
     return F.lower(F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " ")))

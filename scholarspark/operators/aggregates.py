@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalize_text, present, slug, tag_list, topic_of, velocity
+from ..functions.scalar import normalize_text, present, round_half_even, slug, tag_list, topic_of, velocity
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def bursts(topics: DataFrame, limit: int = 20) -> DataFrame:
     w = Window.partitionBy("topic").orderBy("year")
     prev = topics.withColumn("prev", F.lag("n").over(w)).where("prev IS NOT NULL")
     grown = prev.withColumn("growth", F.col("n") - F.col("prev")).withColumn("ratio", F.col("growth") / F.col("prev"))
-    hot = grown.where("n >= 3 AND growth >= 2 AND ratio >= 0.5").select("topic", "year", "n", "growth", F.round("ratio", 3).alias("ratio"))
+    hot = grown.where("n >= 3 AND growth >= 2 AND ratio >= 0.5").select("topic", "year", "n", "growth", round_half_even("ratio", 3).alias("ratio"))
     return hot.orderBy(F.desc("ratio"), F.desc("n"), "topic", "year").limit(limit)
 
 
@@ -36,7 +36,7 @@ def hotspots(papers: DataFrame, as_of: int, top: int = 5) -> DataFrame:
 def river(topics: DataFrame) -> DataFrame:
     """Each topic's share of its year."""
     total = F.sum("n").over(Window.partitionBy("year"))
-    return topics.select("year", "topic", "n", F.round(F.col("n") / F.greatest(F.lit(1), total), 4).alias("share"))
+    return topics.select("year", "topic", "n", round_half_even(F.col("n") / F.greatest(F.lit(1), total), 4).alias("share"))
 
 
 def river_wide(topics: DataFrame, names: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import entity
+from ..functions import scalar as S
+from ..operators import enrichment, entity
 from ..operators.inverted import InvertedIndex
 from ..operators.lineage import scratch_dir
 from ..operators.vectors import VectorCollection
@@ -246,3 +247,60 @@ def event_sequences(t) -> DataFrame:
     got = events.read_events(t.spark, place).withColumn("delta", F.coalesce(F.get_json_object("event", "$.delta"), F.lit("")))
     ordered = F.sort_array(F.collect_list(F.struct("nth", "type", "delta")))  # the events of one answer
     return got.groupBy("session_id").agg(F.count("*").alias("events"), F.md5(F.array_join(F.transform(ordered, lambda x: x["delta"]), "")).alias("answer"), F.min_by("type", "nth").alias("first"), F.max_by("type", "nth").alias("last"))
+
+
+# a model's answers ------------------------------------------------------------------------------------------------
+
+
+def scripted_model(prompts: list[str]) -> list[str]:
+    """A model that answers by the length of the text that it is asked about: well, badly, only when pressed, or not at all."""
+    out = []
+    for prompt in prompts:
+        n, pressed = len(prompt.split("TEXT:\n", 1)[1]), "nothing else" in prompt
+        good = f'{{"title": " T{n} ", "year": {1900 + n % 100}, "sub_field": "src1", "open_sub_field": "SRC1"}}'
+        if n % 5 == 0:
+            raise TimeoutError
+        out.append({1: good if pressed else "I cannot say", 2: f"Here it is: {good} - well?", 3: '{"title": null}', 4: good if pressed else '{"title": "first", "year": "about 2000"}'}[n % 5])
+    return out
+
+
+@query(
+    "x30_enriched_metadata",
+    "papers",
+    """WITH p AS (SELECT id, length(abstract) AS n FROM papers)
+  SELECT id, CASE WHEN coalesce(n, 0) > 0 AND n % 5 NOT IN (0, 3) THEN concat('T', n) END AS title, CASE WHEN coalesce(n, 0) > 0 AND n % 5 NOT IN (0, 3) THEN 1900 + n % 100 END AS year, CASE WHEN coalesce(n, 0) > 0 AND n % 5 NOT IN (0, 3) THEN 'SRC1' END AS sub_field,
+    CASE WHEN coalesce(n, 0) = 0 THEN 0 WHEN n % 5 IN (0, 3) THEN 3 WHEN n % 5 = 2 THEN 1 ELSE 2 END AS tries, coalesce(n, 0) > 0 AND n % 5 NOT IN (0, 3) AS valid FROM p""",
+)
+def enriched_metadata(t) -> DataFrame:
+    """Metadata of whole papers from a model that often fails: batches are taken apart, bad answers asked for again."""
+    rows = enrichment.enrich_metadata(t.papers.select("id", F.col("abstract").alias("text")), scripted_model, ["SRC1"])
+    return rows.where("open_sub_field IS NULL").select("id", "title", "year", "sub_field", "tries", "valid")
+
+
+def summarising_model(prompts: list[str]) -> list[str]:
+    if any(len(p) % 11 == 0 for p in prompts):
+        raise TimeoutError
+    return [("null", " ", '"Says {}."')[len(p) % 3].format(len(p.rsplit("ABSTRACT: ", 1)[1])) for p in prompts]
+
+
+@query(
+    "src14_summaries",
+    "papers",
+    """WITH p AS (SELECT *, length('Say in one sentence what this paper does; if it is not to be seen, answer null.' || chr(10) || 'TITLE: ' || coalesce(title, '') || chr(10) || 'ABSTRACT: ' || coalesce(abstract, '')) AS n FROM papers)
+  SELECT id, CASE WHEN (coalesce(title, '') <> '' OR coalesce(abstract, '') <> '') AND n % 11 <> 0 AND n % 3 = 2 THEN concat('Says ', length(coalesce(abstract, '')), '.') END AS summary FROM p""",
+)
+def model_summaries(t) -> DataFrame:
+    """One sentence about each paper from a model that fails on some prompts, and so on every batch that has one."""
+    return enrichment.summaries(t.papers.select("id", "title", "abstract"), summarising_model)
+
+
+@query(
+    "x29_half_even",
+    None,
+    """WITH q AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q FROM lineitem)
+  SELECT l_orderkey, l_linenumber, CAST(format('{:.2f}', q / 8) AS DOUBLE) AS eighths, CAST(format('{:.3f}', (2 * q + 1) / 2000) AS DOUBLE) AS halves, CAST(format('{:.4f}', -q / l_linenumber) AS DOUBLE) AS parts FROM q""",
+)
+def half_even(t) -> DataFrame:
+    """Rounding by the binary value, on numbers of which many lie on or beside a half."""
+    q = F.col("l_quantity").cast("double")
+    return t.lineitem.select("l_orderkey", "l_linenumber", S.round_half_even(q / 8, 2).alias("eighths"), S.round_half_even((2 * q + 1) / 2000, 3).alias("halves"), S.round_half_even(-q / F.col("l_linenumber"), 4).alias("parts"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_text, present
+from ..operators.lineage import ship_package
 
 RECORD = "paperId string, title string, year int, externalIds struct<DOI: string>, citationCount long, authors array<struct<name: string>>, fieldsOfStudy array<string>"
 WORKS = "query string, message struct<items: array<struct<DOI: string, title: array<string>>>>"
@@ -100,17 +101,28 @@ def pages_of(text: Column, first: int | None = None, page_break: str = "\n\n") -
 def completions(prompts: DataFrame, model=None) -> DataFrame:
     """``prompts`` with an answer of a model given as a function of a list of texts; without one all are null.
 
-    The function is called on batches in the workers; its failures count as no answer.
+    The function is called on batches in the workers. Where it fails on a batch, or answers another number of prompts,
+    each prompt of the batch is asked alone, and one that fails alone has no answer; a null prompt is never asked.
     """
     if model is None:
         return prompts.withColumn("answer", F.lit(None).cast("string"))
 
+    def answers(asked: list[str]) -> list[str | None]:
+        try:
+            found = list(model(asked))
+            if len(found) == len(asked):
+                return found
+        except Exception:  # noqa: BLE001  a service that fails gives no answer
+            pass
+        return [None] if len(asked) == 1 else [a for p in asked for a in answers([p])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            try:
-                answers = model(frame["prompt"].tolist())
-            except Exception:  # noqa: BLE001  a service that fails gives no answers
-                answers = [None] * len(frame)
-            yield frame.assign(answer=answers)
-
-    return prompts.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in prompts.dtypes) + ", answer string")
+            known = frame["prompt"].notna()
+            out = pd.Series([None] * len(frame), index=frame.index, dtype=object)
+            if known.any():
+                out[known] = answers(frame["prompt"][known].tolist())
+            yield frame.assign(answer=out)
+
+    ship_package(prompts.sparkSession)
+    return prompts.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes) + ", answer string")
