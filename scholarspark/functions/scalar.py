@@ -72,6 +72,14 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(normalize_text(c), F.lit(TOKEN), F.lit(0))
 
 
+def expanded_queries(c: Column | str) -> Column:
+    """The same as ``expand_query``, of a column: the query, with translations put in, and the translations, each once."""
+    base = F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " "))
+    inlined = reduce(lambda q, kv: F.replace(q, F.lit(kv[0]), F.when(base.contains(kv[0]), f"{kv[0]} {kv[1]}").otherwise(kv[0])), ALIASES.items(), base)
+    found = [F.when(base.contains(k), F.lit(v)) for k, v in ALIASES.items()]
+    return F.array_distinct(F.filter(F.array(base, inlined, *found), lambda q: q != ""))
+
+
 def expand_query(query: str) -> list[str]:
     """The query, the query with each known term followed by its translation, and the translations; first ones win."""
     base = " ".join(query.split())

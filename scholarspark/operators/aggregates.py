@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normalize_text, present, round_half_even, slug, tag_list, topic_of, velocity
+from .lineage import materialize, number_rows
 
 
 def in_degree(edges: DataFrame) -> DataFrame:
@@ -75,11 +76,18 @@ def tag_clusters(tags: DataFrame) -> DataFrame:
 
 
 def sota_board(metrics: DataFrame, papers: DataFrame, dataset: str | None = None, limit: int = 50) -> DataFrame:
-    """Metric rows with their papers, best score first."""
+    """Metric rows with their papers, best score first.
+
+    Rows are ranked beside their papers' years alone; titles are read for the papers of the ``limit`` best rows.
+    """
     rows = metrics if dataset is None else metrics.where(F.lower("dataset_name") == dataset.lower())
     score = F.coalesce("f1", "argument_f1", "trigger_f1", F.lit(0.0))
-    p = papers.select(F.col("id").alias("paper_id"), "title", "year")
-    return rows.join(p, "paper_id").withColumn("score", score).orderBy(F.desc("score"), F.desc(F.coalesce("year", F.lit(0))), "id").limit(limit)
+    order = (F.desc("score"), F.desc(F.coalesce("year", F.lit(0))), "id")
+    years = papers.select(F.col("id").alias("paper_id"), "year")
+    best = materialize(rows.join(years, "paper_id").withColumn("score", score).orderBy(*order).limit(limit), "board")
+    ids = [r[0] for r in best.select("paper_id").distinct().collect()]  # `limit` rows at most
+    titles = papers.where(F.col("id").isin(ids)).select(F.col("id").alias("paper_id"), "title").distinct()
+    return best.join(F.broadcast(titles), "paper_id").select("paper_id", *[c for c in rows.columns if c != "paper_id"], "title", "year", "score").orderBy(*order)
 
 
 def metric_trend(metrics: DataFrame, papers: DataFrame, metric: str = "f1") -> DataFrame:
@@ -110,13 +118,16 @@ def last_messages(messages: DataFrame, n: int = 6) -> DataFrame:
 
 
 def timeline_layout(papers: DataFrame, width: float = 1000.0, height: float = 600.0) -> DataFrame:
-    """A place for each dated paper: x by year, y by rank within the year, gaps between 12 and 38."""
-    dated = papers.where(present("year", text=False).isNotNull())
-    w = Window.partitionBy("year")
-    rank = F.row_number().over(w.orderBy("sub_field", F.desc("citation_count"), "id"))
-    n = F.count("*").over(w)
-    years = dated.agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
-    placed = dated.select("id", "year", rank.alias("rank"), n.alias("n")).join(F.broadcast(years))
+    """A place for each dated paper: x by year, y by rank within the year, gaps between 12 and 38.
+
+    Papers are numbered over all years in ranges, so that no task sorts a whole year; a year's first number makes ranks.
+    """
+    least = F.coalesce(-F.col("citation_count"), F.lit((1 << 63) - 1))
+    dated = papers.where(present("year", text=False).isNotNull()).select("id", "year", "sub_field", least.alias("less"))
+    numbered = number_rows(dated, ["year", "sub_field", "less", "id"], "at").select("id", "year", "at")
+    years = numbered.groupBy("year").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # as many rows as years
+    span = years.agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
+    placed = numbered.join(years, "year").withColumn("rank", (F.col("at") - F.col("first") + 1).cast("int")).join(F.broadcast(span))
     gap = F.greatest(F.lit(12.0), F.least(F.lit(38.0), F.lit(height) / F.greatest(F.col("n") - 1, F.lit(1))))
     x = F.lit(width) * (F.col("year") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
     return placed.select("id", "year", "rank", F.round(x, 4).alias("x"), F.round((F.col("rank") - 1 - (F.col("n") - 1) / 2) * gap, 4).alias("y"))

@@ -194,7 +194,10 @@ def resolve_links(links: DataFrame, papers: DataFrame, threshold: float = 0.72)
     asked = rest.where(F.length("l") >= RUN).select("link_text", "l", F.explode(runs("l")).alias("g")).join(often, "g", "left")
     rarest = asked.groupBy("link_text", "l").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g")).alias("r")).where("r.f > 0").select("link_text", "l", F.col("r.g").alias("g"))
     found = rarest.join(held, "g").where(fits & F.col("t").contains(F.col("l"))).select("link_text", "l", "id", "t")
-    tiny = rest.where(F.length("l") < RUN).join(titles.where(F.length("t") <= int((RUN - 1) * (2 - threshold) / threshold + 1e-9)), F.col("t").contains(F.col("l")) & fits).select("link_text", "l", "id", "t")
+    # shorter links are looked up by themselves, among the pieces of as many characters of titles short enough for them
+    brief = titles.where(F.length("t") <= int((RUN - 1) * (2 - threshold) / threshold + 1e-9))
+    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.length("t")), lambda i, n=n: F.substring("t", i, F.lit(n))) for n in range(1, RUN)])))
+    tiny = rest.where(F.length("l") < RUN).join(brief.select("id", "t", F.explode(pieces).alias("l")), "l").where(fits).select("link_text", "l", "id", "t")
 
     ship_package(papers.sparkSession)
     scored = found.unionByName(tiny).withColumn("r", title_ratio("l", "t")).where(F.col("r") >= threshold)

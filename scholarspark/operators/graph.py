@@ -207,13 +207,19 @@ def edge_rank(edges: DataFrame, top: int = 200, unknown: float = 0.65) -> DataFr
     return edges.join(a, "source_paper_id").join(b, "target_paper_id").select("source_paper_id", "target_paper_id", F.round(weight, 6).alias("weight")).orderBy(F.desc("weight"), "source_paper_id", "target_paper_id").limit(top)
 
 
+#: Most edges of a drawing: all their pairs are weighed.
+MOST_DRAWN = 10_000
+
+
 def edge_compatibility(ranked: DataFrame, places: DataFrame, least: float = 0.22) -> DataFrame:
     """``(source_a, target_a, source_b, target_b, weight)`` of the pairs of a drawing's edges that can be bundled.
 
-    ``ranked`` is the result of ``edge_rank``, a few hundred edges, ``places (id, x, y)`` where nodes are drawn. The weight
+    ``ranked`` is a result of ``edge_rank``, ``MOST_DRAWN`` edges at most, ``places (id, x, y)`` where nodes are drawn. The weight
     is the product of how alike two edges are in angle and length, how near their middles are, and how far each
     sees the other; pairs of ``least`` or more are kept, each once.
     """
+    if ranked.limit(MOST_DRAWN + 1).count() > MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} edges to draw")
     end = lambda side: places.select(F.col("id").alias(f"{side}_paper_id"), F.col("x").alias(f"{side}_x"), F.col("y").alias(f"{side}_y"))
     drawn = ranked.join(end("source"), "source_paper_id").join(end("target"), "target_paper_id")
     drawn = drawn.withColumns({"dx": F.col("target_x") - F.col("source_x"), "dy": F.col("target_y") - F.col("source_y"), "mx": (F.col("source_x") + F.col("target_x")) / 2, "my": (F.col("source_y") + F.col("target_y")) / 2})

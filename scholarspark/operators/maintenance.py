@@ -31,11 +31,17 @@ def learn_aliases(known: DataFrame, seen: DataFrame) -> DataFrame:
     return known.select("alias", "level").unionByName(new.join(known.select("alias"), "alias", "left_anti").select("alias", "level"))
 
 
+#: Most names of a list of ranked venues.
+MOST_RANKS = 100_000
+
+
 def venue_levels(venues: DataFrame, ranks: DataFrame, venue: str = "venue") -> DataFrame:
     """``(<venue>, level)``: the best level of a ranked name that a venue holds, or that holds it, or of its acronym.
 
-    Each distinct venue is ranked once; ``ranks (level, name)`` is a list of venues, broadcast as such.
+    Each distinct venue is ranked once; ``ranks (level, name)`` is a list of ``MOST_RANKS`` venues at most, broadcast as such.
     """
+    if ranks.limit(MOST_RANKS + 1).count() > MOST_RANKS:
+        raise ValueError(f"more than {MOST_RANKS} ranked venues")
     names = F.broadcast(ranks.select("level", X.venue_norm("name").alias("__name"), F.upper("name").alias("__abbr")))
     asked = venues.select(present(venue).alias(venue)).where(F.col(venue).isNotNull()).distinct()
     v = X.venue_norm(venue)

@@ -279,7 +279,19 @@ query("q6_spaced_repetition", "reading_tasks", "SELECT id, CASE WHEN interval_da
 # sources and sinks ------------------------------------------------------------------------------------------------
 
 query("src6_page_text", None, "SELECT doc_id, md5(array_to_string(string_split(coalesce(text, ''), chr(10))[1:2], chr(10))) AS h FROM documents")(lambda t: t.documents.select("doc_id", F.md5(connectors.pages_of(F.col("text"), 2, "\n")).alias("h")))
-query("src7_text_fallback", "papers", "SELECT id, coalesce(nullif(venue, ''), title) AS text FROM papers")(lambda t: t.papers.select("id", F.coalesce(S.present("venue"), "title").alias("text")))
+query(
+    "src7_text_fallback",
+    None,
+    "SELECT doc_id AS paper_id, md5(CASE WHEN doc_id % 3 = 0 THEN coalesce('# ' || lang || chr(10) || text, text) ELSE text END) AS h, CASE WHEN doc_id % 3 = 0 AND lang IS NOT NULL AND text IS NOT NULL THEN 'markdown' ELSE 'pages' END AS kind FROM documents",
+)(lambda t: _parsed_texts(t))
+
+
+def _parsed_texts(t):
+    """Whole texts of the documents, as a parser's Markdown where it made some: of a third, and blank for another third."""
+    made = t.documents.where("doc_id % 3 <> 2").select(F.col("doc_id").alias("paper_id"), F.expr("CASE WHEN doc_id % 3 = 0 THEN '# ' || lang || chr(10) || text ELSE ' ' END").alias("markdown"))
+    return connectors.paper_texts(t.documents.select(F.col("doc_id").alias("paper_id"), "text"), made).select("paper_id", F.md5("text").alias("h"), "kind")
+
+
 TL = rf"SELECT doc_id, list_filter(list_transform(string_split(line, '|'), lambda c: {FLAT.format('c')}), lambda c: c <> '') AS cells FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE contains(line, '|')"
 query("src8_table_lines", None, f"SELECT doc_id, md5(array_to_string(cells, ' | ')) AS h FROM ({TL})")(lambda t: extraction.table_lines(t.documents).select("doc_id", F.md5("line").alias("h")))
 query("src9_table_cells", None, f"SELECT doc_id, sum(len(cells)) AS n_cells FROM ({TL}) GROUP BY 1")(lambda t: extraction.table_lines(t.documents).groupBy("doc_id").agg(F.sum(F.size(F.filter("cells", lambda c: c != ""))).alias("n_cells")))

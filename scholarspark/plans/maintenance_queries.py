@@ -159,9 +159,11 @@ query("x7_first_doi_text", None, r"SELECT doc_id, nullif(regexp_extract(coalesce
 query("snk5_search_table", "papers paper_notes", f"SELECT doc_id, md5(text) AS h, length(text) AS n FROM ({SEARCHED})")(lambda t: R.search_documents(t.papers, t.paper_notes).select("doc_id", F.md5("text").alias("h"), F.length("text").alias("n")))
 
 
-@query("src15_venue_ranks", None, "SELECT * FROM (VALUES ('A', 'ACL'), ('A', 'EMNLP'), ('B', 'COLING')) v(level, venue)")
+@query("src15_venue_ranks", "papers", "SELECT DISTINCT CASE length(venue) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS level, venue FROM papers WHERE coalesce(venue, '') <> ''")
 def venue_ranks(t):
-    """A file of ranked venues, here in the session's shared folder."""
+    """A file of ranked venues, made of the papers' own in the session's shared folder and read back."""
     folder = f"{scratch_dir(t.spark)}/ranks-{uuid.uuid4().hex}"
-    t.spark.createDataFrame([('{"A": ["ACL", "EMNLP"], "B": ["COLING"], "C": []}',)], "value string").coalesce(1).write.text(folder)
+    names = t.papers.where("coalesce(venue, '') <> ''").select("venue").distinct().withColumn("level", F.expr("substr('ABC', length(venue) % 3 + 1, 1)"))
+    lists = [F.collect_set(F.when(F.col("level") == x, F.col("venue"))).alias(x) for x in "ABC"]  # a list of venues
+    names.agg(*lists).select(F.to_json(F.struct("A", "B", "C")).alias("value")).coalesce(1).write.text(folder)
     return connectors.venue_ranks(t.spark, folder)

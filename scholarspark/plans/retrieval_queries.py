@@ -61,9 +61,13 @@ def _src(body: str, asked: str) -> str:
 
 query("r1_normalize", None, r"SELECT doc_id, md5(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS h FROM documents")(lambda t: t.documents.select("doc_id", F.md5(S.normalize_text("text")).alias("h")))
 query("r2_tokenize", None, f"SELECT doc_id, len({TOK}) AS n, {TOK}[1] AS first FROM documents")(lambda t: t.documents.select("doc_id", F.size(S.tokens("text")).alias("n"), F.get(S.tokens("text"), F.lit(0)).alias("first")))
-query("r3_expand_query", None, "SELECT * FROM (VALUES ('小样本 事件抽取 the'), ('小样本 few-shot 事件抽取 event extraction the'), ('event extraction'), ('few-shot')) v(q)")(
-    lambda t: t.spark.createDataFrame([(q,) for q in S.expand_query("小样本 事件抽取  the")], "q string")
-)
+_ASK = "CASE doc_id % 4 WHEN 0 THEN concat('小样本 事件抽取  ', lang) WHEN 1 THEN concat(lang, ' 事件抽取') WHEN 2 THEN lang WHEN 3 THEN ' ' END"
+query(
+    "r3_expand_query",
+    None,
+    """SELECT DISTINCT doc_id, unnest(list_concat(CASE doc_id % 4 WHEN 0 THEN [trim(concat('小样本 事件抽取 ', lang)), trim(concat('小样本 few-shot 事件抽取 event extraction ', lang)), 'event extraction', 'few-shot']
+  WHEN 1 THEN [trim(concat(lang, ' 事件抽取')), trim(concat(lang, ' 事件抽取 event extraction')), 'event extraction'] WHEN 2 THEN CASE WHEN coalesce(lang, '') <> '' THEN [lang] ELSE [] END ELSE [] END, CAST([] AS VARCHAR[]))) AS q FROM documents""",
+)(lambda t: t.documents.select("doc_id", F.expr(_ASK).alias("asked")).select("doc_id", F.explode(S.expanded_queries("asked")).alias("q")))
 query("r4_bm25", None, f"WITH {_bm25_sql(ASKED)} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 20")(
     lambda t: retrieval.bm25(t.documents, ASKED).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 )

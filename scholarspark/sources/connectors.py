@@ -98,6 +98,17 @@ def pages_of(text: Column, first: int | None = None, page_break: str = "\n\n") -
     return F.array_join(pages if first is None else F.slice(pages, 1, first), "\n")
 
 
+def paper_texts(pages: DataFrame, markdown: DataFrame) -> DataFrame:
+    """``(paper_id, text, kind)`` of ``pages (paper_id, text)`` and what a parser made, ``markdown (paper_id, markdown)``.
+
+    A paper's text is its Markdown (the least where a parser landed several) unless that is missing or blank, else its
+    pages' text; papers without pages are those of the Markdown alone. Ids of pages are unique.
+    """
+    made = markdown.groupBy("paper_id").agg(F.min(F.when(F.trim("markdown") != "", F.col("markdown"))).alias("made"))
+    both = pages.select("paper_id", F.col("text").alias("whole")).join(made, "paper_id", "full_outer")
+    return both.select("paper_id", F.coalesce("made", "whole").alias("text"), F.when(F.col("made").isNotNull(), "markdown").otherwise("pages").alias("kind"))
+
+
 def completions(prompts: DataFrame, model=None) -> DataFrame:
     """``prompts`` with an answer of a model given as a function of a list of texts; without one all are null.
 
