@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ GRAM, WINNOW = 3, 4
 #: Words of a template for each fingerprint that a candidate must share with it.
 WORDS_A_HIT = 32
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Weights of an alignment's score and of its matched words beside the place of the first, counted in its band.
+SCORE, MATCHED = 1 << 40, 1 << 26
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -149,33 +152,50 @@ class TemplateIndex:
         return sorted(set(found), key=lambda m: (m.first, m.last, m.template))
 
     def align(self, t: int, ids: np.ndarray, low: int, high: int) -> Match | None:
-        """The best local alignment of a template on the diagonals from ``low`` to ``high`` (a match 2, else -1)."""
-        template = self.ids[t].tolist()
+        """The best local alignment of a template on the diagonals from ``low`` to ``high`` (a match 2, else -1).
+
+        A cell is one number: the score, the matched words and the first of them, in this order of weight. Column k of
+        row i is word low + i + k; a row is made at once, the step to the right by a running maximum. Of equally good
+        alignments the one that starts, then ends, latest counts.
+        """
+        template = self.ids[t]
         n, width = len(template), high - low + 1
-        # a cell holds score, matched words, first and last matched word; column k of row i is word low + i + k
-        empty = (0, 0, -1, -1)
-        above = [empty] * width
-        best = empty
-        for i, want in enumerate(template):
-            row = []
-            for k in range(width):
-                j = low + i + k
-                cell = empty
-                if 0 <= j < len(ids):
-                    s, m, a, b = above[k]
-                    cell = max(cell, (s + 2, m + 1, j if a < 0 else a, j) if ids[j] == want else (s - 1, m, a, b))
-                    if k:
-                        s, m, a, b = row[k - 1]
-                        cell = max(cell, (s - 1, m, a, b))
-                if k + 1 < width:
-                    s, m, a, b = above[k + 1]
-                    cell = max(cell, (s - 1, m, a, b))
-                row.append(cell if cell[0] > 0 else empty)
-                if cell > best:
-                    best = cell
+        column = np.arange(width, dtype=np.int64)
+        slope = column * SCORE
+        # the words of the band, -2 beyond the text's ends
+        band = np.full(n + width, -2, np.int64)
+        a, b = max(low, 0), min(len(ids), low + n + width)
+        if a < b:
+            band[a - low : b - low] = ids[a:b]
+        above, best, last = np.zeros(width, np.int64), 0, -1
+        for i in range(n):
+            match = band[i : i + width] == template[i]
+            fresh = np.where(above == 0, column + i, 0)
+            row = np.where(match, above + (2 * SCORE + MATCHED) + fresh, above - SCORE)
+            np.maximum(row[:-1], above[1:] - SCORE, out=row[:-1])
+            row = np.maximum.accumulate(row + slope) - slope
+            row[row < SCORE] = 0
+            if (top := int(row.max())) >= best and top:
+                best, last = top, int(np.flatnonzero(row == top)[-1]) + i if top > best else max(last, int(np.flatnonzero(row == top)[-1]) + i)
             above = row
-        _, matched, first, last = best
-        return Match(self.names[t], matched, matched / n, first, last) if matched >= self.least_coverage * n else None
+        matched, first = best % SCORE // MATCHED, best % MATCHED
+        return Match(self.names[t], matched, matched / n, first + low, last + low) if matched >= self.least_coverage * n else None
+
+
+def license_texts(folder: str, least_words: int = 50) -> dict[str, str]:
+    """Templates from a folder of license texts, one a file, named after it: whole licenses beside the notices here.
+
+    Read by the driver. Files of fewer than ``least_words`` words are left out; of those with the same words the
+    last by name counts, which names a version.
+    """
+    found: dict[str, str] = {}
+    seen: set[tuple] = set()
+    for path in sorted(Path(folder).iterdir(), reverse=True):
+        words = tuple(words_of(path.read_bytes())) if path.is_file() else ()
+        if len(words) >= least_words and words not in seen:
+            seen.add(words)
+            found[f"{path.name}/text"] = path.read_text(errors="replace")
+    return found
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least_coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
