@@ -84,14 +84,18 @@ query(
 _toks = retrieval.query_tokens(ASKED)
 _norm = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
 _over = f"CASE WHEN contains({_norm}, '{ASKED}') THEN 1.0e0 ELSE ({' + '.join(f'CAST(contains({_norm}, {chr(39)}{w}{chr(39)}) AS INT)' for w in _toks)}) / {len(_toks)}.0e0 END"
-query(
-    "r7_hybrid_search",
-    "papers paper_notes",
-    f"""WITH documents AS ({SEARCHED}), {_bm25_sql(ASKED)}, {_src('SELECT doc_id AS d, text FROM documents', ASKED)}, {_tfidf_sql('sw', WORD_GRAMS, 6000)}, {_tfidf_sql('sc', CHAR_GRAMS, 5000)},
+def _hybrid_sql(limit: int) -> str:
+    return f"""WITH documents AS ({SEARCHED}), {_bm25_sql(ASKED)}, {_src('SELECT doc_id AS d, text FROM documents', ASKED)}, {_tfidf_sql('sw', WORD_GRAMS, 6000)}, {_tfidf_sql('sc', CHAR_GRAMS, 5000)},
   sm AS (SELECT doc_id, sum(score) AS score FROM (SELECT doc_id, 0.65e0 * score AS score FROM sw UNION ALL SELECT doc_id, 0.35e0 * score FROM sc) GROUP BY 1),
   ov AS (SELECT doc_id, {_over} AS ov FROM documents),
   al AS (SELECT o.doc_id, coalesce(bm.score / (SELECT max(score) FROM bm), 0) AS b, coalesce(sm.score / (SELECT max(score) FROM sm), 0) AS s, ov FROM ov o LEFT JOIN bm USING (doc_id) LEFT JOIN sm USING (doc_id))
-  SELECT doc_id, round(0.58e0 * greatest(b, 0.65e0 * ov) + 0.42e0 * greatest(s, 0.55e0 * ov), 6) AS score FROM al ORDER BY score DESC, doc_id LIMIT 20""",
+  SELECT doc_id, round(0.58e0 * greatest(b, 0.65e0 * ov) + 0.42e0 * greatest(s, 0.55e0 * ov), 6) AS score FROM al ORDER BY score DESC, doc_id LIMIT {limit}"""
+
+
+query(
+    "r7_hybrid_search",
+    "papers paper_notes",
+    _hybrid_sql(20),
 )(lambda t: retrieval.hybrid_search(_searched(t), ASKED, 20).select("doc_id", "score"))
 
 #: Chunks of the documents, cut one after the other; an end that fits is the last sentence end of the chunk's window.
@@ -152,15 +156,30 @@ def _chunks(t) -> DataFrame:
     return chunking.chunk_documents(t.documents)
 
 
-@query("r13_rag_contexts")
+_BUCKETS = "SELECT {keys}CAST(concat('0x', substr(md5(x), 1, 8)) AS BIGINT) % 512 AS b, count(*) AS n FROM (SELECT {keys}unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: concat(ws[i], ' ', ws[i + 1])))) AS x FROM {rows}) GROUP BY ALL"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+_ASKED_TOKENS = [w for w in dict.fromkeys(_toks) if len(w) >= 2]
+
+
+@query(
+    "r13_rag_contexts",
+    "papers paper_notes",
+    f"""WITH RECURSIVE {CHUNKS}, ck AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS chunk_index, c FROM chunk),
+  w AS (SELECT doc_id, chunk_index, {_WORDS.format("c")} AS ws FROM ck), tb AS ({_BUCKETS.format(keys="doc_id, chunk_index, ", rows="w")}),
+  qw AS (SELECT {_WORDS.format("'" + ASKED + "'")} AS ws), qb AS ({_BUCKETS.format(keys="", rows="qw")}),
+  near AS (SELECT doc_id, chunk_index, sum(tb.n * coalesce(qb.n, 0)) / (sqrt(CAST(sum(tb.n * tb.n) AS DOUBLE)) * (SELECT sqrt(CAST(sum(n * n) AS DOUBLE)) FROM qb)) AS v FROM tb LEFT JOIN qb USING (b) GROUP BY 1, 2 HAVING v > 0 ORDER BY v DESC, doc_id, chunk_index LIMIT 16),
+  best AS ({_hybrid_sql(16)}), hits AS (SELECT best.doc_id AS paper_id, CAST(NULL AS INT) AS chunk_index, substr(coalesce(nullif(abstract, ''), nullif(title, ''), ''), 1, 1200) AS text, 0.0e0 AS v, best.score AS kw FROM best JOIN papers ON papers.id = best.doc_id),
+  rows AS (SELECT doc_id AS paper_id, chunk_index, c AS text, v, 0.0e0 AS kw FROM near JOIN ck USING (doc_id, chunk_index) UNION ALL SELECT * FROM hits)
+  SELECT paper_id, chunk_index, round(0.5e0 * v + 0.35e0 * kw + 0.15e0 * ({" + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in _ASKED_TOKENS)}) / {len(_ASKED_TOKENS)}.0e0, 6) AS score FROM rows ORDER BY score DESC, paper_id, chunk_index NULLS FIRST LIMIT 8""",
+)
 def rag_contexts(t):
-    """Contexts from all chunks and documents; tested against a plain version, as SQL would rank every n-gram and chunk."""
+    """Contexts from all chunks and documents."""
     return retrieval.retrieve_contexts(_searched(t), _chunks(t), ASKED).select("paper_id", "chunk_index", "score")
 
 
 @query("r14_search")
 def search(t):
-    """The search over papers, their notes and all chunks; tested against a plain version like ``r13_rag_contexts``."""
+    """The search over papers, their notes and all chunks; tested against a plain version."""
     return retrieval.search(t.papers, t.paper_notes, _searched(t), _chunks(t), ASKED, 30).select("doc_id", "score", "chunk_index", "snippet")
 
 
