@@ -90,14 +90,15 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """One ``.warc.gz`` file per partition in ``folder``; returns the written table ``(file, records)`` of the files.
 
     A file takes its final name only when complete, so a task that is tried again after a lost executor leaves no
-    second archive: only files named in the table count.
+    second archive: only files named in the table count, and unfinished ones of this
+    call are deleted at the end. Chunks of a record come in order and together; no chunks give no files, and other columns are not read.
     """
     ship_package(chunks.sparkSession)
-    folder = qualified(chunks.sparkSession, folder)
+    folder, call = qualified(chunks.sparkSession, folder), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
-        name = f"{root}/{uuid.uuid4().hex}.warc.gz"
+        name = f"{root}/{call}-{uuid.uuid4().hex}.warc.gz"
         out, packer, records = None, None, 0
         for batch in batches:
             col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
@@ -118,7 +119,13 @@ def write_archives(chunks: DataFrame, folder: str, level: int = 1) -> DataFrame:
             fs.move(name + ".part", name)
             yield pa.RecordBatch.from_pydict({"file": [name.rsplit("/", 1)[1]], "records": pa.array([records], pa.int64())})
 
-    return materialize(chunks.mapInArrow(run, "file string, records long"), "warc-files")
+    try:
+        return materialize(chunks.mapInArrow(run, "file string, records long"), "warc-files")
+    finally:
+        fs, root = _file_system(folder)
+        for left in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if left.base_name.startswith(call) and left.path.endswith(".part"):  # of a task that failed or was tried again elsewhere
+                fs.delete_file(left.path)
 
 
 class _Stream:
