@@ -179,6 +179,22 @@ def test_title_pairs_against_all_pairs(spark, threshold):
         assert r.new_id == best and groups[r.old_id] == r.group_id
 
 
+def test_title_pairs_of_many_blocks(spark, monkeypatch):
+    """Titles of few syllables, whose character runs are all common, in blocks of 30: all pairs meet, also below 0.85."""
+    monkeypatch.setattr(entity, "BLOCK_ROWS", (30, 30))
+    rng = random.Random(4)
+    soup = lambda n: "".join(rng.choice(["th", "er", "on", "the ", "an", "ing ", "tion", "of "]) for _ in range(n))
+    titles = [soup(rng.choice([2, 4, 40]))[:120] for _ in range(100)]
+    for t in titles[:60]:
+        at = rng.randrange(len(t))
+        titles.append(t[:at] + rng.choice(["q", "qq", "事件"]) + t[at + rng.randint(0, 6) :])
+    titles += ["word " * 300, "word " * 299 + "last", "𝒳𝒴 two planes", "𝒳𝒴 two plane"]
+    rows = [(i, t, rng.choice([None, 2000, 2005])) for i, t in enumerate(titles)]
+    got = entity.title_pairs(spark.createDataFrame(rows, "id long, title string, year int"), 0.8)
+    want = plain_pairs(rows, 0.8)
+    assert len(want) > 30 and {(r.a, r.b) for r in got.where("similarity < 1").collect()} == want
+
+
 def test_links_inside_words(spark):
     papers = spark.createDataFrame([(1, "Semisupervised learning"), (2, "事件抽取方法"), (3, "Supervised learning of much longer things than that"), (4, "ab"), (5, "Exact Title"), (6, "exact title")], "id long, title string")
     links = spark.createDataFrame([("supervised learning",), ("事件抽取",), ("a",), ("EXACT title",), ("nothing like it",), (None,), ("",)], "link_text string")
