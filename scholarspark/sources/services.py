@@ -36,6 +36,8 @@ from .files import file_system, parquet_files, parquet_files_in, qualified, read
 PAGE = 100
 #: Papers that one partition of a scan asks for.
 PER_PARTITION = 1000
+#: Rows after which a stream's answers are handed on.
+BATCH_ROWS = 1000
 PAPER_ROWS = f"paper_id long, nth int, record struct<{RECORD}>"
 POLL_ROWS = f"seq long, paper_id long, nth int, record struct<{RECORD}>, error string"
 DOI_ROWS = "title string, doi string"
@@ -274,8 +276,10 @@ class Works(DataSource):
 
 
 class Asked(InputPartition):
-    def __init__(self, seq: int, paper: int):
-        self.seq, self.paper = seq, paper
+    """Entries ``(paper, seq)`` of a feed whose papers lie in one range of keys, in their order."""
+
+    def __init__(self, entries: list[tuple[int, int]]):
+        self.entries = entries
 
 
 class PollReader(DataSourceStreamReader):
@@ -319,18 +323,32 @@ class PollReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Asked]:
         if end["taken"] > (read_json(self.progress) or {"taken": 0})["taken"]:
             write_json(self.progress, end)
-        return [Asked(seq, paper) for seq, paper, _ in self._rows(start["taken"], end["taken"])]
+        # papers of one range of keys are asked for together: a trigger of many makes as many tasks as a scan of them, not one each
+        step = int(self.options.get("perpartition", PER_PARTITION))
+        ranges: dict[int, list[tuple[int, int]]] = {}
+        for seq, paper, _ in self._rows(start["taken"], end["taken"]):
+            ranges.setdefault(paper // step, []).append((paper, seq))
+        return [Asked(sorted(ranges[k])) for k in sorted(ranges)]
 
-    def read(self, partition: Asked) -> Iterator[pa.RecordBatch]:
-        transport = transport_of(self.options)
-        transport.load(partition.paper, partition.paper)
-        head = {"seq": partition.seq, "paper_id": partition.paper}
+    def _answered(self, transport: Any, paper: int, seq: int) -> list[dict]:
+        head = {"seq": seq, "paper_id": paper}
         try:
-            found = records(transport, partition.paper, self.options.get("kind", "references"), min(int(self.options.get("limit", PAGE)), PAGE))
+            found = records(transport, paper, self.options.get("kind", "references"), min(int(self.options.get("limit", PAGE)), PAGE))
         except ServiceError as e:
-            yield pa.RecordBatch.from_pylist([head | {"error": str(e)}], self.arrow)
-            return
-        yield pa.RecordBatch.from_pylist([head | {"nth": k, "record": clean(r)} for k, r in enumerate(found, 1)] or [head], self.arrow)
+            return [head | {"error": str(e)}]
+        return [head | {"nth": k, "record": clean(r)} for k, r in enumerate(found, 1)] or [head]
+
+    def read(self, partition: Asked) -> Iterator[pa.RecordBatch]:
+        transport = transport_of(self.options)
+        transport.load(partition.entries[0][0], partition.entries[-1][0])
+        rows: list[dict] = []
+        for paper, seq in partition.entries:
+            rows += self._answered(transport, paper, seq)
+            if len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist(rows, self.arrow)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, self.arrow)
 
     def commit(self, end: dict) -> None:
         """Nothing to do: what was planned is in the stream's own log."""
@@ -341,7 +359,7 @@ class Poll(DataSource):
 
     A paper without records, or with an error, is one row without a record. Options: those of ``papers``, ``feed``
     (the path of a committed table ``(seq, paper_id, not_before)``), ``progress`` (a folder of this stream alone),
-    ``papersPerTrigger`` (5) and ``now`` (the clock, else the machine's), before which an entry is not taken.
+    ``papersPerTrigger`` (5), ``perPartition`` (papers whose ids lie in one range of so many are asked for by one task) and ``now`` (the clock, else the machine's), before which an entry is not taken.
     """
 
     @classmethod

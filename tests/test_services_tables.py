@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from scholarspark.operators import entity
 from scholarspark.sources import committed, events, services
@@ -102,6 +103,19 @@ def poll_world(spark, root):
     return recording(spark, root / "r", answers), poll.feed_table(spark, str(root / "feed")), poll.edge_table(spark, str(root / "edges"), 4), poll.queue_table(spark, str(root / "queue"), 4)
 
 
+def test_a_trigger_is_dealt_by_ranges_of_papers(spark, tmp_path):
+    """A trigger of many papers makes tasks of ranges of papers, not one a paper, and asks for each paper once."""
+    folder, feed, *_ = poll_world(spark, tmp_path)
+    poll.ask(feed, spark.createDataFrame([(k, -k) for k in range(1, 13)], "paper_id long, place int"))
+    options = {"feed": feed.path, "progress": f"file://{tmp_path}/progress", "recording": folder, "perpartition": "5"}
+    reader = services.PollReader(options, _parse_datatype_string(services.POLL_ROWS))
+    parts = reader.partitions({"taken": 0}, {"taken": 11})
+    assert [[p for p, _ in part.entries] for part in parts] == [[2, 3, 4], [5, 6, 7, 8, 9], [10, 11, 12]]
+    rows = [r for part in parts for batch in reader.read(part) for r in batch.to_pylist()]
+    assert sorted({(r["seq"], r["paper_id"]) for r in rows}) == [(13 - k, k) for k in range(12, 1, -1)]
+    assert [(r["nth"], r["error"]) for r in rows if r["paper_id"] == 4] == [(None, "status 500")] and len(rows) == 10 * 3 + 1
+
+
 def test_poll_loop_resumes_after_a_kill(spark, tmp_path):
     folder, feed, edges, queue = poll_world(spark, tmp_path)
     poll.ask(feed, spark.createDataFrame([(k, 0) for k in range(12, 0, -1)] + [(3, 5), (None, 1)], "paper_id long, place int"))
