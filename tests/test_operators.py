@@ -179,6 +179,19 @@ def test_title_pairs_against_all_pairs(spark, threshold):
         assert r.new_id == best and groups[r.old_id] == r.group_id
 
 
+def test_title_pairs_in_either_order(spark):
+    """Copies on both sides of a title meet it in both orders; a year of 0 is none; blank titles are one title."""
+    s, t = "cacc acd bbdacd ad b", "cbccaacd bbdacd ad b"
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    assert ratio(s, t) < 0.9 <= ratio(t, s)
+    pairs = lambda rows: {(r.a, r.b, round(r.similarity, 6)) for r in entity.title_pairs(spark.createDataFrame(rows, "id long, title string, year int"), 0.9).collect()}
+    assert pairs([(1, s, 2000), (5, t, 2001)]) == set()
+    assert pairs([(1, s, 2000), (5, t, 2001), (9, s, 2002)]) == {(1, 5, 0.9), (1, 9, 1.0)}
+    assert pairs([(1, s, 2000), (5, t, 2001), (9, s, 2009)]) == {(1, 9, 1.0)}
+    assert pairs([(1, t, 0), (2, s, 2001)]) == {(1, 2, 0.9)}
+    assert pairs([(1, " ", 2000), (2, "\t ", 2001), (3, "", 2000), (4, None, 2000), (5, "x", 2000)]) == {(1, 2, 1.0)}
+
+
 def test_title_pairs_of_many_blocks(spark, monkeypatch):
     """Titles of few syllables, whose character runs are all common, in blocks of 30: all pairs meet, also below 0.85."""
     monkeypatch.setattr(entity, "BLOCK_ROWS", (30, 30))
